@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import license_scan, sharding, url_filters
+from vitalgrid.llm import license_scan, quality, sharding, toxicity, url_filters
 from vitalgrid.llm.common import LOWER, UPPER, table
 
 #: Fixed values of the contract.
@@ -54,6 +54,21 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "lang", "source", "n_chars")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"]
+    return quality.apply_quality(docs, model).select("doc_id", *names)
+
+
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), where=fold != 1)
+    scored = toxicity.apply_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -88,7 +103,9 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op3_hilbert_sharding": op3_hilbert_sharding,
+        "op7_quality_rules": op7_quality_rules,
         "op8_license_scan": op8_license_scan,
+        "op10_toxicity_crf": op10_toxicity_crf,
     }
 
 
