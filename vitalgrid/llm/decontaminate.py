@@ -41,7 +41,6 @@ MIN_COVERAGE = 0.6
 BLOCK_WORDS = 500_000
 _EDGE = b".,;:!?\"'()[]{}<>|#*$%&+-=_/\\~`^@"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_MASK = (1 << 64) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,7 +58,6 @@ def _window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
     total = np.zeros(len(ids) + 1, np.uint64)
-    for_window = power[length]
     # h[i] = sum of mixed[i + k] * factor ** (length - 1 - k), by a reversed running sum
     n = len(ids)
     weight = power[:n][::-1]
@@ -68,7 +66,6 @@ def _window_hashes(ids: np.ndarray, length: int) -> np.ndarray:
     inverse = np.full(n + 1, np.uint64(pow(int(_FACTOR), -1, 1 << 64)), np.uint64)
     inverse[0] = 1
     inverse = np.cumprod(inverse, dtype=np.uint64)
-    del for_window
     return h * inverse[: n - length + 1][::-1]
 
 
@@ -96,20 +93,18 @@ def _free_windows(ids: np.ndarray, free: np.ndarray, length: int) -> tuple[np.nd
     return at, _window_hashes(ids, length)[at]
 
 
-def _matches(item, doc, free_item, free_doc, length) -> list[tuple[int, int]]:
-    """Pairs of starts of equal free windows, by item, then document."""
+def _matches(item, doc, free_item, free_doc, length):
+    """Pairs of starts of equal free windows, by item, then document, one at a time."""
     at_i, h_i = _free_windows(item, free_item, length)
     at_d, h_d = _free_windows(doc, free_doc, length)
     if not len(at_i) or not len(at_d):
-        return []
+        return
     hit = np.isin(h_d, h_i)
     places: dict[int, list[int]] = defaultdict(list)
     for d, h in zip(at_d[hit].tolist(), h_d[hit].tolist(), strict=True):
         places[h].append(d)
-    out = []
     for i, h in zip(at_i.tolist(), h_i.tolist(), strict=True):
-        out += [(i, d) for d in places.get(h, ()) if np.array_equal(item[i : i + length], doc[d : d + length])]
-    return out
+        yield from ((i, d) for d in places.get(h, ()) if np.array_equal(item[i : i + length], doc[d : d + length]))
 
 
 def _longest(item, doc, free_item, free_doc, least: int, most: int | None = None) -> int:
@@ -117,7 +112,7 @@ def _longest(item, doc, free_item, free_doc, least: int, most: int | None = None
     low, high = least - 1, min(most or len(item), len(item), len(doc))
     while low < high:
         mid = (low + high + 1) // 2
-        if _matches(item, doc, free_item, free_doc, mid):
+        if next(_matches(item, doc, free_item, free_doc, mid), None):
             low = mid
         else:
             high = mid - 1

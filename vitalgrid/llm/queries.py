@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import license_scan, quality, sharding, toxicity, url_filters
+from vitalgrid.llm import decontaminate, license_scan, quality, sharding, toxicity, url_filters, warc
 from vitalgrid.llm.common import LOWER, UPPER, table
 
 #: Fixed values of the contract.
@@ -54,6 +54,18 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "lang", "source", "n_chars")
 
 
+def op5_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "item_words", "covered_words", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables have no capture times: one second a page from 2000 on
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", (F.col("page_id") + 946684800).alias("seconds"))
+    captures = warc.index_archives(warc.write_archives(pages))
+    return captures.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -103,6 +115,8 @@ def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op3_hilbert_sharding": op3_hilbert_sharding,
+        "op5_greedy_tiling": op5_greedy_tiling,
+        "op6_warc_index": op6_warc_index,
         "op7_quality_rules": op7_quality_rules,
         "op8_license_scan": op8_license_scan,
         "op10_toxicity_crf": op10_toxicity_crf,
