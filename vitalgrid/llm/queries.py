@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, license_scan, quality, sharding, toxicity, url_filters, warc
+from vitalgrid.llm import decontaminate, license_scan, packing, quality, sharding, token_output, toxicity, url_filters, warc
 from vitalgrid.llm.common import LOWER, UPPER, table
 
 #: Fixed values of the contract.
@@ -18,6 +18,12 @@ URL_RULES = [
 N_SHARDS = 40
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -45,6 +51,14 @@ from judged left join fits using (n)
 """
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    return packing.pack(packing.token_pieces(docs, vocabulary("word_bpe_49k.json")))
+
+
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     docs = table(spark, sf_dir, "documents").select(
@@ -54,6 +68,10 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "lang", "source", "n_chars")
 
 
+def op4_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_ids(token_output.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def op5_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return pairs.select("doc_id", "item_id", "item_words", "covered_words", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
@@ -114,7 +132,9 @@ from (select *, sha256(form) as digest from formed where form <> '') join digest
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_nnls_packing": op2_nnls_packing,
         "op3_hilbert_sharding": op3_hilbert_sharding,
+        "op4_repair_ids": op4_repair_ids,
         "op5_greedy_tiling": op5_greedy_tiling,
         "op6_warc_index": op6_warc_index,
         "op7_quality_rules": op7_quality_rules,
