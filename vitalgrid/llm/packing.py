@@ -4,7 +4,8 @@ The lengths' histogram has at most ``capacity`` rows, so planning is the same
 work at any size. On a coarse grid, all patterns of at most MAX_DOCS lengths
 that fill a sequence are enumerated; repeat counts are fitted to the histogram
 by non-negative least squares and rounded; each pattern takes its pieces
-longest first. What is left is packed best fit, longest first, into the room
+longest first, the last one the longest that still fits. What is left is
+packed best fit, longest first, into the room
 that the patterns leave and into new sequences. The plan is made for a few
 grids and the one with the fewest sequences is kept.
 
@@ -20,7 +21,7 @@ replaced.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 
 import numpy as np
@@ -116,20 +117,14 @@ class Plan:
         self.entries.append((length, self.next_rank[length], first, copies, offset))
         self.next_rank[length] += n * copies
 
-    def pattern(self, slots: list[list[tuple[int, int]]]) -> None:
-        """Sequences of one piece from each slot; a slot is runs (length, how many), equally many in all."""
-        slots = [list(s) for s in slots]
-        while slots[0]:
-            n = min(s[0][1] for s in slots)
-            offset = 0
-            for s in slots:
-                length, left = s.pop(0)
-                if left > n:
-                    s.insert(0, (length, left - n))
-                self._assign(length, self.n_sequences, n, 1, offset)
-                offset += length
-            self._give(self.capacity - offset, self.n_sequences, n)
-            self.n_sequences += n
+    def pattern(self, lengths: list[int], n: int) -> None:
+        """``n`` new sequences of one piece of each of the lengths."""
+        for k, length in enumerate(lengths):
+            same = lengths[:k].count(length)
+            if not same:  # equal lengths stand side by side and go in as one run of copies
+                self._assign(length, self.n_sequences, n, lengths.count(length), sum(lengths[:k]))
+        self._give(self.capacity - sum(lengths), self.n_sequences, n)
+        self.n_sequences += n
 
     def best_fit(self, length: int, count: int) -> None:
         """Pieces of one length, each to the fullest sequence that has room."""
@@ -160,41 +155,63 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, grids: tup
     return min(plans, key=lambda p: p.n_sequences)
 
 
+class Stock:
+    """Pieces not packed yet, by length."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.count = {n: c for n, c in histogram.items() if c}
+        self.lengths = sorted(self.count)
+
+    def longest(self, most: int, used: list[int], least: int = 1) -> int | None:
+        """The longest length of ``least`` to ``most`` with a piece beyond those in ``used``."""
+        k = bisect_right(self.lengths, most) - 1
+        while k >= 0 and self.lengths[k] >= least:
+            if self.count[self.lengths[k]] > used.count(self.lengths[k]):
+                return self.lengths[k]
+            k -= 1
+        return None
+
+    def take(self, length: int, n: int) -> None:
+        self.count[length] -= n
+        if not self.count[length]:
+            del self.count[length]
+            self.lengths.pop(bisect_left(self.lengths, length))
+
+
 def _plan(histogram: dict[int, int], capacity: int, cells: int) -> Plan:
-    plan, cell = Plan(capacity), -(-capacity // cells)
-    left: dict[int, list[list[int]]] = defaultdict(list)  # grid cells: [length, how many], longest first
-    for length in sorted(histogram, reverse=True):
-        left[-(-length // cell)].append([length, histogram[length]])
-    b = np.array([float(sum(n for _, n in left[q])) for q in range(1, cells + 1)])
+    plan, cell, stock = Plan(capacity), -(-capacity // cells), Stock(histogram)
+    b = np.zeros(cells)
+    for length, n in histogram.items():
+        b[-(-length // cell) - 1] += n
     if b.sum():
         a = fill_patterns(cells)
         weight = np.sqrt(np.arange(1, cells + 1) / cells)[:, None]  # a long piece that is left over costs more
         x = nnls(a * weight, b * weight[:, 0] / b.sum()) * b.sum()
         for k in np.argsort(-x, kind="stable"):
-            if x[k] < 0.5:
-                break
-            parts = [q + 1 for q in np.flatnonzero(a[:, k]) for _ in range(int(a[q, k]))][::-1]
-            n = min([round(x[k]), *(sum(c for _, c in left[q]) // parts.count(q) for q in parts)])
-            if n:
-                plan.pattern([_take(left[q], n) for q in parts])
-    for q in range(cells, 0, -1):
-        for length, n in left[q]:
-            plan.best_fit(length, n)
+            n = round(x[k])
+            parts = [q + 1 for q in np.flatnonzero(a[:, k])[::-1] for _ in range(int(a[q, k]))]
+            while n > 0:
+                # all but the last piece come from their cells; the last is the longest that still fits
+                lengths: list[int] = []
+                for q in parts[:-1]:
+                    got = stock.longest(q * cell, lengths, (q - 1) * cell + 1)
+                    if got is None:
+                        break
+                    lengths.append(got)
+                last = stock.longest(capacity - sum(lengths), lengths) if len(lengths) == len(parts) - 1 else None
+                if last is None:
+                    break
+                lengths = sorted([*lengths, last], reverse=True)
+                m = min(n, *(stock.count[v] // lengths.count(v) for v in lengths))
+                plan.pattern(lengths, m)
+                for v in lengths:
+                    stock.take(v, m)
+                n -= m
+    for length in sorted(stock.count, reverse=True):
+        plan.best_fit(length, stock.count[length])
     return plan
 
 
-def _take(runs: list[list[int]], n: int) -> list[tuple[int, int]]:
-    out = []
-    while n:
-        got = min(n, runs[0][1])
-        out.append((runs[0][0], got))
-        runs[0][1] -= got
-        n -= got
-        if not runs[0][1]:
-            runs.pop(0)
-    return out
-
-
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, grids: tuple[int, ...] = GRIDS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (longs); offsets are gapless from 0 in a sequence."""
     added = {"sequence_id", "offset"}
