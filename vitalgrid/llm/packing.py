@@ -70,9 +70,10 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
     """Non-negative least squares by an active set (Lawson and Hanson's scheme)."""
     n = a.shape[1]
     x, inside = np.zeros(n), np.zeros(n, bool)
-    tolerance = 1e-9 * max(1.0, np.abs(a.T @ b).max())
+    gram, right = a.T @ a, a.T @ b
+    tolerance = 1e-9 * max(1.0, np.abs(right).max())
     for _ in range(steps):
-        gain = a.T @ (b - a @ x)
+        gain = right - gram @ x
         gain[inside] = -np.inf
         k = int(gain.argmax())
         if gain[k] <= tolerance:
@@ -80,7 +81,7 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
         inside[k] = True
         while True:
             used = np.flatnonzero(inside)
-            z = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            z = np.linalg.solve(gram[np.ix_(used, used)] + 1e-12 * np.eye(len(used)), right[used])
             if (z > 0).all():
                 break
             bad = z <= 0
