@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, license_scan, packing, quality, sharding, token_output, toxicity, url_filters, warc
+from vitalgrid.llm import decontaminate, jaccard_join, license_scan, packing, quality, sharding, token_output, toxicity, url_filters, warc
 from vitalgrid.llm.common import LOWER, UPPER, table
 
 #: Fixed values of the contract.
@@ -91,6 +91,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_quality(docs, model).select("doc_id", *names)
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -139,6 +143,7 @@ def queries() -> dict:
         "op6_warc_index": op6_warc_index,
         "op7_quality_rules": op7_quality_rules,
         "op8_license_scan": op8_license_scan,
+        "op9_parity_join": op9_parity_join,
         "op10_toxicity_crf": op10_toxicity_crf,
     }
 
