@@ -1,13 +1,14 @@
 r"""Licence scan by canonical digest.
 
-A text is put into canonical form: A-Z lower-cased, copyright lines dropped,
+A text is put into canonical form: lower-cased, copyright lines dropped,
 equivalent spellings made one, punctuation turned to spaces, runs of blanks
 closed. Its SHA-256 is then hash-joined to the digests of known licence texts
 in the same form. The units looked up are the entire text of a document and,
 as documents carry notices among other prose, each of its entire lines.
 
 The known texts are a parameter; the digest table holds one short row each and
-Spark broadcasts it only below its own size threshold.
+is broadcast up to BROADCAST_TEXTS rows. Texts of one canonical form count as
+the one with the first license_id.
 
 Defined results: null and empty texts have no units that match (an empty
 canonical form is never looked up); a document that matches several known
@@ -20,10 +21,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import ascii_lower
+#: Digest tables of at most so many rows (about 100 bytes each) are broadcast.
+BROADCAST_TEXTS = 50_000
 
 
 @dataclass(frozen=True)
@@ -64,18 +66,35 @@ SPELLINGS = (
 )
 
 #: A line that starts so is a copyright line and not part of the terms.
-COPYRIGHT_LINE = r"(?:^|\n)[ \t]*(?:copyright|\(c\)|all rights reserved)[^\n]*"
-#: Everything but ASCII letters, digits and characters beyond ASCII counts as a blank.
-BLANKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:copyright|\(c\)|all rights reserved)[^\n]*"
+#: Everything but ASCII letters, digits, line ends and characters beyond ASCII counts as a blank.
+BLANKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; null stays null."""
-    c = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, " ")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, BLANKS, " "), F.lit(" "))
+def _marked(text: Column) -> Column:
+    """Lower case without copyright lines, blanks and punctuation closed to one space; line ends stay."""
+    c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
+    return F.regexp_replace(c, BLANKS, " ")
+
+
+def _form(c: Column) -> Column:
+    """Canonical form of a marked text without line ends."""
+    c = F.concat(F.lit(" "), c, F.lit(" "))
     for spelling, one in SPELLINGS:
         c = F.replace(c, F.lit(f" {spelling} "), F.lit(f" {one} "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a text; null stays null."""
+    return _form(F.replace(_marked(text), F.lit("\n"), F.lit(" ")))
+
+
+def digests(spark: SparkSession, known: tuple[KnownText, ...]) -> DataFrame:
+    """(license_id, digest); broadcast up to BROADCAST_TEXTS rows, beyond that a table like any other."""
+    table = spark.createDataFrame([(k.license_id, k.text) for k in known], "license_id string, known string")
+    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(table) if len(known) <= BROADCAST_TEXTS else table
 
 
 def scan_licenses(docs: DataFrame, known: tuple[KnownText, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,12 +102,12 @@ def scan_licenses(docs: DataFrame, known: tuple[KnownText, ...] = NOTICES, id_co
 
     ``unit`` is ``text`` (``line_no`` 0) or ``line`` (``line_no`` from 1).
     """
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(k.license_id, k.text) for k in known], "license_id string, known string")
-    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).dropDuplicates(["digest"])
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text")).where(F.col("_text").isNotNull())
-    lines = F.transform(F.split("_text", "\n"), lambda x, k: F.struct(F.lit("line").alias("unit"), (k + 1).alias("line_no"), x.alias("matched")))
-    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("line_no"), F.col("_text").alias("matched")))
-    units = base.select(id_col, F.explode(F.concat(whole, lines)).alias("u")).select(id_col, "u.*").withColumn("form", canonical(F.col("matched")))
-    units = units.where(F.col("form") != "").withColumn("digest", F.sha2(F.col("form"), 256)).drop("form")
-    return units.join(table, "digest").select(id_col, "license_id", "unit", "line_no", "matched", "digest")
+    # one pass of the costly expressions over a text serves the text and its lines
+    base = base.withColumn("_marked", _marked(F.col("_text"))).withColumns({"_lines": F.split("_text", "\n"), "_forms": F.split("_marked", "\n")})
+    unit = lambda kind, k, form, x: F.struct(F.lit(kind).alias("unit"), k.alias("line_no"), form.alias("form"), x.alias("matched"))
+    lines = F.transform("_forms", lambda x, k: unit("line", k + 1, x, F.element_at("_lines", k + 1)))
+    whole = F.array(unit("text", F.lit(0), F.replace("_marked", F.lit("\n"), F.lit(" ")), F.col("_text")))
+    units = base.select(id_col, F.explode(F.concat(whole, lines)).alias("u")).select(id_col, "u.*").where(F.trim("form") != "")
+    units = units.withColumn("digest", F.sha2(_form(F.col("form")), 256)).drop("form")
+    return units.join(digests(docs.sparkSession, known), "digest").select(id_col, "license_id", "unit", "line_no", "matched", "digest")

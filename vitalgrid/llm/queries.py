@@ -108,8 +108,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(c: str) -> str:
-    low = f"translate({c}, '{UPPER}', '{LOWER}')"
-    out = f"' ' || regexp_replace(regexp_replace({low}, '{license_scan.COPYRIGHT_LINE}', ' ', 'g'), '{license_scan.BLANKS}', ' ', 'g') || ' '"
+    marked = f"regexp_replace(regexp_replace(lower({c}), '{license_scan.COPYRIGHT_LINE}', '\\1', 'g'), '{license_scan.BLANKS}', ' ', 'g')"
+    out = f"' ' || replace({marked}, chr(10), ' ') || ' '"
     for spelling, one in license_scan.SPELLINGS:
         out = f"replace({out}, ' {spelling} ', ' {one} ')"
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
