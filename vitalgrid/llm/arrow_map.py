@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of an Arrow batch; texts are long, so fewer than Spark's default.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work: Callable[[], Callable[[list], list[list]]]) -> DataFrame:

@@ -49,7 +49,7 @@ SHARE, OF = 75, 100
 #: Sets under this size have a cell for every shingle.
 SMALL = 64
 #: Texts are hashed in stretches of about so many bytes.
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 #: Frequent shingles are looked for in runs of so many, and at most so many are told to all tasks. They only order cells.
 COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000

@@ -10,8 +10,8 @@ that the patterns leave and into new sequences. The plan is made for a few
 grids and the one with the fewest sequences is kept.
 
 A plan maps (length, rank among pieces of that length) to (sequence, offset).
-Pieces are ranked without a sort or a window over pieces: each task counts its
-own pieces of a length as it goes, and the tasks' counts are summed up.
+Pieces are ranked inside the task that wrote them, and the tasks' counts of each
+length are summed up, so a length that very many pieces share is no one task's.
 
 Lengths must be 1 to the capacity. Repeated rows are packed each for itself; an
 empty table packs into nothing. Columns named like the added ones are
@@ -26,7 +26,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,25 +217,16 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     added = {"sequence_id", "offset"}
     pieces = pieces.select(*(F.col(f"`{c}`") for c in pieces.columns if c.lower() not in added))
     place = pieces.columns.index(length_col)
-    schema = T.StructType([*pieces.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_own", T.LongType())])
-
-    def number(batches):
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
-            own = []
-            for n in batch.column(place).to_pylist():
-                own.append(seen[n])
-                seen[n] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(own), pa.int64()), pa.array(own, pa.int64())], names=schema.names)
-
-    numbered = settle(pieces.mapInArrow(number, schema), "pieces")
-    counts = settle(numbered.groupBy("_part", F.col(length_col).cast("long").alias("_n")).agg(F.count(F.lit(1)).alias("_many")), "lengths")
+    at = F.col("_at")
+    written = settle(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces").withColumn("_part", F.shiftright(at, 33))
+    counts = settle(written.groupBy("_part", F.col(length_col).cast("long").alias("_n")).agg(F.count(F.lit(1)).alias("_many")), "lengths")
     histogram = {r["_n"]: r["many"] for r in counts.groupBy("_n").agg(F.sum("_many").alias("many")).collect()}  # at most ``capacity`` rows
     plan = plan_packing(histogram, capacity, grids)
-    # a window over the tasks' counts of one length, not over pieces
-    before = Window.partitionBy("_n").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_part", "_n", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_base"))
-    ranked = numbered.join(base.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_n")))
+    # windows over the tasks' counts of one length, and over one task's pieces of a length
+    before = Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumnRenamed("_part", "_p").select("_p", "_n", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part", length_col).orderBy("_at")) - 1
+    ranked = written.withColumn("_own", own).join(base, (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_n")))
     ranked = ranked.select(*(F.col(f"`{c}`") for c in pieces.columns), (F.col("_base") + F.col("_own")).alias("_rank"))
     entries = np.array(sorted(plan.entries), np.int64).reshape(-1, 5)
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -30,7 +30,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_PROBABILITY = 0.5
 #: Bounds of the sample that the model is fitted on: rows of each class.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 800
 HASH_BITS = 16
 KINDS = ("word1", "word2", "byte3", "byte4")
 BLOCK = 1 << 20
@@ -190,7 +190,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Q
         share = float(np.clip(y.mean() if len(y) else 1.0, 1e-6, 1 - 1e-6))
         return QualityModel(np.zeros((len(KINDS), 1 << HASH_BITS), np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     rows_ = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got]
-    held = np.arange(len(got)) % 4 == 3
+    del got
+    held = np.arange(len(y)) % 4 == 3
     own = np.flatnonzero(~held)
     ids = np.concatenate([rows_[k][0] for k in own])
     shares = np.concatenate([rows_[k][1] for k in own]).astype(np.float64)

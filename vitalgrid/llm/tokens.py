@@ -15,11 +15,11 @@ import re
 import numpy as np
 
 #: A worker keeps ids of so many pieces.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded each time.
 LONG_PIECE = 64
 #: Missing pieces are encoded so many at a time.
-ENCODE_AT_ONCE = 4096
+ENCODE_AT_ONCE = 2048
 _GROUPED = re.compile(r"  |\s \s")
 _encoders: dict[str, Encoder] = {}
 

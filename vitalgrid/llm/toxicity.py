@@ -45,7 +45,7 @@ FEATURE_BITS = 18
 #: Least log-likelihood ratio, and least share of toxic documents, for a stem to mark tokens.
 MIN_RATIO, MIN_SHARE = 25.0, 0.95
 #: A task keeps scores of so many words.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Chains longer than this run by themselves.
 ALONE = 2000
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|#*$%&+-=_/\\~`^@…“”‘’«»¿¡"
