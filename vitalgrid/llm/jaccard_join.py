@@ -17,7 +17,9 @@ A set with fewer than D + 1 cells in use would break the bound; the hash is
 then seeded anew, until no set has.
 
 Equal sets are one class from the start. Classes that share a key are
-candidates; exact verification reads their texts again. Links serve to build
+candidates. A parity sketch of SKETCH_BITS bits per class, whose Hamming
+distance can't exceed the symmetric difference, drops most pairs that are too
+far apart; exact verification reads the texts of the others again. Links serve to build
 components: in each bucket the classes are first held against one of them,
 then, where a bucket still spans several components, against another, and at
 last all pairs of different components are verified. So no pair is left that
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +50,9 @@ WORDS = 5
 SHARE, OF = 75, 100
 #: Sets under this size have a cell for every shingle.
 SMALL = 64
+#: Bits of the parity sketch that pairs are screened by.
+SKETCH_BITS = 512
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 #: Texts are hashed in stretches of about so many bytes.
 STRETCH = 1 << 20
 #: Frequent shingles are looked for in runs of so many, and at most so many are told to all tasks. They only order cells.
@@ -110,6 +115,19 @@ def class_of(s: np.ndarray) -> int:
         return int(mix(np.array([np.bitwise_xor.reduce(s) + s.sum(dtype=np.uint64) * _C[1] + np.uint64(len(s)) * _C[2]], np.uint64)).view(np.int64)[0]) if len(s) else 0
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each bit, as signed 64-bit words."""
+    at = (mix(s ^ _C[1]) >> np.uint64(33)) % np.uint64(SKETCH_BITS)
+    odd = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two sketches (columns with prefixes) leave room for the similarity; sizes are the columns ``n``."""
+    distance = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in SKETCH), F.lit(0))
+    return distance * 7 <= F.col(f"{a}n") + F.col(f"{b}n")
+
+
 def bands(n: int) -> list[tuple[int, int]]:
     """(cells, D) of each band that a set of n shingles enters; 0 cells: one for each shingle."""
     top = OF * n // SHARE  # the largest partner
@@ -143,11 +161,11 @@ def cells_of(s: np.ndarray, cells: int, seed: int, frequent: np.ndarray, often:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """(id, n, class) of every row; frequent shingles with their counts; how many sets break the bound under the seed."""
+    """(id, n, class, sketch) of every row; frequent shingles with their counts; how many sets break the bound under the seed."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     count = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("short", T.IntegerType()), T.StructField("counts", T.ArrayType(count))])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("short", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in SKETCH), T.StructField("counts", T.ArrayType(count))])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(SKETCH), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))]
     none = np.zeros(0, np.uint64)
 
     def run(batches):
@@ -159,12 +177,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
             keep = c >= max(4, rows // 200)
             out = [{"h": int(a), "c": int(b)} for a, b in zip(h[keep].view(np.int64), c[keep], strict=True)]
             held, size, rows = [], 0, 0
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, -1, 0, 0, out), kinds, strict=True)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, -1, 0, 0, *[0] * len(SKETCH), out), kinds, strict=True)], names=schema.names)
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist())
             short = [int(any(c and len(cells_of(s, c, seed, none, none)[0]) <= d for c, d in bands(len(s)))) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], [class_of(s) for s in sets], short, [None] * len(sets)), kinds[1:], strict=True))], names=schema.names)
+            sketch = np.stack([parity_sketch(s) for s in sets], 1) if sets else np.zeros((len(SKETCH), 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], [class_of(s) for s in sets], short, *sketch, [None] * len(sets)), kinds[1:], strict=True))], names=schema.names)
             held += sets
             size, rows = size + sum(map(len, sets)), rows + len(sets)
             if size >= COUNTED_AT_ONCE:
@@ -176,7 +195,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
     rows = got.where(F.col("n") >= 0)
     frequent = got.where(F.col("n") < 0).select(F.explode("counts").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
     short = rows.agg(F.sum("short")).first()[0] or 0
-    return rows.select("id", "n", "class"), frequent, short
+    return rows.select("id", "n", "class", *SKETCH), frequent, short
 
 
 def _filed(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, often: np.ndarray) -> DataFrame:
@@ -274,7 +293,7 @@ def _fits(small, large):
     return F.least(small, large) * OF >= F.greatest(small, large) * SHARE
 
 
-def _candidates(members: DataFrame, done: DataFrame | None, turn: int | None) -> DataFrame:
+def _candidates(members: DataFrame, names: DataFrame, done: DataFrame | None, turn: int | None) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a bucket and weren't verified yet.
 
     With a ``turn``: each bucket's members against one of them; without: all.
@@ -283,15 +302,17 @@ def _candidates(members: DataFrame, done: DataFrame | None, turn: int | None) ->
         w = Window.partitionBy("key").orderBy(F.xxhash64("class", F.lit(turn)), "class") if turn else Window.partitionBy("key").orderBy("n", "class")
         one = F.first(F.struct("class", "n", "root")).over(w)
         got = members.withColumn("one", one).where((F.col("one.root") != F.col("root")) & _fits(F.col("one.n"), F.col("n")))
-        pairs = got.select(F.least("one.class", "class").alias("a"), F.greatest("one.class", "class").alias("b"))
+        pairs = got.select(F.least("one.class", "class").alias("a"), F.greatest("one.class", "class").alias("b")).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(names.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH))), side)
+        pairs = pairs.where(_near("a_", "b_")).select("a", "b")
     else:
         # only buckets that span components
         spans = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
-        left = members.join(spans, "key", "left_semi")
-        right = left.select("key", *(F.col(c).alias(f"{c}_") for c in ("class", "n", "root")))
-        got = left.join(right, "key").where((F.col("class") < F.col("class_")) & (F.col("root") != F.col("root_")) & _fits(F.col("n"), F.col("n_")))
-        pairs = got.select(F.col("class").alias("a"), F.col("class_").alias("b"))
-    pairs = pairs.distinct()
+        held = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct().join(names, "class"), "spanning")
+        side = lambda p: held.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("class", "root", "n", *SKETCH)))
+        apart = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
+        pairs = side("a_").withColumnRenamed("key", "a_key").join(side("b_").withColumnRenamed("key", "b_key"), (F.col("a_key") == F.col("b_key")) & apart).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
 
 
@@ -306,14 +327,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         seed += 1
         rows, counts, short = _classes(docs, id_col, text_col, seed)
     frequent = sorted((r["h"] % (1 << 64), r["c"]) for r in counts.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect())
-    names = settle(rows.where(F.col("n") > 0).groupBy("class").agg(F.min("id").alias("first")), "classes")
+    names = settle(rows.where(F.col("n") > 0).groupBy("class").agg(F.min("id").alias("first"), F.min("n").alias("n"), *(F.min(k).alias(k) for k in SKETCH)), "classes")
     filed = _filed(docs, text_col, seed, np.array([f[0] for f in frequent], np.uint64), np.array([f[1] for f in frequent], np.int64))
     w = Window.partitionBy("key").orderBy("class")
     near = lambda f: F.coalesce(f("class").over(w) != F.col("class"), F.lit(False))
     shared = settle(filed.select("*", near(F.lag).alias("l"), near(F.lead).alias("r")).where("l or r").drop("l", "r"), "shared")
     links, done, roots = None, None, None
     for turn in [*range(STAR_ROUNDS), None]:
-        pairs = settle(_candidates(_labelled(shared, roots), done, turn), "pairs")
+        pairs = settle(_candidates(_labelled(shared, roots), names, done, turn), "pairs")
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.unionByName(pairs)
@@ -321,13 +342,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = settle(connected(links), "roots")
-    own = names
+    own = names.select("class", "first")
     if roots is not None:
-        joined = names.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+        joined = own.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
         least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
         own = joined.join(least, "root").select("class", F.col("component_id").alias("first"))
     own = settle(own, "members")
-    out = rows.join(own.withColumnRenamed("class", "_c"), (F.col("class") == F.col("_c")) & (F.col("n") > 0), "left")
+    out = rows.select("id", "n", "class").join(own.withColumnRenamed("class", "_c"), (F.col("class") == F.col("_c")) & (F.col("n") > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
 
 
