@@ -84,6 +84,27 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
 
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP6_SQL = f"""
+with payloads as (
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages
+), bits as (
+  select *, array_to_string(list_transform(string_split(sha, ''), lambda h: lpad(bin(strpos('0123456789abcdef', h) - 1), 4, '0')), '') as b from payloads
+), originals as (
+  select sha, max(page_id) as first from payloads group by sha
+), parts as (
+  select *, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else url end as rest from bits
+)
+select page_id, octet_length(encode(html)) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('{_BASE32}', list_sum(list_transform(range(5), lambda j: substr(b, (k * 5 + j + 1)::int, 1)::int * (16 >> j::int)))::int + 1, 1)), '') as payload_digest,
+       case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from first then first end as refers_to,
+       case when coalesce(url, '') = '' then '' else lower(array_to_string(list_reverse(string_split(regexp_extract(rest, '^[^/?#]*'), '.')), ',') || ')' || coalesce(nullif(regexp_extract(rest, '^[^/?#]*([^#]*)', 1), ''), '/')) end as url_key,
+       strftime(to_timestamp(coalesce(page_id + 946684800, 0)) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as timestamp
+from parts join originals using (sha)
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -95,6 +116,27 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = f"""
+with recursive words as (
+  select doc_id, row_number() over () as n, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), shingles as (
+  select n, doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) end) as s from words
+), flat as (
+  select n, len(s) as size, unnest(s) as x from shingles
+), links as (
+  select a.n as a, b.n as b from flat a join flat b on a.x = b.x and a.n < b.n
+  group by a.n, b.n, a.size, b.size having 100 * count(*) >= 75 * (a.size + b.size - count(*))
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select n, n as m from shingles union select b, m from reach join both_ways on n = a
+)
+select s.doc_id, len(s.s) as n_shingles, min(t.doc_id) as component_id
+from shingles s join reach r on r.n = s.n join shingles t on t.n = r.m
+group by s.n, s.doc_id, len(s.s)
+"""
+
+
 def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -149,4 +191,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": OP1_SQL, "op8_license_scan": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_warc_index": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_parity_join": OP9_SQL}
