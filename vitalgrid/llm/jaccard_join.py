@@ -267,7 +267,6 @@ def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, id_col: str,
 def connected(links: DataFrame) -> DataFrame:
     """(node, root): components of the links (a, b), root the smallest node; by alternating large and small stars."""
     edges = settle(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -275,10 +274,10 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = settle(small.where(F.col("u") != F.col("v")).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
+        # done when all are stars: no root has an edge of its own, and no node has two roots
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        if edges.join(roots, "u", "left_semi").isEmpty() and edges.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
