@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitalgrid.llm.arrow_map import BATCH_ROWS
+from vitalgrid.llm.common import settle
 
 #: Words of a seed window, of the shortest tile, and the least share of an item's words in tiles.
 SEED_WORDS = 5
@@ -219,10 +220,14 @@ def contaminated_pairs(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, judged row by row."""
+    """The rows of ``docs`` that no item contaminates, judged row by row.
+
+    Between blocks of items the rows left are written, so that a task holds one block at a time.
+    """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     position = docs.columns.index(text_col)
-    for items in item_blocks(benchmark, "item_id", "text", block_words):
+    for k, items in enumerate(item_blocks(benchmark, "item_id", "text", block_words)):
+        docs = settle(docs, "clean") if k else docs
 
         def run(batches, items=items):
             block = ItemBlock(items, SEED_WORDS, MIN_TILE, coverage)

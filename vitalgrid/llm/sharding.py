@@ -147,8 +147,9 @@ def _by_bytes(placed: DataFrame, names: list, size_col: str, n_shards: int, tota
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write one folder of Parquet files per shard, each in curve order."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write one folder of Parquet files per shard, each in curve order; a large shard is several files."""
+    n = int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sharded.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_bounds(sharded: DataFrame, dims: list[str]) -> DataFrame:
