@@ -58,6 +58,8 @@ STRETCH = 1 << 20
 #: Frequent shingles are looked for in runs of so many, and at most so many are told to all tasks. They only order cells.
 COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000
+#: A class carries so many of its keys, to tell that a pair meets more than once.
+FIRST_KEYS = 8
 #: Buckets are held against so many different members before all pairs are.
 STAR_ROUNDS = 2
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -308,10 +310,14 @@ def _candidates(members: DataFrame, names: DataFrame, done: DataFrame | None, tu
     else:
         # only buckets that span components
         spans = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
-        held = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct().join(names, "class"), "spanning")
-        side = lambda p: held.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("class", "root", "n", *SKETCH)))
+        base = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct(), "spanning")
+        firsts = base.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
+        held = settle(base.join(names, "class").join(firsts, "class"), "held")
+        side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "root", "n", *SKETCH, "keys")))
         apart = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
-        pairs = side("a_").withColumnRenamed("key", "a_key").join(side("b_").withColumnRenamed("key", "b_key"), (F.col("a_key") == F.col("b_key")) & apart).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+        # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
+        once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
+        pairs = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
 
 
