@@ -2,9 +2,17 @@
 
 Both vocabularies treat a run of characters up to the next single space alone:
 no token spans that place, and none looks back over it. A text is cut there
-and each piece is encoded once per worker. A text in which a space has white
-space on both sides, or more than one space in a row, is encoded in one go, as
-white space may then be grouped across the cut.
+and each piece is encoded once per worker. A piece that isn't kept is cut once
+more, after its first ASCII letters if another ASCII character follows: a run
+of letters is a unit of its own. A single line end between other characters is
+one too. Where the vocabulary marks a leading space, units are encoded many in
+one text, in which every unit's first token shows; where that doesn't add up,
+one by one. Where it marks word ends and lower-cases, an ASCII run of letters
+goes to the vocabulary's model as it is.
+
+A text in which a space has white space on both sides, or more than one space
+in a row, is encoded in one go, as white space may then be grouped across the
+cut.
 """
 
 from __future__ import annotations
@@ -14,13 +22,15 @@ import re
 
 import numpy as np
 
-#: A worker keeps ids of so many pieces.
-CACHE_PIECES = 250_000
+#: A worker keeps ids of so many pieces and units, in two generations: what is asked for stays, the rest goes.
+CACHE_PIECES = 150_000
 #: Longer pieces are encoded each time.
 LONG_PIECE = 64
-#: Missing pieces are encoded so many at a time.
-ENCODE_AT_ONCE = 2048
+#: Missing units are encoded so many at a time.
+ENCODE_AT_ONCE = 256
 _GROUPED = re.compile(r"  |\s \s")
+_LETTERS = re.compile(r" ?[A-Za-z]+")
+_SPACE = re.compile(r"\s")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -32,39 +42,100 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.old_kept: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_vocab()
+        size = max(tokens.values()) + 1
+        self.first, self.last = np.zeros(size, bool), np.zeros(size, bool)
+        for token, k in tokens.items():
+            self.first[k] = token.startswith("\u0120")  # how a byte-level vocabulary writes a leading space
+            self.last[k] = token.endswith("</w>")
+        self.folds = bool(self.last.any()) and self._fresh(["Ab"]) == self._fresh(["ab"])
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, units: list[str]) -> list[bytes]:
+        """Ids of units that start with a space and hold no other; of ASCII letters alone if the vocabulary folds case."""
+        if self.folds:
+            model = self.tokenizer.model
+            return [np.array([t.id for t in model.tokenize(u[1:])], np.uint32).tobytes() for u in units]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.append(np.flatnonzero(self.first[ids])[1:], len(ids))
+        if len(stops) != len(units):
+            return self._fresh(units)
+        data, ends = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _unit(self, u: str) -> str:
+        """The unit under which a run of letters is kept."""
+        return u.lower() if self.folds and u.isascii() else u
+
+    def _parts(self, p: str) -> list[str]:
+        m = _LETTERS.match(p)
+        end = m.end() if m else 0
+        return [self._unit(p[:end]), self._unit(p[end:])] if 0 < end < len(p) and p[end] < "\x80" else [self._unit(p)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't kept; a piece stands for itself after a space."""
+        known, old, cut, wanted = self.units, self.old_units, {}, {}
+        for x in pieces:
+            above, line_end, below = x.partition("\n")
+            if line_end and above and below and not _SPACE.search(above) and not _SPACE.search(below):
+                parts = [*self._parts(" " + above), "\n", *self._parts(below)]
+            else:
+                parts = self._parts(" " + x)
+            cut[x] = parts
+            for u in parts:
+                if u not in known:
+                    if u in old:
+                        known[u] = old[u]
+                    else:
+                        wanted[u] = None
+        spaced = [u for u in wanted if u[0] == " " and (u.isascii() and u[1:].isalpha() if self.folds else len(u) > 1 and not _SPACE.search(u, 1))]
+        plain = set(spaced)
+        others = [u for u in wanted if u not in plain]
+        new: dict[str, bytes] = {}
+        for names, encode in ((spaced, self._letters), (others, self._fresh)):
+            for k in range(0, len(names), ENCODE_AT_ONCE):
+                some = names[k : k + ENCODE_AT_ONCE]
+                new.update(zip(some, encode(some), strict=True))
+        get = lambda u: known[u] if u in known else new[u]
+        out = {x: get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for x, parts in cut.items()}
+        known.update((u, b) for u, b in new.items() if len(u) <= LONG_PIECE)
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         if len(self.kept) > CACHE_PIECES:
-            self.kept.clear()
-        kept = self.kept
-        cut: list[list[str] | None] = []
+            self.old_kept, self.kept = self.kept, {}
+        if len(self.units) > CACHE_PIECES:
+            self.old_units, self.units = self.units, {}
+        get, old = self.kept.get, self.old_kept
+        out: list[bytes] = [b""] * len(texts)
+        later: list[tuple[int, list[str], list]] = []
         missing: dict[str, None] = {}
-        for t in texts:
+        heads: list[tuple[int, str]] = []
+        for k, t in enumerate(texts):
             if not t:
-                cut.append([])
-            elif _GROUPED.search(t):
-                cut.append(None)
-            else:
-                first, *rest = t.split(" ")
-                pieces = [first, *[" " + x for x in rest]]
-                cut.append(pieces)
-                missing.update(dict.fromkeys(p for p in pieces if p not in kept))
-        new: dict[str, bytes] = {}
-        names = list(missing)
-        for k in range(0, len(names), ENCODE_AT_ONCE):
-            some = names[k : k + ENCODE_AT_ONCE]
-            new.update(zip(some, self._fresh(some), strict=True))
-        kept.update((p, b) for p, b in new.items() if len(p) <= LONG_PIECE)
-        out = []
-        for t, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out += self._fresh([t])
-            else:
-                out.append(b"".join([kept[p] if p in kept else new[p] for p in pieces]))
+                continue
+            if _GROUPED.search(t):
+                out[k] = self._fresh([t])[0]
+                continue
+            # what follows a space is looked up without it; the first piece has none
+            head, *rest = t.split(" ")
+            heads.append((k, head))
+            got = list(map(get, rest))
+            later.append((k, rest, got))
+            if None in got:
+                missing.update(dict.fromkeys(x for x, g in zip(rest, got, strict=True) if g is None))
+        new = {x: old[x] for x in missing if x in old}
+        new.update(self._learn([x for x in missing if x not in new]))
+        first = dict(zip((k for k, _ in heads), self._fresh([h for _, h in heads]), strict=True))
+        for k, rest, got in later:
+            out[k] = first[k] + b"".join([new[x] if g is None else g for x, g in zip(rest, got, strict=True)] if None in got else got)
+        self.kept.update((x, b) for x, b in new.items() if len(x) <= LONG_PIECE)
         return out
 
 
