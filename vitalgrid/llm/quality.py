@@ -38,7 +38,6 @@ BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 

@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import urllib.parse
 import uuid
 import zlib
 from datetime import UTC, datetime, timedelta
@@ -361,8 +360,3 @@ def read_capture(archive: str, at: int) -> tuple[dict[str, str], bytes]:
     with store.open_input_file(inside) as f:
         f.seek(at)
         return parse(next(members(f))[1])
-
-
-def encoded_url(url: str) -> str:
-    """A URL with everything but ASCII percent-encoded, as some readers want it."""
-    return urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]")
