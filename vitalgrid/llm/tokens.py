@@ -12,7 +12,7 @@ goes to the vocabulary's model as it is.
 
 A text in which a space has white space on both sides, or more than one space
 in a row, is encoded in one go, as white space may then be grouped across the
-cut.
+cut; so is one with a NUL after a space, which marks units here.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ import re
 
 import numpy as np
 
-#: A worker keeps ids of so many pieces and units, in two generations: what is asked for stays, the rest goes.
-CACHE_PIECES = 150_000
+#: A worker keeps ids of so many pieces, in two generations: what is asked for stays, the rest goes.
+CACHE_PIECES = 400_000
 #: Longer pieces are encoded each time.
 LONG_PIECE = 64
 #: Missing units are encoded so many at a time.
 ENCODE_AT_ONCE = 256
-_GROUPED = re.compile(r"  |\s \s")
-_LETTERS = re.compile(r" ?[A-Za-z]+")
+_GROUPED = re.compile(r"  |\s \s| \x00")
+_LETTERS = re.compile(r"[A-Za-z]*")
+_BARE = "\x00"
 _SPACE = re.compile(r"\s")
 _encoders: dict[str, Encoder] = {}
 
@@ -42,9 +43,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
         self.old_kept: dict[str, bytes] = {}
-        self.old_units: dict[str, bytes] = {}
         tokens = self.tokenizer.get_vocab()
         size = max(tokens.values()) + 1
         self.first, self.last = np.zeros(size, bool), np.zeros(size, bool)
@@ -68,50 +67,70 @@ class Encoder:
         data, ends = ids.tobytes(), [0, *(4 * stops).tolist()]
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _unit(self, u: str) -> str:
-        """The unit under which a run of letters is kept."""
-        return u.lower() if self.folds and u.isascii() else u
-
-    def _parts(self, p: str) -> list[str]:
-        m = _LETTERS.match(p)
-        end = m.end() if m else 0
-        return [self._unit(p[:end]), self._unit(p[end:])] if 0 < end < len(p) and p[end] < "\x80" else [self._unit(p)]
+    def _fold(self, x: str) -> str:
+        """The word under which a run of ASCII letters is kept."""
+        return x.lower() if self.folds and x.isascii() else x
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't kept; a piece stands for itself after a space."""
-        known, old, cut, wanted = self.units, self.old_units, {}, {}
+        """Ids of pieces that aren't kept, each as it stands after a space.
+
+        Words are kept by themselves; what stands without a space before it is kept under a mark.
+        """
+        known, old = self.kept, self.old_kept
+        new: dict[str, bytes] = {}
+        parts_of: dict[str, list[str]] = {}
+        words: dict[str, None] = {}
+        bare: dict[str, None] = {}
+
+        def want(key: str) -> str:
+            if key not in known and key not in new:
+                if key in old:
+                    new[key] = old[key]
+                elif key[:1] == _BARE:
+                    bare[key] = None
+                else:
+                    words[key] = None
+            return key
+
         for x in pieces:
+            if x.isalpha():
+                f = self._fold(x)
+                want(f)
+                if f is not x and f != x:
+                    parts_of[x] = [f]
+                continue
             above, line_end, below = x.partition("\n")
-            if line_end and above and below and not _SPACE.search(above) and not _SPACE.search(below):
-                parts = [*self._parts(" " + above), "\n", *self._parts(below)]
+            if not (line_end and above and below and not _SPACE.search(above) and not _SPACE.search(below)):
+                above, below = x, ""
+            end = _LETTERS.match(above).end()
+            parts = []
+            if 0 < end < len(above) and above[end] < "\x80":
+                parts += [want(self._fold(above[:end])), want(_BARE + above[end:])]
+            elif below:
+                parts.append(want(self._fold(above) if end == len(above) else above))
+            if below:
+                end = _LETTERS.match(below).end()
+                cut = 0 < end < len(below) and below[end] < "\x80"
+                parts += [want(_BARE + "\n"), *(want(_BARE + y) for y in ((below[:end], below[end:]) if cut else (below,)))]
+            if parts:
+                parts_of[x] = parts
             else:
-                parts = self._parts(" " + x)
-            cut[x] = parts
-            for u in parts:
-                if u not in known:
-                    if u in old:
-                        known[u] = old[u]
-                    else:
-                        wanted[u] = None
-        spaced = [u for u in wanted if u[0] == " " and (u.isascii() and u[1:].isalpha() if self.folds else len(u) > 1 and not _SPACE.search(u, 1))]
-        plain = set(spaced)
-        others = [u for u in wanted if u not in plain]
-        new: dict[str, bytes] = {}
-        for names, encode in ((spaced, self._letters), (others, self._fresh)):
+                words[x] = None
+        fit = [w for w in words if (w.isascii() and w.isalpha() if self.folds else w and not _SPACE.search(w))]
+        fits = set(fit)
+        jobs = ((fit, self._letters, lambda w: " " + w), ([w for w in words if w not in fits], self._fresh, lambda w: " " + w), (list(bare), self._fresh, lambda k: k[1:]))
+        for names, encode, text in jobs:
             for k in range(0, len(names), ENCODE_AT_ONCE):
                 some = names[k : k + ENCODE_AT_ONCE]
-                new.update(zip(some, encode(some), strict=True))
-        get = lambda u: known[u] if u in known else new[u]
-        out = {x: get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for x, parts in cut.items()}
-        known.update((u, b) for u, b in new.items() if len(u) <= LONG_PIECE)
-        return out
+                new.update(zip(some, encode([text(n) for n in some]), strict=True))
+        for x, parts in parts_of.items():
+            new[x] = b"".join([known[p] if p in known else new[p] for p in parts])
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         if len(self.kept) > CACHE_PIECES:
             self.old_kept, self.kept = self.kept, {}
-        if len(self.units) > CACHE_PIECES:
-            self.old_units, self.units = self.units, {}
         get, old = self.kept.get, self.old_kept
         out: list[bytes] = [b""] * len(texts)
         later: list[tuple[int, list[str], list]] = []
