@@ -116,6 +116,20 @@ def test_components(spark, docs_schema):
     assert kept == sorted(i for i, n, c in want if i == c)
 
 
+def test_every_link_is_kept(spark, docs_schema):
+    texts = near_copies()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in ((t or "").encode().lower().split() for t in texts)]
+    near = [{b for b in range(len(sets)) if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])} for a in range(len(sets))]
+    df = spark.createDataFrame([(k, t, "x", "y", 0) for k, t in enumerate(texts)], docs_schema).repartition(5)
+    pairs, members = jaccard_join.links(df)
+    rows: dict = {}
+    for r in members.where("class is not null").collect():
+        rows.setdefault(r["class"], []).append(r["doc_id"])
+    got = [(x, y) for p in pairs.collect() for x in rows[p["a"]] for y in rows[p["b"]]] + [(x, y) for c in rows.values() for x in c for y in c if x < y]
+    assert sorted(tuple(sorted(p)) for p in got) == sorted((a, b) for a in range(len(sets)) for b in near[a] if a < b)
+    assert sorted((r["doc_id"], r["n_links"]) for r in jaccard_join.linked(df).collect()) == [(a, len(near[a])) for a in range(len(sets))]
+
+
 def test_odd_rows(spark, docs_schema):
     df = spark.createDataFrame([(None, "a b c d e f", "x", "y", 0), (4, "a b c d e f", "x", "y", 0), (4, "other words are in this row", "x", "y", 0), (5, None, "x", "y", 0), (5, None, "x", "y", 0)], docs_schema)
     got = sorted((tuple(r) for r in jaccard_join.components(df).collect()), key=str)

@@ -19,12 +19,10 @@ then seeded anew, until no set has.
 Equal sets are one class from the start. Classes that share a key are
 candidates. A parity sketch of SKETCH_BITS bits per class, whose Hamming
 distance can't exceed the symmetric difference, drops most pairs that are too
-far apart; exact verification reads the texts of the others again. Links serve to build
-components: in each bucket the classes are first held against one of them,
-then, where a bucket still spans several components, against another, and at
-last all pairs of different components are verified. So no pair is left that
-could join two components, and a large group of near copies costs about as
-many verifications as it has members.
+far apart; exact verification reads the texts of the others again. Every
+candidate pair is verified, so the links are all there are between different
+sets, and components are derived from them; a group of near copies costs a
+verification for each of its pairs.
 
 Defined results: null texts and texts without words have no set, and are
 linked with nothing (component_id is the own id); a component's id is its
@@ -60,8 +58,6 @@ COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000
 #: A class carries so many of its keys, to tell that a pair meets more than once.
 FIRST_KEYS = 8
-#: Buckets are held against so many different members before all pairs are.
-STAR_ROUNDS = 2
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -283,49 +279,30 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("class"))
-    return members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
-
-
 def _fits(small, large):
     """Sizes of which the smaller can have the similarity."""
     return F.least(small, large) * OF >= F.greatest(small, large) * SHARE
 
 
-def _candidates(members: DataFrame, names: DataFrame, done: DataFrame | None, turn: int | None) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a bucket and weren't verified yet.
+def _candidates(members: DataFrame, names: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes that share a bucket and that sizes and sketches leave room for; each pair once."""
+    firsts = members.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
+    base = members.select("key", "class").distinct()
+    held = settle(base.join(names, "class").join(firsts, "class"), "held")
+    side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "n", *SKETCH, "keys")))
+    apart = (F.col("a_class") < F.col("b_class")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
+    # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
+    once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
+    return side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
 
-    With a ``turn``: each bucket's members against one of them; without: all.
-    """
-    if turn is not None:
-        w = Window.partitionBy("key").orderBy(F.xxhash64("class", F.lit(turn)), "class") if turn else Window.partitionBy("key").orderBy("n", "class")
-        one = F.first(F.struct("class", "n", "root")).over(w)
-        got = members.withColumn("one", one).where((F.col("one.root") != F.col("root")) & _fits(F.col("one.n"), F.col("n")))
-        pairs = got.select(F.least("one.class", "class").alias("a"), F.greatest("one.class", "class").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(names.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH))), side)
-        pairs = pairs.where(_near("a_", "b_")).select("a", "b")
-    else:
-        # only buckets that span components
-        spans = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
-        base = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct(), "spanning")
-        firsts = base.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
-        held = settle(base.join(names, "class").join(firsts, "class"), "held")
-        side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "root", "n", *SKETCH, "keys")))
-        apart = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
-        # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
-        once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
-        pairs = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
-    return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a, b), every pair of classes that are similar enough, and (id, n_shingles, class), the class of every row.
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+    Rows of one class have equal sets, so they are linked too; rows without a set have no class.
+    """
     spark = docs.sparkSession
-    batch_rows = lambda n: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-    batch_rows(BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     seed = 0
     rows, counts, short = _classes(docs, id_col, text_col, seed)
     while short:
@@ -337,24 +314,29 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     w = Window.partitionBy("key").orderBy("class")
     near = lambda f: F.coalesce(f("class").over(w) != F.col("class"), F.lit(False))
     shared = settle(filed.select("*", near(F.lag).alias("l"), near(F.lead).alias("r")).where("l or r").drop("l", "r"), "shared")
-    links, done, roots = None, None, None
-    for turn in [*range(STAR_ROUNDS), None]:
-        pairs = settle(_candidates(_labelled(shared, roots), names, done, turn), "pairs")
-        if pairs.isEmpty():
-            continue
-        done = pairs if done is None else done.unionByName(pairs)
-        found = _verified(pairs, names, docs, id_col, text_col)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = settle(connected(links), "roots")
-    own = names.select("class", "first")
-    if roots is not None:
-        joined = own.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-        least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-        own = joined.join(least, "root").select("class", F.col("component_id").alias("first"))
-    own = settle(own, "members")
-    out = rows.select("id", "n", "class").join(own.withColumnRenamed("class", "_c"), (F.col("class") == F.col("_c")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("component_id"))
+    pairs = settle(_candidates(shared, names), "pairs")
+    members = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return _verified(pairs, names, docs, id_col, text_col), members
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, n_links, component_id) of every row; ``n_links`` is the number of other rows that it is linked with."""
+    pairs, members = links(docs, id_col, text_col)
+    roots = connected(pairs)
+    sizes = settle(members.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.min(id_col).alias("first")), "sizes")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes.select(F.col("class").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("others"))
+    own = sizes.join(roots, F.col("class") == F.col("node"), "left").select("class", "m", "first", F.coalesce("root", "class").alias("root"))
+    least = own.groupBy("root").agg(F.min("first").alias("least"))
+    own = own.join(least, "root").join(others, F.col("class") == F.col("node"), "left")
+    own = settle(own.select(F.col("class").alias("_c"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least"), "members")
+    out = members.join(own, F.col("class") == F.col("_c"), "left")
+    return out.select(id_col, "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class").isNotNull(), F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    return linked(docs, id_col, text_col).drop("n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
