@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on everything that its
 predecessor kept; its result is written as Parquet and read again as the next
 stage's documents. The first four return the columns of ``documents``, the last
-returns the packed pieces. Models are fitted on the labelled rows among the
+writes the packed sequences and returns the pieces read from them. Models are fitted on the labelled rows among the
 documents that a stage is given.
 """
 
@@ -40,7 +40,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids, packed into sequences."""
+    """Packed sequences of the documents' ids, written to the shared folder; the pieces as read back from them."""
     return packed_documents(docs)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.llm import packing, sharding, token_output, tokens
-from vitalgrid.llm.queries import vocabulary
+from vitalgrid.llm.queries import packed_documents, vocabulary
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -63,6 +63,28 @@ def test_packing_a_table(spark, docs_schema):
     assert packing.pack(packing.token_pieces(df.limit(0), vocabulary("word_bpe_49k.json"))).count() == 0
 
 
+def test_written_sequences_hold_every_id(spark, docs_schema, monkeypatch):
+    texts = ["b c", None, "", "some words " * 5000, "b c", "é ü"]
+    ids = [5, 3, None, 1, 5, 9]
+    df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in zip(ids, texts, strict=True)], docs_schema)
+    written = []
+    write = packing.write_sequences
+    monkeypatch.setattr(packing, "write_sequences", lambda packed: written.append(write(packed)) or written[-1])
+    got = packed_documents(df).collect()
+    enc, tail = tokens.Encoder(vocabulary("word_bpe_49k.json")), np.array([packing.END_ID], np.uint32).tobytes()
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        all_ids = enc.encode([t])[0] + tail
+        for k, at in enumerate(range(0, len(all_ids), 4 * 4096)):
+            part = all_ids[at : at + 4 * 4096]
+            want.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    files = {r["sequence_id"]: np.frombuffer(r["ids"], "<u2").astype("<u4") for r in written[0].collect()}
+    assert all(zlib.crc32(files[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]) == r["ids_crc32"] for r in got)
+    assert sum(map(len, files.values())) == sum(w[3] for w in want)
+    assert packed_documents(df.limit(0)).count() == 0
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     docs = [np.concatenate([rng.integers(0, 6, int(rng.integers(0, 60))), [2]]).astype(np.uint32) for _ in range(200)] + [np.array([7] * 5000 + [2], np.uint32), np.array([2], np.uint32)]

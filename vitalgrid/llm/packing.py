@@ -244,9 +244,11 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     return ranked.mapInArrow(assign, out)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, id_type: str = "<u4") -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32[, ids]) of every document's ids and the end id.
 
+    ``ids`` holds numbers of ``id_type``; ``ids_crc32`` is always that of 32-bit ids.
+
     Only documents longer than ``capacity`` are cut. Null text is empty: its one piece is the end id.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -258,13 +260,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches):
         enc = encoder(vocabulary)
+        if max(len(enc.first) - 1, end_id) > np.iinfo(id_type).max:
+            raise ValueError(f"ids of the vocabulary don't fit {id_type}")
         for batch in batches:
             kind, cols = batch.schema.field(0).type, [[] for _ in range(6)]
             for k, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
                 ids += tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for c, v in zip(cols, (k, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
+                    for c, v in zip(cols, (k, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(id_type).tobytes() if with_ids else None), strict=True):
                         c.append(v)
             arrays = [batch.column(0).take(pa.array(cols[0], pa.int32())).cast(kind), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cols[5], pa.binary())] if with_ids else []), names=schema.names)
@@ -272,7 +276,36 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     return base.mapInArrow(run, schema)
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids, starts): the ids of each sequence joined, from pieces that were cut with their ids."""
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # a sequence has at most ``capacity`` pieces
-    return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"), F.col("p.offset").alias("starts"))
+def sequences(packed: DataFrame, members: tuple[str, ...] = ()) -> DataFrame:
+    """(sequence_id, ids, starts[, members]): the ids of each sequence joined, from pieces that were cut with their ids.
+
+    ``members`` names columns of the pieces that are kept, in the order of ``starts``.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids", *members)))  # a sequence has at most ``capacity`` pieces
+    kept = [F.transform("p", lambda x: F.struct(*(x[m].alias(m) for m in members))).alias("members")] if members else []
+    return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"), F.col("p.offset").alias("starts"), *kept)
+
+
+def write_sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The sequences of ``packed`` pieces with the pieces they hold, written to the shared folder and read back."""
+    return settle(sequences(packed, (id_col, "piece", "start")), "sequences")
+
+
+def read_pieces(written: DataFrame, id_type: str = "<u4") -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece in written sequences, from their ids."""
+    held = written.schema["members"].dataType.elementType.fields
+    schema = T.StructType([*held, *(T.StructField(n, T.LongType()) for n in ("length", "ids_crc32", "sequence_id", "offset"))])
+    width = np.dtype(id_type).itemsize
+
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in range(4)]
+            for sequence, ids, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                whole = np.frombuffer(ids, id_type).astype("<u4")
+                for at, end in zip(starts, [*starts[1:], len(ids) // width], strict=True):
+                    for c, v in zip(cols, (end - at, zlib.crc32(whole[at:end]), sequence, at), strict=True):
+                        c.append(v)
+            own = batch.column(3).flatten()
+            yield pa.RecordBatch.from_arrays([*(own.field(k) for k in range(len(held))), *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
+
+    return written.select("sequence_id", "ids", "starts", "members").mapInArrow(run, schema)

@@ -16,6 +16,7 @@ URL_RULES = [
     url_filters.UrlRule("org/fr/", "allow"),
 ]
 N_SHARDS = 40
+PACKED_IDS = "<u2"
 
 
 def vocabulary(name: str) -> str:
@@ -52,7 +53,9 @@ from judged left join fits using (n)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    return packing.pack(packing.token_pieces(docs, vocabulary("word_bpe_49k.json")))
+    """Every piece as it stands in the written sequences."""
+    pieces = packing.token_pieces(docs, vocabulary("word_bpe_49k.json"), with_ids=True, id_type=PACKED_IDS)
+    return packing.read_pieces(packing.write_sequences(packing.pack(pieces)), PACKED_IDS)
 
 
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
