@@ -46,3 +46,14 @@ def test_licenses(spark, docs_schema):
     got = sorted((r["doc_id"], r["license_id"], r["unit"], r["line_no"]) for r in license_scan.scan_licenses(df).collect())
     assert got == [(1, "Apache-2.0", "line", 2), (2, "MIT", "line", 2), (2, "MIT", "text", 0), (5, "MIT", "line", 1), (5, "MIT", "text", 0)]
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_full_license_texts(spark, docs_schema):
+    folder = license_scan.TEXTS
+    mit, bsd, isc, apache = ((folder / f"{n}.txt").read_text() for n in ("MIT", "BSD-3-Clause", "ISC", "Apache-2.0"))
+    assert mit.startswith("Permission is hereby granted, free of charge") and bsd.count("\n3. Neither the name") == 1 and len(apache) > 10_000
+    header = apache[apache.index("   Licensed under the Apache") :].replace("\n", " ")
+    texts = [f"The MIT License (MIT)\n\n\u00a9 2020 Some Holder\n\n{mit}", mit.replace("\n\n", "\v").replace("\n", " ").replace("\v", "\n"), f"Copyright (c) 2001 X\nAll rights reserved.\n\n{bsd}", isc, apache, f"Copyright 2020 X\n{header}", "# SPDX-License-Identifier: MIT", mit[:-20]]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], docs_schema)
+    got = sorted((r["doc_id"], r["license_id"]) for r in license_scan.scan_licenses(df).where("unit = 'text'").collect())
+    assert got == [(0, "MIT"), (1, "MIT"), (2, "BSD-3-Clause"), (3, "ISC"), (4, "Apache-2.0"), (5, "Apache-2.0"), (6, "MIT")]

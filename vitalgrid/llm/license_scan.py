@@ -19,7 +19,9 @@ result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ class KnownText:
     text: str
 
 
-#: Notices of well-known licences.
-NOTICES = (
+#: One-line notices of well-known licences.
+LINES = (
     KnownText("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     KnownText("MIT", "Released under the MIT License."),
     KnownText("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -47,6 +49,37 @@ NOTICES = (
     KnownText("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
 )
 
+#: Full texts, one file for each licence.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Titles that may stand above a text that has none of its own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "ISC": ("ISC License", "The ISC License"),
+}
+
+
+def license_texts() -> tuple[KnownText, ...]:
+    """The full texts as they are handed on: with and without title, numbers of conditions and appendix; Apache's standard header; SPDX lines."""
+    out = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        name, text = file.stem, file.read_text(encoding="utf-8").replace("'", " ")  # an apostrophe is a blank in canonical form
+        forms = [text]
+        if name.startswith("BSD"):
+            forms.append(re.sub(r"(?m)^\d\. ", "* ", text))
+        if name == "Apache-2.0":
+            terms, appendix = text.split("   END OF TERMS AND CONDITIONS", 1)
+            header = appendix[appendix.index("   Licensed under the Apache License") :]
+            forms += [terms, terms + "   END OF TERMS AND CONDITIONS", header]
+        forms += [f"{title}\n\n{form}" for form in forms for title in TITLES.get(name, ())]
+        out += [KnownText(name, form) for form in [*forms, f"SPDX-License-Identifier: {name}"]]
+    return tuple(out)
+
+
+#: All known texts: the one-line notices and the full texts.
+NOTICES = LINES + license_texts()
+
 #: Spellings that count as the same, each with its canonical one.
 SPELLINGS = (
     ("licence", "license"),
@@ -66,7 +99,7 @@ SPELLINGS = (
 )
 
 #: A line that starts so is a copyright line and not part of the terms.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:copyright|\(c\)|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Everything but ASCII letters, digits, line ends and characters beyond ASCII counts as a blank.
 BLANKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
