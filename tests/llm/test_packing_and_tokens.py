@@ -4,17 +4,28 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from vitalgrid.llm import packing, sharding, token_output, tokens
 from vitalgrid.llm.queries import packed_documents, vocabulary
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_cut_encoding_equals_whole_encoding(name):
+def test_cut_encoding_equals_the_library(name, monkeypatch):
     enc, rng = tokens.Encoder(vocabulary(name)), random.Random(5)
-    alphabet = [*"ab' ,\n\t 1é!<|", "'s", "  ", " ", "\x85", "́"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "", " ", "<|endoftext|> x"]
-    assert enc.encode(texts) == [b"" if not t else enc._fresh([t])[0] for t in texts]
+    plain = [*"abZé' ,\n\t\r 1!<|«–’Жя", "'s", "'LL", "  ", " \n", "the", " The"]
+    odd = [*"\x85\x1c\u0301İſ世²", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(plain + odd * (k % 5 == 0)) for _ in range(rng.randint(0, 40))) for k in range(4000)] + [None, "", " ", "<|endoftext|> x"]
+    library = Tokenizer.from_file(vocabulary(name))
+    want = [b"" if not t else np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert enc.encode(texts) == want
+    monkeypatch.setattr(tokens, "STRETCH", 300)
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 50)
+    assert tokens.Encoder(vocabulary(name)).encode(texts) == want
+    long = " ".join(t for t in texts[1:500] if "\u0301" not in (t or "") and t)
+    parts = list(tokens.stretches(long, 300))
+    assert len(parts) > 5 and "".join(parts) == long
+    assert enc.encode([long])[0] == np.array(library.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -23,7 +34,7 @@ def test_plans_place_every_piece_once(seed):
     capacity = int(rng.integers(5, 300))
     lengths = np.concatenate([rng.integers(1, capacity + 1, 2000), np.full(700, rng.integers(1, capacity + 1))])
     histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
-    plan = packing.plan_packing(histogram, capacity, (4, 16))
+    plan = packing.plan_packing(histogram, capacity, ((4, 3), (16, 3)))
     used: dict[int, list] = {}
     placed: dict[int, int] = {}
     for length, rank, first, copies, offset in sorted(plan.entries):
@@ -99,6 +110,21 @@ def test_grammar_round_trip_and_random_access():
             assert np.array_equal(back.span(k, start, n), docs[k][start : start + n])
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        ids = rng.integers(0, rng.integers(1, 9), int(rng.integers(1, 900))).astype(np.uint32)
+        ends = rng.random(len(ids)) < 0.05
+        ends[-1] = True
+        least = 2 + k % 7
+        symbols, last, left, right, bases = token_output.compress(ids, ends, least)
+        assert np.array_equal(token_output.expand(symbols, left, right, bases), ids)
+        inside = ~last[:-1]
+        pairs = list(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist(), strict=True))
+        # a symbol twice is counted by places that may overlap
+        assert all(sum(p == q for q in pairs) < (2 * least if p[0] == p[1] else least) for p in set(pairs))
+
+
 def test_token_files(spark, docs_schema):
     texts = ["b c", None, "", "x" * 300_000, "b c", "é ü"]
     ids = [5, 3, None, 1, 5, 9]
@@ -112,6 +138,15 @@ def test_token_files(spark, docs_schema):
         at += r["n_tokens"]
     want = sorted(zlib.crc32(enc.encode([t])[0] + np.array([2], np.uint32).tobytes()) for t in texts)
     assert sorted(r["ids_crc32"] for r in got) == want
+    manifest = token_output.write_ids(df, vocabulary("byte_bpe_50k.json"), block_ids=1000)
+    for m in manifest.collect():
+        k = 0
+        for block in token_output.read_blocks(m["file"]):
+            for _, ids in block.documents():
+                at, n = len(ids) // 3, max(1, len(ids) // 2)
+                assert np.array_equal(token_output.read_span(m["file"], k, at, n), ids[at : at + n])
+                k += 1
+        assert k == m["documents"]
     assert token_output.read_ids(token_output.write_ids(df.limit(0), vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
@@ -126,7 +161,10 @@ def test_hilbert_curve_visits_every_cell_by_unit_steps():
 
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards(spark, law):
-    df = spark.createDataFrame([(k if k % 50 else None, f"s{k % 7}" if k % 11 else None, k % 13, 10 + k % 90) for k in range(1003)], "doc_id long, source string, n int, size long").withColumn("shard", F.lit(9)).drop("shard")
+    df = spark.createDataFrame([(k if k % 50 else None, f"s{k % 7}" if k % 11 else None, k % 13, 10 + k % 90) for k in range(1003)], "doc_id long, source string, n int, size long").withColumns({"shard": F.lit(9), "Slot": F.lit("clash"), "curve": F.lit(None).cast("string")})
+    out = sharding.hilbert_shards(df, ["source", "n"], 7, law, "size", ("doc_id",))
+    assert out.columns == ["doc_id", "source", "n", "size", "curve", "shard", "slot"]
+    assert sharding.hilbert_shards(df, ["shard", "n"], 7, law, "size", ("curve",)).count() == 1003
     rows = sharding.hilbert_shards(df, ["source", "n"], 7, law, "size", ("doc_id",)).collect()
     assert len(rows) == 1003
     shards: dict = {}
@@ -139,3 +177,17 @@ def test_shards(spark, law):
     ends = [(min(r["curve"] for r in shards[k]), max(r["curve"] for r in shards[k])) for k in range(7)]
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
     assert sharding.hilbert_shards(df.limit(0), ["source", "n"], 7, law, "size").count() == 0
+
+
+def test_strings_are_ranked_by_whole_values(spark, tmp_path):
+    values = [f"https://www.example.org/a/long/shared/prefix/{k:04d}" for k in range(640)] + ["!outlier", None] + ["hot"] * 300
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id long, url string")
+    cuts = sharding._string_cuts(df, "url", 3)
+    ordered = sorted(v for v in values if v)
+    assert cuts == sorted({ordered[-(-len(ordered) * k // 8) - 1] for k in range(1, 8)})
+    sharded = sharding.hilbert_shards(df, ["url"], 5, tie_cols=("doc_id",))
+    bounds = {r["shard"]: r for r in sharding.shard_bounds(sharded, ["url"]).collect()}
+    assert sum(r["n_rows"] for r in bounds.values()) == len(values) and len({r["min_url"] for r in bounds.values()}) == 5
+    sharding.write_shards(sharded, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in back.collect()) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharded.collect())

@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch; texts are long, so fewer than Spark's default.
+#: Most rows and bytes of an Arrow batch; texts are long, so fewer than Spark's defaults. A longer row is a batch by itself.
 BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session to these bounds; every operator here uses the same ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
@@ -19,7 +26,7 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work:
     ``work()`` is called once per task and returns a function from a list of
     texts (None for null) to one list of values per field.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
     base = df.select(*(df[f"`{c}`"] for c in kept)) if len(kept) < len(df.columns) else df

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.llm.arrow_map import BATCH_ROWS
+from vitalgrid.llm.arrow_map import bound_batches
 from vitalgrid.llm.common import settle
 
 #: Words of a seed window, of the shortest tile, and the least share of an item's words in tiles.
@@ -198,7 +198,7 @@ def contaminated_pairs(
     seed: int = SEED_WORDS, min_tile: int = MIN_TILE, coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Rows (id, item id, item_words, covered_words, coverage, tiles) of contaminated pairs."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
     schema = T.StructType([T.StructField(id_col, base.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("item_words", T.LongType()), T.StructField("covered_words", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(TILE))])
     out = base.sparkSession.createDataFrame([], schema)
@@ -224,7 +224,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Between blocks of items the rows left are written, so that a task holds one block at a time.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     position = docs.columns.index(text_col)
     for k, items in enumerate(item_blocks(benchmark, "item_id", "text", block_words)):
         docs = settle(docs, "clean") if k else docs

@@ -1,8 +1,8 @@
 """Best-fit packing with patterns fitted by non-negative least squares.
 
 The lengths' histogram has at most ``capacity`` rows, so planning is the same
-work at any size. On a coarse grid, all patterns of at most MAX_DOCS lengths
-that fill a sequence are enumerated; repeat counts are fitted to the histogram
+work at any size. On a grid of cells, all patterns of a few lengths that fill
+a sequence are enumerated; repeat counts are fitted to the histogram
 by non-negative least squares and rounded; each pattern takes its pieces
 longest first, the last one the longest that still fits. What is left is
 packed best fit, longest first, into the room
@@ -10,8 +10,9 @@ that the patterns leave and into new sequences. The plan is made for a few
 grids and the one with the fewest sequences is kept.
 
 A plan maps (length, rank among pieces of that length) to (sequence, offset).
-Pieces are ranked inside the task that wrote them, and the tasks' counts of each
-length are summed up, so a length that very many pieces share is no one task's.
+Each task numbers its pieces of a length while it writes them, and the tasks'
+counts of each length are summed up, so a length that very many pieces share is
+no one task's and pieces aren't shuffled to be ranked.
 
 Lengths must be 1 to the capacity. Repeated rows are packed each for itself; an
 empty table packs into nothing. Columns named like the added ones are
@@ -26,23 +27,23 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.llm.arrow_map import BATCH_ROWS
+from vitalgrid.llm.arrow_map import bound_batches
 from vitalgrid.llm.common import settle
 from vitalgrid.llm.tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-#: Cells of the grid a sequence is divided into, and documents in a pattern.
-GRIDS = (32, 64, 128)
-MAX_DOCS = 3
+#: Grids that are tried: cells that a sequence is divided into, and most documents of a pattern. Fine grids have short patterns, so that all can be enumerated.
+GRIDS = ((128, 3), (64, 4), (32, 6))
 _RANK_BITS = 44
 
 
-def fill_patterns(cells: int, max_docs: int = MAX_DOCS) -> np.ndarray:
+def fill_patterns(cells: int, max_docs: int) -> np.ndarray:
     """Columns: how often each cell count 1..cells stands in a pattern of at most ``max_docs`` that sums to ``cells``."""
     found: list[tuple[int, ...]] = []
 
@@ -147,11 +148,11 @@ class Plan:
             count -= m * copies
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, grids: tuple[int, ...] = GRIDS) -> Plan:
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, grids: tuple[tuple[int, int], ...] = GRIDS) -> Plan:
     """The plan with the fewest sequences over the grids."""
     if histogram and not (1 <= min(histogram) and max(histogram) <= capacity):
         raise ValueError(f"lengths must be 1 to {capacity}")
-    plans = [_plan(histogram, capacity, min(g, capacity)) for g in grids]
+    plans = [_plan(histogram, capacity, min(cells, capacity), docs) for cells, docs in grids]
     return min(plans, key=lambda p: p.n_sequences)
 
 
@@ -178,13 +179,13 @@ class Stock:
             self.lengths.pop(bisect_left(self.lengths, length))
 
 
-def _plan(histogram: dict[int, int], capacity: int, cells: int) -> Plan:
+def _plan(histogram: dict[int, int], capacity: int, cells: int, max_docs: int) -> Plan:
     plan, cell, stock = Plan(capacity), -(-capacity // cells), Stock(histogram)
     b = np.zeros(cells)
     for length, n in histogram.items():
         b[-(-length // cell) - 1] += n
     if b.sum():
-        a = fill_patterns(cells)
+        a = fill_patterns(cells, max_docs)
         weight = np.sqrt(np.arange(1, cells + 1) / cells)[:, None]  # a long piece that is left over costs more
         x = nnls(a * weight, b * weight[:, 0] / b.sum()) * b.sum()
         for k in np.argsort(-x, kind="stable"):
@@ -212,21 +213,36 @@ def _plan(histogram: dict[int, int], capacity: int, cells: int) -> Plan:
     return plan
 
 
-def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, grids: tuple[int, ...] = GRIDS) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, grids: tuple[tuple[int, int], ...] = GRIDS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (longs); offsets are gapless from 0 in a sequence."""
     added = {"sequence_id", "offset"}
     pieces = pieces.select(*(F.col(f"`{c}`") for c in pieces.columns if c.lower() not in added))
     place = pieces.columns.index(length_col)
-    at = F.col("_at")
-    written = settle(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces").withColumn("_part", F.shiftright(at, 33))
-    counts = settle(written.groupBy("_part", F.col(length_col).cast("long").alias("_n")).agg(F.count(F.lit(1)).alias("_many")), "lengths")
+    bound_batches(pieces.sparkSession)
+    numbered = T.StructType([*pieces.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_own", T.LongType())])
+
+    def number(batches):
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            n = batch.column(place).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(n) and not (n.min() >= 1 and n.max() <= capacity):
+                raise ValueError(f"lengths must be 1 to {capacity}")
+            order = np.argsort(n, kind="stable")
+            sorted_ = n[order]
+            own = np.empty(len(n), np.int64)
+            own[order] = np.arange(len(n)) - np.searchsorted(sorted_, sorted_) + seen[sorted_]
+            seen += np.bincount(n, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int64)), pa.array(own)], names=numbered.names)
+
+    written = settle(pieces.mapInArrow(number, numbered), "pieces", "zstd")
+    counts = settle(written.groupBy("_part", F.col(f"`{length_col}`").cast("long").alias("_n")).agg(F.count(F.lit(1)).alias("_many")), "lengths")
     histogram = {r["_n"]: r["many"] for r in counts.groupBy("_n").agg(F.sum("_many").alias("many")).collect()}  # at most ``capacity`` rows
     plan = plan_packing(histogram, capacity, grids)
-    # windows over the tasks' counts of one length, and over one task's pieces of a length
+    # a window over the tasks' counts of one length
     before = Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumnRenamed("_part", "_p").select("_p", "_n", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("_part", length_col).orderBy("_at")) - 1
-    ranked = written.withColumn("_own", own).join(base, (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_n")))
+    base = settle(base, "ranks")  # broadcast or joined by its measured size
+    ranked = written.join(base, (F.col("_part") == F.col("_p")) & (F.col(f"`{length_col}`") == F.col("_n")))
     ranked = ranked.select(*(F.col(f"`{c}`") for c in pieces.columns), (F.col("_base") + F.col("_own")).alias("_rank"))
     entries = np.array(sorted(plan.entries), np.int64).reshape(-1, 5)
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -251,7 +267,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     Only documents longer than ``capacity`` are cut. Null text is empty: its one piece is the end id.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
     schema = T.StructType([base.schema.fields[0], T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
     if with_ids:
@@ -260,7 +276,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches):
         enc = encoder(vocabulary)
-        if max(len(enc.first) - 1, end_id) > np.iinfo(id_type).max:
+        if max(enc.largest, end_id) > np.iinfo(id_type).max:
             raise ValueError(f"ids of the vocabulary don't fit {id_type}")
         for batch in batches:
             kind, cols = batch.schema.field(0).type, [[] for _ in range(6)]
@@ -288,7 +304,7 @@ def sequences(packed: DataFrame, members: tuple[str, ...] = ()) -> DataFrame:
 
 def write_sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The sequences of ``packed`` pieces with the pieces they hold, written to the shared folder and read back."""
-    return settle(sequences(packed, (id_col, "piece", "start")), "sequences")
+    return settle(sequences(packed, (id_col, "piece", "start")), "sequences", "zstd")
 
 
 def read_pieces(written: DataFrame, id_type: str = "<u4") -> DataFrame:

@@ -2,16 +2,24 @@
 
 Documents are encoded, ordered by id and written in blocks. In each block the
 most frequent pairs of neighbouring symbols are replaced by new symbols, round
-after round; pairs of one round share no symbol in opposite places, so their
-replacements don't overlap, and no pair spans two documents. A block holds the
-pairs, the number of ids that every new symbol stands for, and the symbols
-left, so any stretch of a document is decoded from the few symbols over it.
-
-File: blocks one after another, each with its byte length in front. Block:
+after round, until no pair is left that occurs LEAST times. Pairs of one round
+share no symbol in opposite places, so their replacements don't overlap, and
+no pair spans two documents. Replacing pairs never makes another old pair more
+frequent, so a place whose pair has become rare is looked at again only when a
+new symbol comes to stand there. A block holds the pairs, the number of ids
+that every new symbol stands for, and the symbols left, so any stretch of a
+document is decoded from the few symbols over it.
+
+File: blocks one after another, each with its byte length in front; a length of
+zero; the index: place, documents and ids of every block; the number of
+blocks. ``read_span`` finds a stretch of one document through the index. Block:
 magic, six counts, the rounds' first symbols, pairs, expansion lengths,
 document ids with a mask of nulls, symbols and ids per document, and the symbols
 in three bytes (four if one needs them). All numbers are little-endian.
 
+A grammar is a block's own, of BLOCK_IDS ids or one longer document: that
+bounds a task's memory, whatever the size of its file.
+
 Each sort partition writes one file, in order, so starts follow from the files'
 totals. A task names its file by a fresh id and only committed tasks' files are
 in the manifest. Null texts are empty (the end id alone); null document ids
@@ -32,94 +40,137 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.arrow_map import BATCH_ROWS
-from vitalgrid.llm.common import scratch_path, settle
+from vitalgrid.llm.arrow_map import bound_batches
+from vitalgrid.llm.common import parts_for, scratch_path, settle
 from vitalgrid.llm.tokens import encoder
 from vitalgrid.llm.warc import filesystem
 
 END_ID = 2
-#: Ids of a block (a longer document is a block of its own), rounds, pairs of a round, and least occurrences of a pair.
+#: Ids of a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
-ROUNDS = 8
-PAIRS = 2048
+#: A rule takes twelve bytes and a place saves three, so pairs of fewer places don't pay.
 LEAST = 8
+#: A round takes pairs down to this share of the most frequent one's places.
+OF_TOP = 1000
+#: Text bytes of a sort partition.
+PART_BYTES = 64 << 20
+_SLOT_BITS = 20
 _MAGIC = b"RPG1"
 _COUNTS = struct.Struct("<6Q")
 _SIZE = struct.Struct("<Q")
+_INDEX = struct.Struct("<3Q")
 
 
-def _choose(key: np.ndarray, count: np.ndarray, pairs: int) -> np.ndarray:
-    """The most frequent pairs of which no symbol is left in one and right in another."""
-    top = np.argsort(-count, kind="stable")[: 4 * pairs]
+def _choose(pair: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The most frequent pairs of which no symbol is left in one and right in another, most frequent first."""
+    order = np.argsort(-count, kind="stable")
     left, right, out = set(), set(), []
-    for k in key[top].tolist():
+    for k in pair[order].tolist():
         a, b = k >> 32, k & 0xFFFFFFFF
         if a in right or b in left or (a == b and (a in left or b in right)):
             continue
         left.add(a)
         right.add(b)
-        if a == b:
+        if a == b:  # takes both sides
             left.add(b)
             right.add(a)
         out.append(k)
-        if len(out) == pairs:
-            break
-    return np.array(sorted(out), np.int64)
+    return np.array(out, np.int64)
+
+
+def _slots(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     """(symbols, last-of-document mask, left, right, first new symbol of each round)."""
-    symbols, last = ids.astype(np.int64), ends.copy()
-    fresh = int(symbols.max()) + 1 if len(symbols) else 0
+    n = len(ids)
+    symbols = np.append(ids.astype(np.int64), -1)
+    follower, leader = np.arange(1, n + 2), np.arange(-1, n)
+    follower[:n][ends] = n  # n is no place
+    leader[1 : n + 1][ends] = n
+    leader[:1] = n
+    open_, live = np.append(~ends, False), np.ones(n, bool)
+    fresh = int(ids.max()) + 1 if n else 0
     lefts, rights, bases = [], [], []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = (symbols[:-1] << 32) | symbols[1:]
-        inner = np.sort(key[~last[:-1]])
-        edge = np.flatnonzero(np.concatenate(([True], inner[1:] != inner[:-1], [True]))) if len(inner) else np.zeros(1, np.int64)
+    slot_of = np.full(1 << _SLOT_BITS, -1, np.int32)
+    while True:
+        at = np.flatnonzero(open_)
+        key = (symbols[at] << 32) | symbols[follower[at]]
+        slot = _slots(key)
+        held = np.sort(key)
+        edge = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1], [True]))) if len(held) else np.zeros(1, np.int64)
         count = np.diff(edge)
         often = count >= least
         if not often.any():
             break
-        chosen = _choose(inner[edge[:-1]][often], count[often], pairs)
-        is_left, is_right = np.zeros(fresh, bool), np.zeros(fresh, bool)
-        is_left[chosen >> 32] = True
-        is_right[chosen & 0xFFFFFFFF] = True
-        at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & ~last[:-1])
-        which = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
-        hit = chosen[which] == key[at]
+        pair = held[edge[:-1]][often]
+        chosen = _choose(pair, count[often])
+        # of pairs in one slot the most frequent is written last, the others wait for a later round
+        slot_of[_slots(pair)] = -2
+        slot_of[_slots(chosen)[::-1]] = np.arange(len(chosen))[::-1]
+        which = slot_of[slot]
+        slot_of[_slots(pair)] = -1
+        open_[at[which == -1]] = False
+        hit = which >= 0
+        at, which = at[hit], which[hit]
+        hit = chosen[which] == key[hit]
         at, which = at[hit], which[hit]
-        # pairs of one symbol with itself overlap: of neighbouring hits every second one counts
-        starts = np.concatenate(([True], np.diff(at) != 1))
-        own = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        at, which = at[own % 2 == 0], which[own % 2 == 0]
+        twice = (chosen >> 32) == (chosen & 0xFFFFFFFF)
+        if twice.any():
+            # a symbol with itself overlaps: of neighbouring hits every second one counts
+            place = np.arange(len(at))
+            starts = np.concatenate(([True], (follower[at[:-1]] != at[1:]) | (which[1:] != which[:-1])))
+            own = place - np.maximum.accumulate(np.where(starts, place, 0))
+            at, which = at[own % 2 == 0], which[own % 2 == 0]
         bases.append(fresh)
         lefts.append(chosen >> 32)
         rights.append(chosen & 0xFFFFFFFF)
+        gone = follower[at]
+        after = follower[gone]
         symbols[at] = fresh + which
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        live[gone] = False
+        open_[gone] = False
+        follower[at] = after
+        leader[after] = at
+        open_[at] = True
+        open_[leader[at]] = True
+        open_[at[after == n]] = False
+        open_[n] = False
         fresh += len(chosen)
+    left = np.flatnonzero(live)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return symbols, last, join(lefts), join(rights), np.array(bases, np.int64)
+    return symbols[left], follower[left] == n, join(lefts), join(rights), np.array(bases, np.int64)
+
+
+def _unfold(symbols: np.ndarray, first: int, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Symbols with those from ``first`` on replaced by their stretches of ``flat``."""
+    rule = np.maximum(symbols - first, 0)
+    new = symbols >= first
+    many = np.where(new, length[rule], 1) if len(length) else np.ones(len(symbols), np.int64)
+    stop = np.cumsum(many)
+    out = np.repeat(symbols, many)
+    if new.any():
+        at = np.flatnonzero(np.repeat(new, many))
+        own = many[new]
+        out[at] = flat[np.repeat(start[rule[new]] - (np.cumsum(own) - own), own) + np.arange(len(at))]
+    return out if len(stop) else out[:0]
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, bases: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: the rounds undone, last one first."""
+    """The ids that symbols stand for; each round's pairs are spelled out by those of the rounds before."""
     symbols = symbols.astype(np.int64)
-    for base in bases[::-1].tolist():
-        new = symbols >= base
-        place = np.arange(len(symbols)) + np.cumsum(new) - new
-        out = np.empty(len(symbols) + int(new.sum()), np.int64)
-        rule = symbols[new] - bases[0]
-        out[place[~new]] = symbols[~new]
-        out[place[new]] = left[rule]
-        out[place[new] + 1] = right[rule]
-        symbols = out
-    return symbols.astype(np.uint32)
+    if not len(bases):
+        return symbols.astype(np.uint32)
+    first, length = int(bases[0]), expansion_lengths(left, right, bases)
+    start = np.cumsum(length) - length
+    flat = np.zeros(int(length.sum()), np.int64)
+    edges = [*(bases - first).tolist(), len(left)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        both = np.stack([left[a:b], right[a:b]], 1).ravel()
+        spelled = _unfold(both, first, flat, start, length)
+        flat[start[a] : start[a] + len(spelled)] = spelled
+    return _unfold(symbols, first, flat, start, length).astype(np.uint32)
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, bases: np.ndarray) -> np.ndarray:
@@ -202,20 +253,24 @@ def framed(block: Block) -> bytes:
     return _SIZE.pack(len(data)) + data
 
 
-def write_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+def index_bytes(rows: list[tuple[int, int, int]]) -> bytes:
+    """The end of a file: no further block, the index, and its number of rows."""
+    return b"".join([_SIZE.pack(0), *(_INDEX.pack(*r) for r in rows), _SIZE.pack(len(rows))])
+
+
+def write_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """Write all documents in id order; returns the manifest (part, file, documents, ids, bytes)."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     folder, tail = scratch_path(spark, "ids"), np.array([end_id], np.uint32).tobytes()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(text_col).alias("_h"))
-    ordered = base.repartitionByRange(n, "_id", "_h").sortWithinPartitions("_id", "_h").select("_id", "_text")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    ordered = base.repartitionByRange(parts_for(docs, text_col, part_bytes), "_id", "_h", "_n").sortWithinPartitions("_id", "_h").select("_id", "_text")
 
     def run(batches):
         enc, (store, inside) = encoder(vocabulary), filesystem(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.rpg"
-        sink, docs_, ids_ = None, 0, 0
+        sink, docs_, ids_, index = None, 0, 0, []
         doc_ids, texts, size = [], [], 0
 
         def flush():
@@ -225,6 +280,7 @@ def write_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
             if sink is None:
                 store.create_dir(inside, recursive=True)
                 sink = store.open_output_stream(f"{inside}/{name}", compression=None)
+            index.append((sink.tell(), len(texts), size // 4))
             sink.write(framed(Block.build(doc_ids, texts)))
             docs_, ids_ = docs_ + len(texts), ids_ + size // 4
             doc_ids, texts, size = [], [], 0
@@ -238,6 +294,7 @@ def write_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
                 size += len(ids) + 4
         flush()
         if sink is not None:
+            sink.write(index_bytes(index))
             total = sink.tell()
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), *(pa.array([v], pa.int64()) for v in (docs_, ids_, total))], names=["part", "file", "documents", "ids", "bytes"])
@@ -249,8 +306,26 @@ def read_blocks(file: str):
     """The blocks of a file, one at a time."""
     store, inside = filesystem(file)
     with store.open_input_stream(inside, compression=None) as f:
-        while head := f.read(_SIZE.size):
-            yield Block.unpack(f.read(*_SIZE.unpack(head)))
+        while n := _SIZE.unpack(f.read(_SIZE.size))[0]:
+            yield Block.unpack(f.read(n))
+
+
+def read_index(f) -> np.ndarray:
+    """Rows (place, documents, ids), one for each block of an open file."""
+    f.seek(f.size() - _SIZE.size)
+    n = _SIZE.unpack(f.read(_SIZE.size))[0]
+    f.seek(f.size() - _SIZE.size - n * _INDEX.size)
+    return np.frombuffer(f.read(n * _INDEX.size), "<u8").astype(np.int64).reshape(n, 3)
+
+
+def read_span(file: str, k: int, start: int, n: int) -> np.ndarray:
+    """Ids ``start`` to ``start + n`` of the file's k-th document; only its block is read, only the symbols over the stretch are decoded."""
+    store, inside = filesystem(file)
+    with store.open_input_file(inside) as f:
+        index = read_index(f)
+        block = int(np.searchsorted(np.cumsum(index[:, 1]), k, "right"))
+        f.seek(int(index[block, 0]))
+        return Block.unpack(f.read(*_SIZE.unpack(f.read(_SIZE.size)))).span(k - int(index[:block, 1].sum()), start, n)
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:

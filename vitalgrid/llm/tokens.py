@@ -1,163 +1,163 @@
-"""Token ids of whole texts by the tokenizers library, with encoded pieces kept.
-
-Both vocabularies treat a run of characters up to the next single space alone:
-no token spans that place, and none looks back over it. A text is cut there
-and each piece is encoded once per worker. A piece that isn't kept is cut once
-more, after its first ASCII letters if another ASCII character follows: a run
-of letters is a unit of its own. A single line end between other characters is
-one too. Where the vocabulary marks a leading space, units are encoded many in
-one text, in which every unit's first token shows; where that doesn't add up,
-one by one. Where it marks word ends and lower-cases, an ASCII run of letters
-goes to the vocabulary's model as it is.
-
-A text in which a space has white space on both sides, or more than one space
-in a row, is encoded in one go, as white space may then be grouped across the
-cut; so is one with a NUL after a space, which marks units here.
+r"""Token ids of whole texts by the tokenizers library, with encoded units kept.
+
+Both vocabularies split a text into units by a fixed pattern and run their
+merges inside each unit. The pattern is read from the vocabulary file; where
+it is one of the two in PATTERNS, texts of plain characters are cut by the same
+pattern here, and only units that a worker doesn't hold go to the library's
+model. Plain are ASCII, Latin-1 and Cyrillic letters and common punctuation:
+there, white space, letters and digits mean the same everywhere, lower-casing
+is one to one, and no character joins its neighbour under normalisation.
+
+All other texts are encoded by the library in one go: those with another
+character, those that hold an added token's string (the library gives its id),
+and all texts of a vocabulary with another pattern.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 
 import numpy as np
 
-#: A worker keeps ids of so many pieces, in two generations: what is asked for stays, the rest goes.
-CACHE_PIECES = 400_000
-#: Longer pieces are encoded each time.
-LONG_PIECE = 64
-#: Missing units are encoded so many at a time.
-ENCODE_AT_ONCE = 256
-_GROUPED = re.compile(r"  |\s \s| \x00")
-_LETTERS = re.compile(r"[A-Za-z]*")
-_BARE = "\x00"
-_SPACE = re.compile(r"\s")
-_encoders: dict[str, Encoder] = {}
+#: A worker keeps ids of so many units, in two generations: what is asked for stays, the rest goes.
+CACHE_UNITS = 500_000
+#: Longer units are encoded each time.
+LONG_UNIT = 64
+#: Texts are cut into units in stretches of about so many characters.
+STRETCH = 1 << 20
+_BETWEEN = re.compile(r"\S(?= \S)")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿА-яЁё"
+_PLAIN = re.compile(rf"[\t\n\r -~{_LETTER}“”‘’„–—…«»¿¡€£§°]*")
+
+# The vocabularies' own patterns, as their files have them; the first is what a byte-level splitter without a pattern uses.
+_SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BARE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: The same for plain characters; what is most frequent stands first, as only the contractions begin with an apostrophe.
+PATTERNS = {
+    _SPACED: re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
+    _BARE: re.compile(rf"[{_LETTER}]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\s{_LETTER}0-9]+"),
+}
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others for what follows 255."""
+    own = {b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _splitter(config: dict) -> tuple[re.Pattern | None, bool]:
+    """The pattern of a vocabulary file (None if it isn't known here), and whether texts are lower-cased before."""
+    pre, normal = config.get("pre_tokenizer") or {}, config.get("normalizer")
+    parts = pre.get("pretokenizers") if pre.get("type") == "Sequence" else [pre]
+    last = parts[-1] if parts else {}
+    if config["model"]["type"] != "BPE" or config["model"].get("dropout") or last.get("type") != "ByteLevel" or last.get("add_prefix_space"):
+        return None, False
+    if len(parts) == 1 and last.get("use_regex") and normal is None:
+        return PATTERNS[_SPACED], False
+    split = parts[0]
+    known = len(parts) == 2 and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and not last.get("use_regex")
+    steps = [s["type"] for s in (normal or {}).get("normalizers", [])]
+    if known and steps == ["NFC", "Replace", "Lowercase"] and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"}:
+        return PATTERNS.get(split["pattern"].get("Regex")), True
+    return None, False
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.pattern, self.folds = _splitter(config)
+        if self.pattern:
+            own = config["model"]  # the same merges without the library's cache, which units that are held here never reach
+            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in own["merges"]]
+            suffix = {"end_of_word_suffix": own["end_of_word_suffix"]} if own.get("end_of_word_suffix") else {}
+            self.model = BPE(vocab=own["vocab"], merges=merges, cache_capacity=0, ignore_merges=bool(own.get("ignore_merges")), **suffix)
+        self.added = [t["content"] for t in config.get("added_tokens", [])]
+        self.largest = max(self.tokenizer.get_vocab().values())
+        self.written_as = {ord(chr(b)): c for b, c in byte_characters().items()}
         self.kept: dict[str, bytes] = {}
-        self.old_kept: dict[str, bytes] = {}
-        tokens = self.tokenizer.get_vocab()
-        size = max(tokens.values()) + 1
-        self.first, self.last = np.zeros(size, bool), np.zeros(size, bool)
-        for token, k in tokens.items():
-            self.first[k] = token.startswith("\u0120")  # how a byte-level vocabulary writes a leading space
-            self.last[k] = token.endswith("</w>")
-        self.folds = bool(self.last.any()) and self._fresh(["Ab"]) == self._fresh(["ab"])
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, units: list[str]) -> list[bytes]:
-        """Ids of units that start with a space and hold no other; of ASCII letters alone if the vocabulary folds case."""
-        if self.folds:
-            model = self.tokenizer.model
-            return [np.array([t.id for t in model.tokenize(u[1:])], np.uint32).tobytes() for u in units]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.append(np.flatnonzero(self.first[ids])[1:], len(ids))
-        if len(stops) != len(units):
-            return self._fresh(units)
-        data, ends = ids.tobytes(), [0, *(4 * stops).tolist()]
-        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-    def _fold(self, x: str) -> str:
-        """The word under which a run of ASCII letters is kept."""
-        return x.lower() if self.folds and x.isascii() else x
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that aren't kept, each as it stands after a space.
-
-        Words are kept by themselves; what stands without a space before it is kept under a mark.
-        """
-        known, old = self.kept, self.old_kept
-        new: dict[str, bytes] = {}
-        parts_of: dict[str, list[str]] = {}
-        words: dict[str, None] = {}
-        bare: dict[str, None] = {}
-
-        def want(key: str) -> str:
-            if key not in known and key not in new:
-                if key in old:
-                    new[key] = old[key]
-                elif key[:1] == _BARE:
-                    bare[key] = None
-                else:
-                    words[key] = None
-            return key
-
-        for x in pieces:
-            if x.isalpha():
-                f = self._fold(x)
-                want(f)
-                if f is not x and f != x:
-                    parts_of[x] = [f]
-                continue
-            above, line_end, below = x.partition("\n")
-            if not (line_end and above and below and not _SPACE.search(above) and not _SPACE.search(below)):
-                above, below = x, ""
-            end = _LETTERS.match(above).end()
-            parts = []
-            if 0 < end < len(above) and above[end] < "\x80":
-                parts += [want(self._fold(above[:end])), want(_BARE + above[end:])]
-            elif below:
-                parts.append(want(self._fold(above) if end == len(above) else above))
-            if below:
-                end = _LETTERS.match(below).end()
-                cut = 0 < end < len(below) and below[end] < "\x80"
-                parts += [want(_BARE + "\n"), *(want(_BARE + y) for y in ((below[:end], below[end:]) if cut else (below,)))]
-            if parts:
-                parts_of[x] = parts
-            else:
-                words[x] = None
-        fit = [w for w in words if (w.isascii() and w.isalpha() if self.folds else w and not _SPACE.search(w))]
-        fits = set(fit)
-        jobs = ((fit, self._letters, lambda w: " " + w), ([w for w in words if w not in fits], self._fresh, lambda w: " " + w), (list(bare), self._fresh, lambda k: k[1:]))
-        for names, encode, text in jobs:
-            for k in range(0, len(names), ENCODE_AT_ONCE):
-                some = names[k : k + ENCODE_AT_ONCE]
-                new.update(zip(some, encode([text(n) for n in some]), strict=True))
-        for x, parts in parts_of.items():
-            new[x] = b"".join([known[p] if p in known else new[p] for p in parts])
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text by the library alone."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, units: dict[str, None]) -> dict[str, bytes]:
+        """Ids of units that aren't held."""
+        old, new, tokenize, written_as = self.old.get, {}, self.model.tokenize, self.written_as
+        for u in units:
+            ids = old(u)
+            if ids is None:
+                got = [t.id for t in tokenize(u.encode().decode("latin-1").translate(written_as))]
+                ids = struct.pack(f"<{len(got)}I", *got)
+            new[u] = ids
+        if len(self.kept) > CACHE_UNITS:
+            self.old, self.kept = self.kept, {}
+        self.kept.update((u, ids) for u, ids in new.items() if len(u) <= LONG_UNIT)
         return new
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        get, cut, folds = self.kept.get, self.pattern.findall, self.folds
+        found = [cut(t.lower() if folds else t) for t in texts]
+        ids = [list(map(get, units)) for units in found]
+        missing: dict[str, None] = {}
+        for units, got in zip(found, ids, strict=True):
+            if None in got:
+                missing.update((u, None) for u, g in zip(units, got, strict=True) if g is None)
+        new = self._learn(missing) if missing else {}
+        return [b"".join([new[u] if g is None else g for u, g in zip(units, got, strict=True)] if None in got else got) for units, got in zip(found, ids, strict=True)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        if len(self.kept) > CACHE_PIECES:
-            self.old_kept, self.kept = self.kept, {}
-        get, old = self.kept.get, self.old_kept
-        out: list[bytes] = [b""] * len(texts)
-        later: list[tuple[int, list[str], list]] = []
-        missing: dict[str, None] = {}
-        heads: list[tuple[int, str]] = []
+        out = [b""] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush():
+            nonlocal held, size
+            for (k, _), ids in zip(held, self._plain([t for _, t in held]), strict=True):
+                out[k] += ids
+            held, size = [], 0
+
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if _GROUPED.search(t):
-                out[k] = self._fresh([t])[0]
+            if self.pattern is None or not _PLAIN.fullmatch(t) or any(a in t for a in self.added):
+                out[k] = self.whole(t)
                 continue
-            # what follows a space is looked up without it; the first piece has none
-            head, *rest = t.split(" ")
-            heads.append((k, head))
-            got = list(map(get, rest))
-            later.append((k, rest, got))
-            if None in got:
-                missing.update(dict.fromkeys(x for x, g in zip(rest, got, strict=True) if g is None))
-        new = {x: old[x] for x in missing if x in old}
-        new.update(self._learn([x for x in missing if x not in new]))
-        first = dict(zip((k for k, _ in heads), self._fresh([h for _, h in heads]), strict=True))
-        for k, rest, got in later:
-            out[k] = first[k] + b"".join([new[x] if g is None else g for x, g in zip(rest, got, strict=True)] if None in got else got)
-        self.kept.update((x, b) for x, b in new.items() if len(x) <= LONG_PIECE)
+            for part in stretches(t):
+                if size + len(part) > STRETCH and held:
+                    flush()
+                held.append((k, part))
+                size += len(part)
+        flush()
         return out
 
 
+def stretches(text: str, size: int = STRETCH):
+    """The text in parts of about ``size`` characters, cut before single spaces, where no unit goes on."""
+    at = 0
+    while len(text) - at > size:
+        cut = _BETWEEN.search(text, at + size - 1)
+        if not cut:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file."""
     if path not in _encoders:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.arrow_map import BATCH_ROWS
+from vitalgrid.llm.arrow_map import bound_batches
 from vitalgrid.llm.common import scratch_path, settle
 
 #: An archive ends after so many bytes or records.
@@ -162,7 +162,7 @@ def find_originals(pages: DataFrame, id_col: str, payload_col: str, least_bytes:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", seconds_col: str = "seconds", least_bytes: int = 0) -> DataFrame:
     """Write all rows; returns the manifest (archive, records, bytes)."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     folder = scratch_path(spark, "warc")
     originals = settle(find_originals(pages, id_col, payload_col, least_bytes), "originals")  # a small table is then broadcast by its measured size
     sha = F.sha1(F.coalesce(F.col(payload_col), F.lit("")))
