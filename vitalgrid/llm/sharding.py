@@ -5,19 +5,19 @@ into a position on a Hilbert curve, and the rows, sorted by that position, are
 cut into runs. Rows close in all columns at once share a shard, so the
 minimum and maximum of each column prune whole shards.
 
-Quantisation is by quantiles over all rows. Strings are ranked by the seven
-bytes that follow the longest prefix that the column's smallest and largest
-value share. Nulls take level 0. Ties on the curve are ordered by the id
-columns and the text's hash, so a hot value spreads over several sort
-partitions. Repeated rows each get their own place. Clashing column names are
-no matter: only the named columns are read. An empty table gives no rows.
+Quantisation is by quantiles over all rows; those of strings come from the
+running counts of their sorted whole values. Nulls take level 0. Ties on the
+curve are ordered by the tie columns, so a hot value spreads over several sort
+partitions. Repeated rows each get their own place. Columns named like the
+added ones are replaced, but still read where they are named as a dimension,
+a size or a tie. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,9 @@ from vitalgrid.llm.common import settle
 
 #: Levels of a dimension are 2 to this power.
 BITS = 5
-_PREFIX_BYTES = 7
+#: Bytes of a sort partition, counted over the strings and 16 bytes for each other column of a row.
+PART_BYTES = 256 << 20
+ADDED = ("curve", "shard", "slot")
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -57,37 +59,39 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _shared_prefix(a: str | None, b: str | None) -> int:
-    a, b, n = (a or "").encode(), (b or "").encode(), 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
+def _string_cuts(df: DataFrame, d: str, bits: int) -> list[str]:
+    """The quantiles of a string column, from the running counts of its sorted values."""
+    counted = df.select(F.col(f"`{d}`").alias("_v")).where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    ordered = settle(counted.repartitionByRange("_v").sortWithinPartitions("_v").withColumn("_p", F.spark_partition_id()), "values")
+    parts = ordered.groupBy("_p").agg(F.sum("_c").alias("c"), F.min("_v").alias("v")).orderBy("v").collect()  # one row per sort partition
+    total, before, starts = sum(p["c"] for p in parts), 0, []
+    for p in parts:
+        starts.append((p["_p"], before))
+        before += p["c"]
+    base = F.broadcast(df.sparkSession.createDataFrame(starts, "_p int, _s long"))
+    running = F.col("_s") + F.sum("_c").over(Window.partitionBy("_p").orderBy("_v"))
+    level = lambda n: F.least(F.floor(n * F.lit(1 << bits) / F.lit(max(total, 1))), F.lit((1 << bits) - 1))
+    at = ordered.join(base, "_p").withColumn("_r", running).where(level(F.col("_r")) > level(F.col("_r") - F.col("_c")))
+    return sorted((r["_v"] for r in at.select("_v").collect()), key=str.encode)  # at most a row for each level
 
 
 def _levels(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """A column of 0 .. 2**bits-1 for each dimension, from quantiles over all rows."""
     kinds = {f.name: f.dataType for f in df.schema}
     strings = [d for d in dims if isinstance(kinds[d], T.StringType)]
-    skip = {}
-    if strings:
-        ends = df.agg(*(f(F.col(f"`{d}`")).alias(f"{d}{k}") for d in strings for k, f in ((0, F.min), (1, F.max)))).first()
-        skip = {d: _shared_prefix(ends[f"{d}0"], ends[f"{d}1"]) for d in strings}
-    number = {}
-    for d in dims:
-        c = F.col(f"`{d}`")
-        if d in skip:
-            head = F.substring(F.encode(c, "UTF-8"), skip[d] + 1, _PREFIX_BYTES)
-            c = F.conv(F.rpad(F.hex(head), 2 * _PREFIX_BYTES, "0"), 16, 10)
-        number[d] = c.cast("double")
+    value = {d: F.col(f"`{d}`") if d in strings else F.col(f"`{d}`").cast("double") for d in dims}
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = df.agg(*(F.percentile_approx(number[d], F.array(*map(F.lit, share)), F.lit(10_000)).alias(d) for d in dims)).first()
+    numbers = [d for d in dims if d not in strings]
+    cuts = {}
+    if numbers:
+        got = df.agg(*(F.percentile_approx(value[d], F.array(*map(F.lit, share)), F.lit(10_000)).alias(f"c{k}") for k, d in enumerate(numbers))).first()
+        cuts = {d: sorted(set(got[f"c{k}"] or [])) for k, d in enumerate(numbers)}
     out = []
     for d in dims:
-        bounds = sorted(set(cuts[d] or []))
         level = F.lit(0)
-        for b in bounds:
-            level = level + F.when(number[d] > b, 1).otherwise(0)
-        out.append(level.alias(f"_q{len(out)}"))
+        for b in _string_cuts(df, d, bits) if d in strings else cuts[d]:
+            level = level + F.when(value[d] > F.lit(b), 1).otherwise(0)
+        out.append(level)
     return out
 
 
@@ -110,14 +114,20 @@ def hilbert_shards(df: DataFrame, dims: list[str], n_shards: int, law: str = "ro
         raise ValueError("more than 62 bits on the curve")
     spark = df.sparkSession
     levels = _levels(df, dims, bits)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["curve", *tie_cols]
-    ranged = df.withColumn("curve", _curve(F.array(*levels), F.lit(bits))).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    ties = [F.col(f"`{c}`").alias(f"_t{k}") for k, c in enumerate(tie_cols)]
+    weight = F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)) if law == "bytes" else F.lit(1).cast("long")
+    keyed = df.select(row, _curve(F.array(*levels), F.lit(bits)).alias("_curve"), *ties, weight.alias("_w"))
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    wide = F.coalesce(sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in text), F.lit(16 * len(df.columns))).cast("long"), F.lit(0))
+    total_bytes = df.agg(F.sum(wide)).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PART_BYTES))
+    order = ["_curve", *(f"_t{k}" for k in range(len(tie_cols)))]
+    ranged = keyed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     at = F.col("_at")
     ordered = settle(ranged.withColumn("_at", F.monotonically_increasing_id()), "curve").withColumns({"_part": F.shiftright(at, 33), "_pos": at.bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
-    weight = F.col(f"`{size_col}`") if law == "bytes" else F.lit(1)
     # one row per sort partition, as many as the shuffle has partitions
-    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(weight.cast("long")).alias("w")).orderBy("_part").collect()
+    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w")).orderBy("_part").collect()
     rows, total = sum(p["n"] for p in parts), sum(p["w"] or 0 for p in parts)
     before_n, before_w, starts = 0, 0, []
     for p in parts:
@@ -125,25 +135,19 @@ def hilbert_shards(df: DataFrame, dims: list[str], n_shards: int, law: str = "ro
         before_n, before_w = before_n + p["n"], before_w + (p["w"] or 0)
     base = F.broadcast(spark.createDataFrame(starts, "_part long, _n0 long, _w0 long"))
     placed = ordered.join(base, "_part").withColumn("_rank", F.col("_n0") + F.col("_pos"))
-    names = [F.col(f"`{c}`") for c in df.columns]
     if law == "rows":
         # shard k holds ranks ceil(k * rows / n) to ceil((k + 1) * rows / n) - 1
         cut = placed.withColumn("_shard", F.expr(f"cast(_rank * {n_shards}L div {max(rows, 1)}L as long)"))
-        first = F.expr(f"cast(({rows}L * _shard + {n_shards - 1}L) div {n_shards}L as long)")
-        return cut.select(*names, "curve", F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"))
-    return _by_bytes(placed, names, size_col, n_shards, total)
-
-
-def _by_bytes(placed: DataFrame, names: list, size_col: str, n_shards: int, total: int) -> DataFrame:
-    """Cut by the running sum of sizes; windows run within one sort partition each."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_part").orderBy("_pos")
-    running = F.col("_w0") + F.sum(F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0))).over(w)
-    shard = F.least(F.lit(n_shards - 1), F.floor((running.cast("double") - 1) * n_shards / F.lit(float(max(total, 1)))).cast("long"))
-    cut = placed.withColumn("_shard", F.greatest(F.lit(0), shard))
-    first = F.broadcast(cut.groupBy("_shard").agg(F.min("_rank").alias("_first")))  # n_shards rows
-    return cut.join(first, "_shard").select(*names, "curve", F.col("_shard").cast("int").alias("shard"), (F.col("_rank") - F.col("_first")).alias("slot"))
+        slot = F.col("_rank") - F.expr(f"cast(({rows}L * _shard + {n_shards - 1}L) div {n_shards}L as long)")
+    else:
+        # cut by the running sum of sizes; windows run within one sort partition each
+        running = F.col("_w0") + F.sum("_w").over(Window.partitionBy("_part").orderBy("_pos"))
+        shard = F.least(F.lit(n_shards - 1), F.floor((running.cast("double") - 1) * n_shards / F.lit(float(max(total, 1)))).cast("long"))
+        cut = placed.withColumn("_shard", F.greatest(F.lit(0), shard))
+        first = F.broadcast(cut.groupBy("_shard").agg(F.min("_rank").alias("_first")))  # n_shards rows
+        cut, slot = cut.join(first, "_shard"), F.col("_rank") - F.col("_first")
+    names = [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c.lower() not in ADDED]
+    return cut.select(*names, F.col("_curve").alias("curve"), F.col("_shard").cast("int").alias("shard"), slot.alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
