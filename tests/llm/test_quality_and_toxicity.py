@@ -32,8 +32,40 @@ def test_word_hashes_depend_on_the_word_alone():
     data = b"alpha beta\talpha\n\nbeta alpha"
     _, h = quality.word_hashes(np.frombuffer(data, np.uint8))
     assert h[0] == h[2] == h[4] and h[1] == h[3] != h[0]
-    long = (b"word " * 300_000) + b"tail"
-    assert b"".join(quality.blocks(long)) == long and max(map(len, quality.blocks(long))) <= quality.BLOCK
+
+
+def features_by_hand(text):
+    """Counts of n-grams, by what they are made of."""
+    words = WORD.findall(text)
+    return [Counter(words), Counter(itertools.pairwise(words)), Counter(zip(text, text[1:], text[2:], strict=False)), Counter(zip(text, text[1:], text[2:], text[3:], strict=False))]
+
+
+@pytest.mark.parametrize("size", [4, 7, 50, 1 << 20])
+def test_ngrams_across_blocks(size, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", size)
+    rng = random.Random(size)
+    for text in ["", " ", "a", "\n\na b", "longerthanablock " * 3, "世界 naïve 𝒳y\t\t z"] + ["".join(rng.choice("abé \n") for _ in range(rng.randint(0, 90))) for _ in range(60)]:
+        parts = list(quality.blocks(text))
+        assert "".join(text[a:b] for _, a, b in parts) == text
+        got = [np.concatenate([quality.block_features(text, *p)[k] for p in parts]) for k in range(4)]
+        for ids, want in zip(got, features_by_hand(text), strict=True):
+            assert len(ids) == sum(want.values()) and len(want) - 3 <= len(set(ids.tolist())) <= len(want)  # few share a hash
+        for ids, once in zip(got, quality.block_features(text, 0, 0, len(text)), strict=True):
+            assert sorted(ids.tolist()) == sorted(once.tolist())
+
+
+def test_sample_is_bounded_by_rows(spark, docs_schema):
+    df = spark.createDataFrame([(3, f"text {k}", "x", "y", 0) for k in range(500)] + [(k, "t", "x", "y", 0) for k in range(40)], docs_schema)
+    lab = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.labelled_sample(df, lab, "toxic", 15).collect()
+    assert len(got) <= 30 and len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_long_rows_are_cut_to_windows():
+    words = [f"w{k}" for k in range(toxicity.ROW_WINDOWS * toxicity.WINDOW + 1)]
+    assert toxicity.excerpt(None) == "" and toxicity.excerpt("a  b\n") == "a  b\n"
+    got = toxicity.excerpt(" ".join(words * 4)).split()
+    assert len(got) == toxicity.ROW_WINDOWS * toxicity.WINDOW and got[0] == "w0" and got[-1] == words[-1]
 
 
 def corpus(n=240):

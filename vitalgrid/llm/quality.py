@@ -1,21 +1,22 @@
 r"""Quality rules: hashed n-gram logistic regression beside a few counts.
 
-Features are hashed word unigrams and bigrams and hashed byte trigrams and
-4-grams of the UTF-8 text, each kind as shares of its own total. A logistic
+Features are hashed word unigrams and bigrams and hashed character (code point)
+trigrams and 4-grams, each kind as shares of its own total. A logistic
 regression is fitted on a bounded sample of labelled rows, calibrated by
 Platt's method on a held-out part of it, and scores whole texts in Arrow
 batches against fixed thresholds.
 
 Words are ``[^\x20\x09-\x0D]+``. Null and empty texts have zero words, fail the
-base rules and get the model's intercept as score. Very long texts are scored
-in blocks of 1 MiB (n-grams don't span blocks; counts are over the whole text).
-Repeated rows score alike; clashing columns are replaced; empty tables give
-empty results. Without labelled rows of both classes the probability is the
-share of good labels (1 without any).
+base rules and get the model's intercept as score. Very long texts are read
+block by block, each with what stands before it, so that every n-gram counts
+once. Repeated rows score alike; clashing columns are replaced; empty tables
+give empty results. Without labelled rows of both classes the probability is
+the share of good labels (1 without any).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,9 +33,12 @@ MIN_PROBABILITY = 0.5
 #: Bounds of the sample that the model is fitted on: rows of each class.
 TRAIN_ROWS = 800
 HASH_BITS = 16
-KINDS = ("word1", "word2", "byte3", "byte4")
+KINDS = ("word1", "word2", "char3", "char4")
+#: Characters that are worked on at a time, up to the end of the last word.
 BLOCK = 1 << 20
 
+_SPACES = " \t\n\x0b\x0c\r"
+_GAP = re.compile(r"[ \t\n\x0b\x0c\r]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -55,8 +59,8 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word in a byte array and a 64-bit hash of its bytes."""
-    edge = np.diff(np.concatenate(([True], _SPACE[buf], [True])).astype(np.int8))
+    """Start of each word in an array of bytes or code points and a 64-bit hash of its members."""
+    edge = np.diff(np.concatenate(([True], _SPACE[np.minimum(buf, 255)], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _powers_to(len(buf) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
@@ -67,29 +71,43 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, h
 
 
-def block_features(data: bytes) -> list[np.ndarray]:
-    """Hashed feature ids of a block, one array per kind."""
-    buf = np.frombuffer(data, np.uint8)
-    _, h = word_hashes(buf)
+def block_features(text: str, begin: int, start: int, end: int) -> list[np.ndarray]:
+    """Hashed ids, one array per kind, of the n-grams that end in ``text[start:end]``; ``begin`` is where the first of them may begin."""
+    buf = np.frombuffer(text[begin:end].encode("utf-32-le", "surrogatepass"), np.uint32)
+    new = start - begin
+    at, h = word_hashes(buf)
+    own = int(np.searchsorted(at, new))
     shift = np.uint64(64 - HASH_BITS)
     mixed = h * np.uint64(0xBF58476D1CE4E5B9)
     pair = (h[:-1] * np.uint64(0x94D049BB133111EB) + mixed[1:]) * np.uint64(_BASE)
-    b = buf.astype(np.uint32)
-    tri = b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16)) if len(b) > 2 else b[:0]
-    quad = tri[:-1] | (b[3:] << np.uint32(24)) if len(b) > 3 else b[:0]
+    c = [buf[k:].astype(np.uint32) for k in range(4)]
+    n3, n4 = max(len(buf) - 2, 0), max(len(buf) - 3, 0)
     low = np.uint32(32 - HASH_BITS)
-    return [(mixed >> shift).astype(np.int32), (pair >> shift).astype(np.int32), ((tri * np.uint32(0x9E3779B1)) >> low).astype(np.int32), ((quad * np.uint32(0x85EBCA77)) >> low).astype(np.int32)]
-
-
-def blocks(data: bytes):
-    """Blocks of at most BLOCK bytes, cut after a space where there is one."""
-    at = 0
-    while len(data) - at > BLOCK:
-        cut = max(data.rfind(b" ", at, at + BLOCK), data.rfind(b"\n", at, at + BLOCK))
-        cut = cut + 1 if cut >= at else at + BLOCK
-        yield data[at:cut]
-        at = cut
-    yield data[at:] if at else data
+    step = np.uint32(0x85EBCA77)
+    tri = ((c[0][:n3] * step + c[1][:n3]) * step + c[2][:n3]) * np.uint32(0x9E3779B1)
+    quad = (((c[0][:n4] * step + c[1][:n4]) * step + c[2][:n4]) * step + c[3][:n4]) * np.uint32(0xC2B2AE3D)
+    words, pairs = (mixed[own:] >> shift), (pair[max(own - 1, 0) :] >> shift)
+    return [words.astype(np.int32), pairs.astype(np.int32), (tri[max(new - 2, 0) :] >> low).astype(np.int32), (quad[max(new - 3, 0) :] >> low).astype(np.int32)]
+
+
+def blocks(text: str):
+    """(begin, start, end) of stretches of about BLOCK characters; none cuts a word, and ``begin`` takes in the word and the three characters before."""
+    start = 0
+    while start < len(text) or not start:
+        end = start + BLOCK
+        if end < len(text):
+            gap = _GAP.search(text, end - 1)
+            end = gap.end() if gap else len(text)
+        else:
+            end = len(text)
+        last = start
+        while last and text[last - 1] in _SPACES:
+            last -= 1
+        last = max(text.rfind(c, 0, last) for c in _SPACES) + 1
+        yield min(last, max(start - 3, 0)), start, end
+        start = end
+        if not text:
+            return
 
 
 @dataclass(frozen=True)
@@ -102,10 +120,9 @@ class QualityModel:
     offset: float
 
     def probability(self, text: str | None) -> float:
-        data = (text or "").encode("utf-8", "replace")
         sums, counts = np.zeros(len(KINDS)), np.zeros(len(KINDS))
-        for part in blocks(data):
-            for k, ids in enumerate(block_features(part)):
+        for part in blocks(text or ""):
+            for k, ids in enumerate(block_features(text or "", *part)):
                 sums[k] += self.weights[k][ids].sum(dtype=np.float64)
                 counts[k] += len(ids)
         z = self.intercept + (sums / np.maximum(counts, 1)).sum()
@@ -115,8 +132,8 @@ class QualityModel:
 def sparse_shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature ids (over all kinds) and their shares of their kind."""
     got: list[list[np.ndarray]] = [[] for _ in KINDS]
-    for part in blocks((text or "").encode("utf-8", "replace")):
-        for k, ids in enumerate(block_features(part)):
+    for part in blocks(text or ""):
+        for k, ids in enumerate(block_features(text or "", *part)):
             got[k].append(ids)
     all_ids, all_shares = [], []
     for k, parts in enumerate(got):
@@ -129,14 +146,15 @@ def sparse_shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", where=None) -> DataFrame:
     """At most ``per_class`` labelled rows of each class, the first by a hash of the id: (id, text, y).
 
-    A doc_id with several labels counts with the smallest; null ids and labels don't count.
+    A doc_id with several labels counts with the smallest, one with several texts with the first by a hash; null ids and labels don't count.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     ids = ids.where(where) if where is not None else ids
     ids = ids.groupBy(id_col).agg(F.min(label).cast("int").alias("_y"))
     chosen = [ids.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class short rows
-    return docs.select(F.col(id_col), F.col("text")).where(F.col("text").isNotNull()).join(picked, id_col).withColumnRenamed("_y", "y")
+    rows = docs.select(F.col(id_col), F.col("text")).where(F.col("text").isNotNull()).join(picked, id_col)
+    return rows.groupBy(id_col).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_y").alias("y"))
 
 
 def _logistic(ids, shares, at, y, n_features: int, steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:

@@ -36,9 +36,9 @@ from vitalgrid.llm.quality import labelled_sample, newton_logistic
 #: Fixed threshold of a predicted document, and of an offending token.
 MIN_SCORE = 0.7
 MIN_MARGINAL = 0.5
-#: Bounds of the sample that the models are fitted on: rows of each class, characters of a row, windows of tokens.
+#: Bounds of the sample that the models are fitted on: rows of each class, windows of one row, windows of all, words of a window.
 TRAIN_ROWS = 1500
-TRAIN_CHARS = 1 << 16
+ROW_WINDOWS = 64
 TRAIN_WINDOWS = 3000
 WINDOW = 128
 FEATURE_BITS = 18
@@ -183,6 +183,15 @@ def _alone(x: list[float], start: float, transition: np.ndarray) -> np.ndarray:
     return f_ * b_ / np.maximum(f_ * b_ + (1 - f_) * (1 - b_), 1e-300)
 
 
+def excerpt(text: str | None) -> str:
+    """What the fit sees of a text: all of it, or ROW_WINDOWS windows spread evenly from its first word to its last."""
+    words = split_words(text)
+    if len(words) <= ROW_WINDOWS * WINDOW:
+        return text or ""
+    starts = np.linspace(0, len(words) - WINDOW, ROW_WINDOWS).astype(int).tolist()
+    return b" ".join(w for s in starts for w in words[s : s + WINDOW]).decode("utf-8", "replace")
+
+
 def _toxic_stems(docs: list[set[str]], y: np.ndarray) -> set[str]:
     """Stems that stand almost only in toxic documents, by a likelihood-ratio test."""
     toxic: dict[str, int] = {}
@@ -262,9 +271,10 @@ def _fit_chain(chains: list[tuple[list[bytes], np.ndarray]], steps: int = 60, ra
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled rows of each class (``where``: a condition on ``labels``) of at most TRAIN_CHARS characters."""
-    sample = labelled_sample(docs.where(F.length("text") <= TRAIN_CHARS), labels, "toxic", rows, where=where)
-    got = sorted(sample.select("doc_id", "text", "y").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    """Fit on at most ``rows`` labelled rows of each class (``where``: a condition on ``labels``), of very long ones on windows over the whole text."""
+    sample = labelled_sample(docs, labels, "toxic", rows, where=where)
+    cut = add_columns(sample, "text", [T.StructField("excerpt", T.StringType())], lambda: lambda texts: [[excerpt(t) for t in texts]])
+    got = sorted(cut.select("doc_id", F.col("excerpt").alias("text"), "y").collect(), key=lambda r: (r["doc_id"], r["text"]))
     blank = ToxicityModel(np.zeros(1 << FEATURE_BITS, np.float32), 0.0, np.zeros((2, 2)), np.zeros(4))
     totals = {r["y"]: r["n"] for r in (labels.where(where) if where is not None else labels).where(F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = totals.get(1, 0) / max(sum(totals.values()), 1)
