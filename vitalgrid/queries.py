@@ -326,9 +326,60 @@ def normalize_event_columns(spark, sf_dir):
     return normalized_events(spark, sf_dir).select(*names)
 
 
-@query()
+def _icd_warnings_sql(t: str, code: str, prefix: str = "") -> str:
+    shape, ill = P.ICD_SHAPE.removeprefix("^").removesuffix("\\z"), ", ".join(map(_literal, P.ILL_DEFINED))
+    kind = f"case when {code} = '' then null when not regexp_full_match({code}, '{shape}', 'i') then '{prefix}icd10_shape_unparseable:' || {code} when left(replace({code}, '.', ''), 3) in ({ill}) then '{prefix}icd10_ill_defined:' || {code} end"
+    return f"list_filter([case when starts_with(upper({t}), '*') then '{prefix}icd_prefixed_asterisk' end, {kind}], lambda x: x is not null)"
+
+
+def _contract_sql() -> str:
+    """All columns of the event contract; lists as texts."""
+    raw = [c for c in _raw(False) if c != "row_key"]
+    record = " || ',' || ".join(f"""'"{c}":' || coalesce('"' || {c} || '"', 'null')""" for c in sorted(raw))
+    first = lambda names: "coalesce(" + ", ".join([n for n in names if n in raw] or ["null::varchar"]) + ")"
+    singles = {"DTOBITO": ("DTOBITO",), "DTNASC": ("DTNASC",), "IDADE": ("IDADE",), "SEXO": ("SEXO",), "CODMUNRES": ("CODMUNRES",), "CODMUNOCOR": ("CODMUNOCOR",), "CAUSABAS": ("CAUSABAS",), "LINHAA": ("LINHAA",), "LINHAB": ("LINHAB",)}
+    wanted = singles | {name: candidates for name, (candidates, _) in (normalize.CATEGORICAL | normalize.NUMERIC).items()}
+    texts = ", ".join(f"{_clean_sql(first(names))} as t_{out}" for out, names in wanted.items())
+    lines = []
+    for name in ("LINHAA", "LINHAB"):
+        t, code = f"t_{name}", f"i_{name}"
+        lines.append(f"case when {t} <> '' then {{'raw': {t}, 'norm': nullif({code}, ''), 'state': {_icd_state_sql(code)}, 'warnings': {_icd_warnings_sql(t, code, name + ':')}}} end")
+    years, days, age_state = _age_sql("t_IDADE")
+    digits = "regexp_replace(t_IDADE, '[^0-9]', '', 'g')"
+    sex = "case when t_SEXO in ('0', '9', 'I') then 'unknown' when t_SEXO not in ('0', '1', '2', '9', 'M', 'F', 'I') then 'invalid' else 'valid' end"
+    text = lambda x: f"array_to_string({x}, '|')"
+    out = {
+        "event_id": """sha256('{"raw_record_hash":"' || raw_record_hash || '","row_number":' || row_key || ',"source_manifest_hash":"","source_system":"SIM-DO"}')""",
+        "source_system": "'SIM-DO'", "source_manifest_hash": "''", "row_number": "row_key", "raw_record_hash": "raw_record_hash", "processed_record_hash": "''", "raw_age": "IDADE", "underlying_icd_raw": "CAUSABAS",
+        "death_date": "death", "death_date_state": _date_state_sql("t_DTOBITO", "death"), "birth_date": "birth", "birth_date_state": _date_state_sql("t_DTNASC", "birth"),
+        "age_years": f"round(case when days >= 0 then days / 365.25::double else {years} end, 9)", "age_days": f"round(case when days >= 0 then days::double else {days} end, 9)",
+        "age_state": f"case when days >= 0 then 'valid' else {age_state} end", "age_source": "case when days >= 0 then 'date_difference' else 'datasus_idade' end",
+        "sex": "nullif(t_SEXO, '')", "sex_state": _state_sql("t_SEXO", sex), "race_axis_type": f"'{normalize.RACE_AXIS}'", "race_missingness_state": _state_sql("t_race_color_admin", "'valid'"),
+        "underlying_icd_norm": "nullif(i_CAUSABAS, '')", "underlying_icd_parse_state": _icd_state_sql("i_CAUSABAS"), "underlying_icd_warnings": text(_icd_warnings_sql("t_CAUSABAS", "i_CAUSABAS")),
+        "cause_chain_raw": text("list_transform(chain, lambda x: x.raw)"), "cause_chain_norm": text("list_filter(list_transform(chain, lambda x: x.norm), lambda x: x is not null)"),
+        "cause_chain_parse_states": text("list_transform(chain, lambda x: x.state)"), "cause_chain_warnings": text("flatten(list_transform(chain, lambda x: x.warnings))"),
+        "normalization_warnings": text(f"list_concat(case when days >= 0 then [] else list_filter([case when days < 0 then 'birth_date_after_death_date' end, case {age_state} when 'unparseable' then 'age_unparseable:' || t_IDADE when 'invalid' then 'age_unit_invalid:' || left({digits}, 1) end], lambda x: x is not null) end, flatten(list_transform(chain, lambda x: x.warnings)))"),
+    }
+    for place, c in (("residence", "CODMUNRES"), ("occurrence", "CODMUNOCOR")):
+        state, number = _PLACE_STATE.replace("(t,", f"(t_{c},").replace("when t ", f"when t_{c} "), f"regexp_replace(t_{c}, '[^0-9]', '', 'g')"
+        out |= {f"mun_{place}_cod6": f"case when {state} = 'valid' then left({number}, 6) end", f"mun_{place}_cod7": f"case when length({number}) = 7 then {number} end", f"mun_{place}_state": state}
+    for name, (_, state) in normalize.CATEGORICAL.items():
+        out |= {name: f"nullif(t_{name}, '')", state: _state_sql(f"t_{name}", "'valid'")}
+    for name, (_, state) in normalize.NUMERIC.items():
+        number = _number_sql(f"replace(t_{name}, ',', '.')")
+        out |= {name: number, state: _state_sql(f"t_{name}", f"case when {number} is null then 'unparseable' else 'valid' end")}
+    codes = ", ".join(f"{_icd_sql(f't_{c}')} as i_{c}" for c in ("CAUSABAS", "LINHAA", "LINHAB"))
+    return f"""with {RAW}, texts as (select row_key, IDADE, CAUSABAS, sha256('{{' || {record} || '}}') as raw_record_hash, {texts} from raw),
+dated as (select *, {_date_sql("t_DTOBITO")} as death, {_date_sql("t_DTNASC")} as birth, {codes} from texts),
+linked as (select *, date_diff('day', birth::date, death::date) as days, list_filter([{", ".join(lines)}], lambda x: x is not null) as chain from dated)
+select {", ".join(f"{e} as {n}" for n, e in out.items())} from linked"""
+
+
+@query(_contract_sql())
 def normalize_events(spark, sf_dir):
-    return normalized_events(spark, sf_dir)
+    events = normalized_events(spark, sf_dir)
+    lists = [f.name for f in events.schema if f.dataType.typeName() == "array"]
+    return events.withColumns({c: F.array_join(c, "|") for c in lists} | {c: F.round(c, 9) for c in ("age_years", "age_days")})
 
 
 @query(f"with {_COUNTS} select 'SIM-DO' as source_system, 'municipality_residence' as geography_basis, year, municipality_cod6, death_count from counts")
