@@ -19,10 +19,16 @@ then seeded anew, until no set has.
 Equal sets are one class from the start. Classes that share a key are
 candidates. A parity sketch of SKETCH_BITS bits per class, whose Hamming
 distance can't exceed the symmetric difference, drops most pairs that are too
-far apart; exact verification reads the texts of the others again. Every
-candidate pair is verified, so the links are all there are between different
-sets, and components are derived from them; a group of near copies costs a
-verification for each of its pairs.
+far apart; exact verification reads the texts of the others again.
+
+Components take a spanning set of links only: first each bucket's classes meet
+one of them (STAR_ROUNDS times another one), then all pairs of classes that
+share a bucket and whose components differ. A hub's partners are dealt out in
+portions, each with the hub's text once. Linked classes are in one component,
+so all links are found inside components: a component's classes are dealt to
+blocks, each pair of blocks is one portion of work, in which sketches and then
+intersection counts are compared in arrays. Links are kept as lists of
+partners by class and pair of blocks, never as rows of pairs.
 
 Defined results: null texts and texts without words have no set, and are
 linked with nothing (component_id is the own id); a component's id is its
@@ -39,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.llm.arrow_map import BATCH_ROWS
+from vitalgrid.llm.arrow_map import bound_batches
 from vitalgrid.llm.common import settle
 from vitalgrid.llm.quality import word_hashes
 
@@ -58,6 +64,12 @@ COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000
 #: A class carries so many of its keys, to tell that a pair meets more than once.
 FIRST_KEYS = 8
+#: Rounds in which each bucket's classes meet one of them, before all pairs of components do.
+STAR_ROUNDS = 3
+#: Partners that a hub meets in one portion.
+PORTION = 64
+#: Classes and shingles of a block of a component, and shingles that are compared at a time.
+BLOCK_CLASSES, BLOCK_SHINGLES, AT_ONCE = 128, 1 << 18, 1 << 15
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -159,11 +171,11 @@ def cells_of(s: np.ndarray, cells: int, seed: int, frequent: np.ndarray, often:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """(id, n, class, sketch) of every row; frequent shingles with their counts; how many sets break the bound under the seed."""
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    """(id, h, n, class, sketch) of every row, h a hash of its text; frequent shingles with their counts; how many sets break the bound under the seed."""
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(f"`{text_col}`").alias("text"))
     count = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("short", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in SKETCH), T.StructField("counts", T.ArrayType(count))])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(SKETCH), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("short", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in SKETCH), T.StructField("counts", T.ArrayType(count))])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(SKETCH), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))]
     none = np.zeros(0, np.uint64)
 
     def run(batches):
@@ -175,13 +187,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
             keep = c >= max(4, rows // 200)
             out = [{"h": int(a), "c": int(b)} for a, b in zip(h[keep].view(np.int64), c[keep], strict=True)]
             held, size, rows = [], 0, 0
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, -1, 0, 0, *[0] * len(SKETCH), out), kinds, strict=True)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, None, -1, 0, 0, *[0] * len(SKETCH), out), kinds, strict=True)], names=schema.names)
 
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
+            sets = shingle_sets(batch.column(2).to_pylist())
             short = [int(any(c and len(cells_of(s, c, seed, none, none)[0]) <= d for c, d in bands(len(s)))) if len(s) else 0 for s in sets]
             sketch = np.stack([parity_sketch(s) for s in sets], 1) if sets else np.zeros((len(SKETCH), 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], [class_of(s) for s in sets], short, *sketch, [None] * len(sets)), kinds[1:], strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], [class_of(s) for s in sets], short, *sketch, [None] * len(sets)), kinds[2:], strict=True))], names=schema.names)
             held += sets
             size, rows = size + sum(map(len, sets)), rows + len(sets)
             if size >= COUNTED_AT_ONCE:
@@ -193,7 +205,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
     rows = got.where(F.col("n") >= 0)
     frequent = got.where(F.col("n") < 0).select(F.explode("counts").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
     short = rows.agg(F.sum("short")).first()[0] or 0
-    return rows.select("id", "n", "class", *SKETCH), frequent, short
+    return rows.select("id", "h", "n", "class", *SKETCH), frequent, short
 
 
 def _filed(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, often: np.ndarray) -> DataFrame:
@@ -225,41 +237,128 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough; texts are fetched by the classes' smallest ids."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(names, "class")
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("text"))
-    found = base.join(wanted.select("class", F.col("first").alias("_first")), F.col("_id").eqNullSafe(F.col("_first"))).select("class", "text")
+def _row_key(id_col, h):
+    """Columns that equal rows share, also where the id is null."""
+    return [F.coalesce(id_col, F.lit(0)).alias("_i"), id_col.isNull().alias("_z"), h.alias("_h")]
+
+
+def _texts(classes: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, text): the first row's text of each of ``classes``; repeated rows repeat it."""
+    wanted = classes.distinct().join(names, "class").select("class", *_row_key(F.col("first.id"), F.col("first.h")))
+    own = F.col(f"`{id_col}`").cast("long")
+    base = docs.select(*_row_key(own, F.xxhash64(text_col)), F.col(f"`{text_col}`").alias("text"))
+    return settle(base.join(wanted, ["_i", "_z", "_h"]).select("class", "text"), "texts")
 
-    def own_text(batches):
-        # an id may stand for several rows: the one with the class's set counts
-        seen: set[int] = set()
-        for batch in batches:
-            names_ = batch.column(0).to_pylist()
-            keep = []
-            for name, s in zip(names_, shingle_sets(batch.column(1).to_pylist()), strict=True):
-                keep.append(name not in seen and class_of(s) == name)
-                if keep[-1]:
-                    seen.add(name)
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = settle(found.mapInArrow(own_text, "class long, text string"), "texts")
-    left, right = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def _grouped(batches, width: int):
+    """Runs of rows with the same first ``width`` columns, from batches in that order; a run may span batches."""
+    held, last = [], None
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for r in rows:
+            if held and r[:width] != last:
+                yield last, held
+                held = []
+            last = r[:width]
+            held.append(r[width:])
+    if held:
+        yield last, held
+
+
+def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    texts = _texts(ends, names, docs, id_col, text_col)
+    degree = settle(ends.groupBy("class").agg(F.count(F.lit(1)).alias("k")), "degrees")
+    both = pairs.join(degree.select(F.col("class").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("class").alias("b"), F.col("k").alias("kb")), "b")
+    turned = F.col("ka") < F.col("kb")
+    hub, other = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    portion = F.pmod(F.xxhash64(other), F.ceil(F.greatest("ka", "kb") / PORTION))
+    dealt = settle(both.select(hub.alias("hub"), portion.cast("int").alias("portion"), other.alias("class")), "dealt")
+    hubs = dealt.select("hub", "portion").distinct().join(texts.withColumnRenamed("class", "hub"), "hub").select("hub", "portion", F.lit(None).cast("long").alias("class"), "text")
+    meet = hubs.unionByName(dealt.join(texts, "class").select("hub", "portion", "class", "text"))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meet = meet.repartition(width, "hub", "portion").sortWithinPartitions("hub", "portion", F.col("class").asc_nulls_first())
 
     def check(batches):
         last, own = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            sets = shingle_sets(batch.column(3).to_pylist())
             keep = []
-            others = shingle_sets(batch.column(3).to_pylist())
-            for k, name in enumerate(a):
-                if name != last:
-                    last, own = name, shingle_sets([batch.column(2)[k].as_py()])[0]
-                keep.append(_similar(own, others[k]))
+            for hub, other, s in zip(a, b, sets, strict=True):
+                if other is None:
+                    last, own = hub, s
+                keep.append(other is not None and hub == last and _similar(own, s))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(v, keep, strict=True) if y], pa.int64()) for v in (a, b)], names=["a", "b"])
 
-    return settle(joined.mapInArrow(check, "a long, b long").distinct(), "links")
+    return settle(meet.mapInArrow(check, "a long, b long"), "links")
+
+
+def alike(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Which sets of two lists are similar enough: sketches are compared, then the intersections of what is left."""
+    x, y = (np.array([parity_sketch(s) for s in sets]).view(np.uint64).reshape(len(sets), -1) for sets in (first, second))
+    nx, ny = np.array([len(s) for s in first]), np.array([len(s) for s in second])
+    total = nx[:, None] + ny[None, :]
+    out = np.zeros(total.shape, bool)
+    apart = np.zeros(total.shape, np.int64)
+    for k in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+    may = 7 * apart <= total
+    rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(rows):
+        return out
+    parts = [first[k] for k in rows] + [second[k] for k in cols]
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    _, column = np.unique(np.concatenate(parts), return_inverse=True)
+    left = owner < len(rows)
+    in_left, in_right = np.bincount(column[left], minlength=column.max() + 1), np.bincount(column[~left], minlength=column.max() + 1)
+    use = np.cumsum((in_left > 0) & (in_right > 0)) - 1  # shingles on one side alone add nothing
+    shared = ((in_left > 0) & (in_right > 0))[column]
+    owner, column = owner[shared], use[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(rows), len(cols)), np.float64)
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, AT_ONCE):
+        a, b = np.searchsorted(column, (at, at + AT_ONCE))
+        width = min(AT_ONCE, int(column.max()) + 1 - at)
+        matrix = np.zeros((len(parts), width), np.float32)
+        matrix[owner[a:b], column[a:b] - at] = 1
+        common += matrix[: len(rows)] @ matrix[len(rows) :].T
+    union = nx[rows][:, None] + ny[cols][None, :] - common
+    out[np.ix_(rows, cols)] = OF * common >= SHARE * union
+    return out
+
+
+def _partners(own: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(class, partners, rows): the linked classes of a class that one pair of blocks has, and their number of rows; ``own`` has (class, n, m, root)."""
+    sizes = own.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    members = settle(own.join(sizes.select("root", blocks.cast("int").alias("blocks")), "root"), "blocks")
+    texts = _texts(members.select("class"), names, docs, id_col, text_col)
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    met = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "m")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.join(texts, "class").select("root", "lo", "hi", "own", "class", "m", "text").repartition(width, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64()]
+
+    def check(batches):
+        for (_, lo, hi), rows in _grouped(batches, 3):
+            rows = list({r[1]: r for r in rows}.values())  # a repeated row's text comes more than once
+            sets = shingle_sets([r[3] for r in rows])
+            name, many = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+            sides = [np.array([k for k, r in enumerate(rows) if r[0] == side], np.int64) for side in (lo, hi)]
+            same = alike(*([sets[k] for k in side] for side in sides)) if len(sides[0]) and len(sides[1]) else np.zeros((0, 0), bool)
+            if lo == hi and len(same):
+                np.fill_diagonal(same, False)
+            out = []
+            for these, those, linked_ in [(sides[0], sides[1], same)] + [(sides[1], sides[0], same.T)] * (lo != hi):
+                out += [(int(name[these[k]]), name[those[linked_[k]]].tolist(), int(many[those[linked_[k]]].sum())) for k in range(len(linked_)) if linked_[k].any()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["class", "partners", "rows"])
+
+    return settle(met.mapInArrow(check, "class long, partners array<long>, rows long"), "partners")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -284,63 +383,106 @@ def _fits(small, large):
     return F.least(small, large) * OF >= F.greatest(small, large) * SHARE
 
 
-def _candidates(members: DataFrame, names: DataFrame) -> DataFrame:
-    """All pairs (a, b) of classes that share a bucket and that sizes and sketches leave room for; each pair once."""
-    firsts = members.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
-    base = members.select("key", "class").distinct()
-    held = settle(base.join(names, "class").join(firsts, "class"), "held")
-    side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "n", *SKETCH, "keys")))
-    apart = (F.col("a_class") < F.col("b_class")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
-    # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
-    once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
-    return side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("class"))
+    return members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a, b), every pair of classes that are similar enough, and (id, n_shingles, class), the class of every row.
+def _candidates(members: DataFrame, names: DataFrame, done: DataFrame | None, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a bucket and weren't verified yet.
 
-    Rows of one class have equal sets, so they are linked too; rows without a set have no class.
+    With a ``turn``: each bucket's classes against one of them; without: all.
     """
+    if turn is not None:
+        first = F.struct(F.xxhash64("class", F.lit(turn)) if turn else F.col("n"), F.col("class"))
+        ones = members.groupBy("key").agg(F.min_by(F.struct("class", "n", "root"), first).alias("one"))
+        got = members.join(ones, "key").where((F.col("one.root") != F.col("root")) & _fits(F.col("one.n"), F.col("n")))
+        pairs = got.select(F.least("one.class", "class").alias("a"), F.greatest("one.class", "class").alias("b")).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(names.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH))), side)
+        pairs = pairs.where(_near("a_", "b_")).select("a", "b")
+    else:
+        # only buckets that span components
+        spans = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
+        base = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct(), "spanning")
+        firsts = base.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
+        held = settle(base.join(names, "class").join(firsts, "class"), "held")
+        side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "root", "n", *SKETCH, "keys")))
+        apart = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
+        # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
+        once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
+        pairs = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, h, n, class), classes (class, n, m, first, sketch), and (class, n, m, root, least): each class's component and its smallest id."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(spark)
     seed = 0
     rows, counts, short = _classes(docs, id_col, text_col, seed)
     while short:
         seed += 1
         rows, counts, short = _classes(docs, id_col, text_col, seed)
     frequent = sorted((r["h"] % (1 << 64), r["c"]) for r in counts.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect())
-    names = settle(rows.where(F.col("n") > 0).groupBy("class").agg(F.min("id").alias("first"), F.min("n").alias("n"), *(F.min(k).alias(k) for k in SKETCH)), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("first")  # null ids last
+    names = settle(rows.where(F.col("n") > 0).groupBy("class").agg(first, F.min("n").alias("n"), F.count(F.lit(1)).alias("m"), *(F.min(k).alias(k) for k in SKETCH)), "classes")
     filed = _filed(docs, text_col, seed, np.array([f[0] for f in frequent], np.uint64), np.array([f[1] for f in frequent], np.int64))
     w = Window.partitionBy("key").orderBy("class")
     near = lambda f: F.coalesce(f("class").over(w) != F.col("class"), F.lit(False))
     shared = settle(filed.select("*", near(F.lag).alias("l"), near(F.lead).alias("r")).where("l or r").drop("l", "r"), "shared")
-    pairs = settle(_candidates(shared, names), "pairs")
-    members = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    return _verified(pairs, names, docs, id_col, text_col), members
+    links, done, roots = None, None, None
+    for turn in [*range(STAR_ROUNDS), None]:
+        pairs = settle(_candidates(_labelled(shared, roots), names, done, turn), "pairs")
+        if pairs.isEmpty():
+            continue
+        done = pairs if done is None else done.unionByName(pairs)
+        found = _verified(pairs, names, docs, id_col, text_col)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = settle(connected(links), "roots")
+    own = names.select("class", "n", "m", "first.id").withColumn("root", F.col("class"))
+    if roots is not None:
+        own = own.drop("root").join(roots, F.col("class") == F.col("node"), "left").select("class", "n", "m", "id", F.coalesce("root", "class").alias("root"))
+    least = own.groupBy("root").agg(F.min("id").alias("least"))
+    return rows, names, settle(own.join(least, "root").select("class", "n", "m", "root", "least"), "components")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, n_links, component_id) of every row; ``n_links`` is the number of other rows that it is linked with."""
-    pairs, members = links(docs, id_col, text_col)
-    roots = connected(pairs)
-    sizes = settle(members.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.min(id_col).alias("first")), "sizes")
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(sizes.select(F.col("class").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("others"))
-    own = sizes.join(roots, F.col("class") == F.col("node"), "left").select("class", "m", "first", F.coalesce("root", "class").alias("root"))
-    least = own.groupBy("root").agg(F.min("first").alias("least"))
-    own = own.join(least, "root").join(others, F.col("class") == F.col("node"), "left")
-    own = settle(own.select(F.col("class").alias("_c"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least"), "members")
-    out = members.join(own, F.col("class") == F.col("_c"), "left")
-    return out.select(id_col, "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class").isNotNull(), F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(class, partners, rows), lists of linked classes (a class may have several, without repeats), and (id, n_shingles, class), the class of every row.
+
+    Rows of one class have equal sets, so they are linked too; rows without a set have no class.
+    """
+    rows, names, own = _found(docs, id_col, text_col)
+    members = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return _partners(own.select("class", "n", "m", "root"), names, docs, id_col, text_col), members
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    return linked(docs, id_col, text_col).drop("n_links")
+    """(id, n_shingles, component_id, n_links) of every row; ``n_links`` is the number of other rows that it is linked with."""
+    rows, names, own = _found(docs, id_col, text_col)
+    found = _partners(own.select("class", "n", "m", "root"), names, docs, id_col, text_col)
+    others = found.groupBy(F.col("class").alias("node")).agg(F.sum("rows").alias("others"))
+    own = own.join(others, F.col("class") == F.col("node"), "left")
+    own = settle(own.select(F.col("class").alias("_c"), "least", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "members")
+    out = rows.select("id", "n", "class").join(own, (F.col("class") == F.col("_c")) & (F.col("n") > 0), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component; of rows that repeat an id one stays. Null ids stay."""
-    gone = components(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(id_col).isNotNull()).select(id_col)
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that stay: one row of each component, the one with the smallest id, and all rows without a set.
+
+    Rows are told apart by id and text, so rows that share an id alone are judged each for itself; null ids come last.
+    """
+    rows, _, own = _found(docs, id_col, text_col)
+    held = rows.where(F.col("n") > 0).groupBy(*_row_key(F.col("id"), F.col("h"))).agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("many"))
+    held = settle(held.join(own.select("class", "root"), "class"), "held")
+    keep = held.groupBy("root").agg(F.min(F.struct("_z", "_i", "_h")).alias("kept"))
+    judged = held.join(keep, "root").select("_i", "_z", "_h", "many", (F.struct("_z", "_i", "_h") == F.col("kept")).alias("stays"))
+    odd = settle(judged.where("not stays or many > 1"), "judged")  # all others stay as they are
+    key = ["_i", "_z", "_h"]
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(own, *_row_key(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text_col)))
+    once = keyed.join(odd.where("stays").select(*key), key, "left_semi").dropDuplicates(key)
+    return keyed.join(odd.select(*key), key, "left_anti").unionByName(once).select("_row.*")

@@ -119,10 +119,6 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
-def op9_parity_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked(table(spark, sf_dir, "documents"))
-
-
 OP9_SQL = f"""
 with recursive words as (
   select doc_id, row_number() over () as n, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents
@@ -135,20 +131,17 @@ with recursive words as (
   group by a.n, b.n, a.size, b.size having 100 * count(*) >= 75 * (a.size + b.size - count(*))
 ), both_ways as (
   select a, b from links union all select b, a from links
+), many as (
+  select a as n, count(*) as n_links from both_ways group by a
 ), reach as (
   select n, n as m from shingles union select b, m from reach join both_ways on n = a
 )
-select s.doc_id, len(s.s) as n_shingles, min(t.doc_id) as component_id
-from shingles s join reach r on r.n = s.n join shingles t on t.n = r.m
+select s.doc_id, len(s.s) as n_shingles, min(t.doc_id) as component_id, coalesce(max(many.n_links), 0) as n_links
+from shingles s join reach r on r.n = s.n join shingles t on t.n = r.m left join many on many.n = s.n
 group by s.n, s.doc_id, len(s.s)
 """
 
 
-OP9_LINKS_SQL = OP9_SQL.replace("), reach as (", "), many as (\n  select a as n, count(*) as n_links from both_ways group by a\n), reach as (").replace(
-    "select s.doc_id, len(s.s) as n_shingles, min(t.doc_id)", "select s.doc_id, len(s.s) as n_shingles, coalesce(max(many.n_links), 0) as n_links, min(t.doc_id)"
-).replace("join shingles t on t.n = r.m", "join shingles t on t.n = r.m left join many on many.n = s.n")
-
-
 def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -198,10 +191,9 @@ def queries() -> dict:
         "op7_quality_rules": op7_quality_rules,
         "op8_license_scan": op8_license_scan,
         "op9_parity_join": op9_parity_join,
-        "op9_parity_join_links": op9_parity_join_links,
         "op10_toxicity_crf": op10_toxicity_crf,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": OP1_SQL, "op6_warc_index": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_parity_join": OP9_SQL, "op9_parity_join_links": OP9_LINKS_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_warc_index": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_parity_join": OP9_SQL}
