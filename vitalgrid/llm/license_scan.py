@@ -4,7 +4,8 @@ A text is put into canonical form: lower-cased, copyright lines dropped,
 equivalent spellings made one, punctuation turned to spaces, runs of blanks
 closed. Its SHA-256 is then hash-joined to the digests of known licence texts
 in the same form. The units looked up are the entire text of a document and,
-as documents carry notices among other prose, each of its entire lines.
+as documents carry notices among other prose, each of its entire lines; those
+that don't begin with a known text's first word need no digest.
 
 The known texts are a parameter; the digest table holds one short row each and
 is broadcast up to BROADCAST_TEXTS rows. Texts of one canonical form count as
@@ -125,11 +126,21 @@ def canonical(text: Column) -> Column:
 
 def digests(spark: SparkSession, known: tuple[KnownText, ...]) -> DataFrame:
     """(license_id, digest); broadcast up to BROADCAST_TEXTS rows, beyond that a table like any other."""
-    table = spark.createDataFrame([(k.license_id, k.text) for k in known], "license_id string, known string")
-    table = table.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    table = _forms(spark, known).select("license_id", F.sha2("form", 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     return F.broadcast(table) if len(known) <= BROADCAST_TEXTS else table
 
 
+def _forms(spark: SparkSession, known: tuple[KnownText, ...]) -> DataFrame:
+    table = spark.createDataFrame([(k.license_id, k.text) for k in known], "license_id string, known string")
+    return table.select("license_id", canonical(F.col("known")).alias("form"))
+
+
+def first_words(spark: SparkSession, known: tuple[KnownText, ...]) -> list[str]:
+    """Words that a unit begins with, if it is a known text: theirs, and spellings of these. Only such units need a digest."""
+    words = {r[0] for r in _forms(spark, known).select(F.substring_index("form", " ", 1)).distinct().collect()}  # no more than known texts
+    return sorted(words | {spelling.split(" ")[0] for spelling, one in SPELLINGS if one.split(" ")[0] in words})
+
+
 def scan_licenses(docs: DataFrame, known: tuple[KnownText, ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, license_id, unit, line_no, matched, digest) for every unit that is a known text.
 
@@ -141,6 +152,7 @@ def scan_licenses(docs: DataFrame, known: tuple[KnownText, ...] = NOTICES, id_co
     unit = lambda kind, k, form, x: F.struct(F.lit(kind).alias("unit"), k.alias("line_no"), form.alias("form"), x.alias("matched"))
     lines = F.transform("_forms", lambda x, k: unit("line", k + 1, x, F.element_at("_lines", k + 1)))
     whole = F.array(unit("text", F.lit(0), F.replace("_marked", F.lit("\n"), F.lit(" ")), F.col("_text")))
-    units = base.select(id_col, F.explode(F.concat(whole, lines)).alias("u")).select(id_col, "u.*").where(F.trim("form") != "")
+    units = base.select(id_col, F.explode(F.concat(whole, lines)).alias("u")).select(id_col, "u.*")
+    units = units.where(F.substring_index(F.trim("form"), " ", 1).isin(first_words(docs.sparkSession, known)) & (F.trim("form") != ""))
     units = units.withColumn("digest", F.sha2(_form(F.col("form")), 256)).drop("form")
     return units.join(digests(docs.sparkSession, known), "digest").select(id_col, "license_id", "unit", "line_no", "matched", "digest")
