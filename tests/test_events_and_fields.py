@@ -11,10 +11,10 @@ from vitalgrid.schemas import NORMALIZED_EVENTS, schema_problems
 
 NAMES = ["DTOBITO", "DTNASC", "IDADE", "SEXO", "RACACOR", "CODMUNRES", "CODMUNOCOR", "CODESTAB", "CAUSABAS", "DIFDATA", "TPPOS", "ALTCAUSA"]
 RAW = [
-    ("20220131", "19800131", "4042", "1", "4", "270430", "270430", "1234567", "I219", "3", "1", "2"),
-    ("20220201", "19700101", "4052", "2", "1", "270430", "270430", "1234567", "A419", "5", "1", "2"),
-    ("20230101", "19600101", "4063", "1", "2", "270030", "270030", None, "J189", None, None, None),
-    ("00000000", None, "9001", "9", None, "270430", "270430", None, "", None, None, None),
+    ("20190614", "19440309", "4075", "2", "1", "355030", "355030", "2077485", "C349", "12", "2", "1"),
+    ("20190702", None, "4031", "1", "4", "355030", "330455", None, "*V892", "1", None, "2"),
+    ("20200318", "20200301", "2017", "1", "2", "330455", "330455", "2269311", "P220", "", None, None),
+    ("2020-13-45", "", "7012", "3", "9", "12", "330455", None, "zz", "abc", "1", "2"),
 ]
 
 
@@ -23,7 +23,7 @@ def raw_table(spark, rows_=RAW, names=NAMES):
 
 
 def population(spark):
-    return spark.createDataFrame([(2022, "270430", 1000.0, "valid"), (2023, "270030", 2000.0, "valid")], "year int, municipality_cod6 string, population double, population_state string")
+    return spark.createDataFrame([(2019, "355030", 800.0, "valid"), (2020, "330455", 500.0, "valid")], "year int, municipality_cod6 string, population double, population_state string")
 
 
 def test_contract_and_states(spark):
@@ -31,10 +31,10 @@ def test_contract_and_states(spark):
     assert len(out.columns) == 54 and schema_problems(out.schema, NORMALIZED_EVENTS) == []
     got = out.orderBy("row_number").collect()
     assert [r["row_number"] for r in got] == [0, 1, 2, 3]
-    assert (got[0]["death_date"], got[0]["age_source"], got[0]["sex"], got[0]["underlying_icd_norm"]) == ("2022-01-31", "date_difference", "1", "I21.9")
+    assert (got[0]["death_date"], got[0]["age_source"], got[0]["sex"], got[0]["underlying_icd_norm"]) == ("2019-06-14", "date_difference", "2", "C34.9")
     last = got[3]
-    assert (last["death_date_state"], last["sex_state"], last["race_color_state"], last["underlying_icd_parse_state"], last["age_state"]) == ("invalid", "unknown", "missing", "blank", "invalid")
-    assert last["normalization_warnings"] == ["age_unit_invalid:9"]
+    assert (last["death_date_state"], last["sex_state"], last["race_color_state"], last["underlying_icd_parse_state"], last["age_state"]) == ("unparseable", "invalid", "valid", "unparseable", "invalid")
+    assert last["normalization_warnings"] == ["age_unit_invalid:7"] and got[1]["underlying_icd_warnings"] == ["icd_prefixed_asterisk"]
 
 
 def test_hashes_equal_canonical_json(spark):
@@ -57,7 +57,7 @@ def test_cause_chain_and_names_in_any_case(spark):
 def test_row_order_does_not_change_counts(spark):
     a = {tuple(r) for r in fields.event_counts(normalize.normalize_events(raw_table(spark))).collect()}
     b = {tuple(r) for r in fields.event_counts(normalize.normalize_events(raw_table(spark, RAW[::-1]))).collect()}
-    assert a == b == {("SIM-DO", "municipality_residence", 2022, "270430", 2), ("SIM-DO", "municipality_residence", 2023, "270030", 1)}
+    assert a == b == {("SIM-DO", "municipality_residence", 2019, "355030", 2), ("SIM-DO", "municipality_residence", 2020, "330455", 1)}
 
 
 def test_rates_and_bundle(spark, tmp_path):
@@ -65,10 +65,14 @@ def test_rates_and_bundle(spark, tmp_path):
     counts = fields.compile_event_counts(normalize.normalize_events(raw_table(spark)), r)
     people = fields.compile_population(population(spark), r)
     rate = fields.compile_crude_rate(counts, people, r)
-    assert {tuple(x) for x in rate.data.collect()} == {(2022, "270430", 2.0, 1000.0, 0.002, 200.0, 100000.0, "deaths_per_100k_person_years"), (2023, "270030", 1.0, 2000.0, 0.0005, 50.0, 100000.0, "deaths_per_100k_person_years")}
+    assert {tuple(x) for x in rate.data.collect()} == {(2019, "355030", 2.0, 800.0, 0.0025, 250.0, 100000.0, "deaths_per_100k_person_years"), (2020, "330455", 1.0, 500.0, 0.002, 200.0, 100000.0, "deaths_per_100k_person_years")}
     assert (counts.q_state.metrics["n_events"], counts.q_state.metrics["missingness"], counts.field.state) == (3.0, 0.25, "fragile")
     assert counts.warnings[0].severity == "severe" and rate.field.state == "fragile"
-    bundle = Bundle.create(spark, tmp_path, r, {"any": "intent"})
+    (tmp_path / "in.csv").write_text("a\n1\n")
+    bundle = Bundle.create(spark, str(tmp_path), r, {"any": "intent"}, inputs=(str(tmp_path / "in.csv"),))
+    manifest = bundle.document("ReproducibilityManifest")
+    assert manifest["files"][0]["sha256"] == hashlib.sha256(b"a\n1\n").hexdigest() and manifest["files"][0]["bytes"] == 4
+    assert manifest["environment"]["packages"]["pyspark"] and bundle.document("UserIntent") == {"any": "intent"}
     for f in (counts, people, rate, rate):
         bundle.write_field(f)
     bundle.validate()

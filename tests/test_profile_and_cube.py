@@ -67,22 +67,37 @@ def test_flat_cube(spark, variables):
 
 
 def test_nested_cube(spark):
-    classes = [{"id": "2", "nome": "Sexo", "categoria": {"6794": "Total"}}]
+    classes = [{"nome": 'Sexo", "id":{,', "id": "2", "categoria": {"6795": "a\\b", "6794": "Total: all, \u00e9"}, "n": 3}]
     payload = [{"id": "93", "variavel": "População", "unidade": "Pessoas", "resultados": [{"classificacoes": classes, "series": [{"localidade": {"id": "2704302", "nome": "Maceió", "nivel": {"id": "N6", "nome": "Município"}}, "serie": {"2020": "10", "2021": "..."}}]}]}]
     facts, _ = cube.facts_of(spark, payload, "202")
     got = {r["period"]: r for r in facts.collect()}
     assert (got["2020"]["value"], got["2021"]["value_state"], got["2020"]["locality_level_id"]) == (10.0, "not_available", "N6")
-    assert json.loads(got["2020"]["classification_tuple_json"]) == classes
+    assert got["2020"]["classification_tuple_json"] == json.dumps(classes, sort_keys=True, ensure_ascii=False)
 
 
 def test_odd_payloads(spark):
     facts, warnings = cube.facts_of(spark, [], "1")
-    assert facts.count() == 0 and len(facts.columns) == 14 and warnings == ["cube_payload_empty"]
-    assert cube.facts_of(spark, [{"a": 1}], "1")[1] == ["cube_payload_unknown"]
+    assert facts.count() == 0 and len(facts.columns) == 14 and warnings == ["sidra_empty_top_level_payload"]
+    assert cube.facts_of(spark, [{"a": 1}], "1")[1] == ["sidra_unrecognized_response_shape"]
+    assert cube.facts_of(spark, [{"V": "Valor"}], "1")[1] == ["sidra_flat_no_data_rows_after_header_removal"]
     with pytest.raises(ValueError):
         cube.payload_form({})
 
 
+def test_nested_warnings(spark):
+    good = {"localidade": {"id": "1"}, "serie": {"2020": "5"}}
+    payload = [
+        {"id": "a", "resultados": "x"}, {"id": "b", "resultados": [7, {"series": {}}, {"series": [3, {"localidade": [], "serie": {}}, {"localidade": {}, "serie": None}, good]}, {}]}, {"resultados": None}, {"id": 9},
+    ]
+    facts, warnings = cube.facts_of(spark, payload, "1")
+    assert facts.count() == 1
+    assert warnings == ["unexpected_resultados_type:a", "unexpected_result_type:b", "unexpected_series_type:b", "unexpected_series_item_type:b", "unexpected_locality_or_serie_type:b", "unexpected_locality_or_serie_type:b", "unexpected_resultados_type:"]
+    odd = spark.createDataFrame([(json.dumps([1, {"V": "2"}, "x"]),)], "j string")
+    assert [r["code"] for r in cube.flat_warnings(odd, "j").collect()] == ["sidra_flat_non_dict_row"] * 2
+    assert [r["code"] for r in cube.nested_warnings(odd, "j").collect()] == ["unexpected_variable_block_type"] * 2
+    assert cube.facts_of(spark, [{"resultados": []}], "1")[1] == ["sidra_nested_no_series_facts"]
+
+
 def test_funnel_denominator_and_diagnostics(spark):
     rows = [("t", "v", "2021", "2704302", "A", "6", 10.0, "valid"), ("t", "v", "2021", "2704302", "A", "6", 11.0, "valid"), ("t", "w", "x", "2704302", None, "6", 1.0, "valid"), ("u", "v", "2021", None, "B", "3", None, "missing")]
     facts = spark.createDataFrame(rows, "table_id string, variable_id string, period string, locality_id string, locality_name string, locality_level_id string, value double, value_state string")

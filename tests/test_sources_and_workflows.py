@@ -1,3 +1,4 @@
+import hashlib
 import json
 import sys
 
@@ -5,18 +6,20 @@ import pytest
 
 from vitalgrid import cli
 from vitalgrid.plans import workflows
-from vitalgrid.plans.registries import load_registries, read_settings
+from vitalgrid.plans.registries import RegistryError, load_registries, read_settings
+from vitalgrid.plans.settings import SettingsError, load_settings
 from vitalgrid.sources import cube_client, external
+from vitalgrid.sources.files import file_hash
 from vitalgrid.sources.readers import read_table, write_parquet
 from vitalgrid.streaming.events import normalized_stream, windowed_counts
 
 RAW_CSV = """DTOBITO,DTNASC,IDADE,SEXO,RACACOR,CODMUNRES,CODMUNOCOR,CODESTAB,CAUSABAS,DIFDATA,TPPOS,ALTCAUSA
-20220131,19800131,4042,1,4,270430,270430,1234567,I219,3,1,2
-20220201,19700101,4052,2,1,270430,270430,1234567,A419,5,1,2
-20230101,19600101,4063,1,2,270030,270030,,J189,,,
-00000000,,9001,9,,270430,270430,,"",,,
+20190614,19440309,4075,2,1,355030,355030,2077485,C349,12,2,1
+20190702,,4031,1,4,355030,330455,,*V892,1,,2
+20200318,20200301,2017,1,2,330455,330455,2269311,P220,"",,
+2020-13-45,"",7012,3,,12,330455,,"",abc,1,2
 """
-POPULATION_CSV = "year,municipality_cod6,population,population_state\n2022,270430,1000.0,valid\n2023,270030,2000.0,valid\n"
+POPULATION_CSV = "year,municipality_cod6,population,population_state\n2019,355030,800.0,valid\n2020,330455,500.0,valid\n"
 
 
 @pytest.fixture
@@ -29,11 +32,13 @@ def files(tmp_path):
 
 def test_readers(spark, files, tmp_path):
     rows = read_table(spark, files[0]).collect()
-    assert (rows[3]["CAUSABAS"], rows[3]["RACACOR"], rows[0]["IDADE"]) == ("", None, "4042")
+    assert (rows[3]["CAUSABAS"], rows[3]["RACACOR"], rows[0]["IDADE"]) == ("", None, "4075")
     (tmp_path / "t.TSV").write_text("a\tb\n1\t\n")
     assert [tuple(r) for r in read_table(spark, str(tmp_path / "t.TSV")).collect()] == [("1", None)]
     write_parquet(spark.range(3), str(tmp_path / "p.parquet"))
     assert read_table(spark, str(tmp_path / "p.parquet")).count() == 3
+    (tmp_path / "lines.csv").write_text('a,b\n"1\n2",x\n')
+    assert [tuple(r) for r in read_table(spark, str(tmp_path / "lines.csv"), multi_line=True).collect()] == [("1\n2", "x")]
     with pytest.raises(FileNotFoundError):
         read_table(spark, str(tmp_path / "no.csv"))
     with pytest.raises(ValueError):
@@ -45,8 +50,10 @@ def test_mortality_run_end_to_end(spark, files, tmp_path):
     assert (out["n_fields"], out["n_edges"]) == (3, 2) and out["n_warnings"] >= 1
     bundle = workflows.Bundle(spark, out["run_dir"])
     rate = {(r["year"], r["municipality_cod6"]): r["mortality_rate_scaled"] for r in bundle.read_field(out["mortality_rate_field_id"]).collect()}
-    assert rate == {(2022, "270430"): 200.0, (2023, "270030"): 50.0}
+    assert rate == {(2019, "355030"): 250.0, (2020, "330455"): 200.0}
     assert read_settings(bundle.path("UserIntent")) == {"k": 1}
+    contract = workflows.adapter("SIM-DO").contract(["dtobito", "IDADE"])
+    assert not contract["ok"] and contract["missing_required"] == ["SEXO", "RACACOR", "CODMUNRES", "CAUSABAS"] and len(contract["warnings"]) == 2
     with pytest.raises(ValueError):
         workflows.adapter("SINASC")
 
@@ -92,6 +99,40 @@ def test_ingest(spark, tmp_path):
         external.normalize_system("XYZ")
 
 
+def test_file_hashes(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    for name, data in (("b", b"two"), ("a", b"one")):
+        (tmp_path / "f" / name).write_bytes(data)
+    one, two = (hashlib.sha256(x).hexdigest() for x in (b"one", b"two"))
+    assert file_hash(spark, str(tmp_path / "f" / "a")) == one
+    assert file_hash(spark, str(tmp_path / "f")) == hashlib.sha256((one + two).encode()).hexdigest()
+
+
+def test_settings(tmp_path):
+    texts = {"project": dict.fromkeys(["name", "package_name", "version", "registry_version", "timezone", "default_locale"], "x"), "paths": dict.fromkeys(["root", "data_root", "raw", "processed", "metadata", "cache", "manifests", "intermediate", "runs", "diagnostics", "config", "registries", "intents"], "y")}
+    texts |= {"compute": {"data_backend": "spark", "numerical_backend": "numpy"}, "sidra": {"base_url": "http://x", "max_retries": "7", "backoff_max_seconds": 3, "unknown": 1}, "datasus": {}}
+    for name, values in texts.items():
+        (tmp_path / f"{name}.json").write_text("\ufeff" + json.dumps({name: values}), encoding="utf-8")
+    got = load_settings(tmp_path)
+    assert got["sidra"]["max_retries"] == 7 and got["sidra"]["backoff_max_seconds"] == 3.0 and "unknown" not in got["sidra"] and got["datasus"]["heartbeat_timeout_seconds"] == 900
+    for name, values in (("sidra", {}), ("sidra", {"base_url": 1}), ("compute", {"data_backend": "s", "numerical_backend": "n", "wsl_required": "maybe"})):
+        with pytest.raises(SettingsError):
+            (tmp_path / f"{name}.json").write_text(json.dumps({name: values}))
+            load_settings(tmp_path)
+
+
+def test_registry_manifest(tmp_path):
+    entry = {"id": "a", "numerator_carrier": "Deaths", "denominator_carrier": "Population", "role": "mortality_rate"}
+    (tmp_path / "own.json").write_text(json.dumps({"entries": [entry]}))
+    (tmp_path / "registry_manifest.json").write_text(json.dumps({"registries": {"carrier_registry": {"path": "own.json"}}}))
+    got = load_registries(tmp_path)
+    assert got.carriers == (("Deaths", "Population", "mortality_rate"),)
+    assert got.hashes()["carrier_registry"] == hashlib.sha256((tmp_path / "own.json").read_bytes()).hexdigest() and "registry_manifest" in got.hashes()
+    (tmp_path / "own.json").unlink()
+    with pytest.raises(RegistryError):
+        load_registries(tmp_path)
+
+
 def test_registry_files(tmp_path):
     (tmp_path / "carrier_registry.json").write_text("﻿" + json.dumps({"entries": [{"id": "a", "numerator_carrier": "Deaths", "denominator_carrier": "Population", "role": "mortality_rate", "legal": True}]}), encoding="utf-8")
     assert load_registries(tmp_path).carriers == (("Deaths", "Population", "mortality_rate"),)

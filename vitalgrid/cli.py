@@ -33,7 +33,9 @@ def doctor(args):
 
 
 def validate_config(args):
-    return {"keys": sorted(read_settings(args.config))}
+    from vitalgrid.plans.settings import load_settings
+
+    return load_settings(args.config)
 
 
 def validate_registries(args):
@@ -52,7 +54,7 @@ def normalize(args):
     from vitalgrid.plans.workflows import adapter
     from vitalgrid.sources.readers import read_table, write_parquet
 
-    return {"normalized": write_parquet(adapter(args.system)(read_table(_session(), args.input), args.manifest_hash), args.output)}
+    return {"normalized": write_parquet(adapter(args.system).normalize(read_table(_session(), args.input), args.manifest_hash), args.output)}
 
 
 def process_local(args):

@@ -21,8 +21,6 @@ MEASURE_KEYS = ["table_id", "variable_id", "period", "locality_id"]
 MUNICIPALITY_LEVEL = "6"
 HEADER_VALUES, HEADER_CODES, VARIABLE_NAMES = ("valor", "v"), ("código", "codigo"), ("população", "variável")
 
-_NESTED = "array<struct<id:string,variavel:string,unidade:string,resultados:array<struct<classificacoes:string,series:array<struct<localidade:struct<id:string,nome:string,nivel:struct<id:string,nome:string>>,serie:map<string,string>>>>>>>"
-
 
 def dimensions(row: Column) -> Column:
     """array<struct(index, code, name)> of a flat object's DnC/DnN pairs, by the number n."""
@@ -75,6 +73,12 @@ def dims_json(dims: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))
 
 
+def spaced_json(text: Column) -> Column:
+    """JSON text with sorted keys and a blank after commas and colons, but not inside of texts."""
+    ordered = F.to_json(F.try_parse_json(text))  # a variant holds its keys in order
+    return F.regexp_replace(ordered, r'\G((?:"(?:[^"\\]|\\.)*"|[^",:])*+)([,:])', "$1$2 ")
+
+
 def flat_facts(payloads: DataFrame, text_col: str, table_id: str | Column, variables: tuple[str, ...] = (), periods: tuple[str, ...] = ()) -> DataFrame:
     """Facts of flat payloads, header objects left out."""
     table = F.lit(table_id) if isinstance(table_id, str) else table_id
@@ -99,20 +103,55 @@ def flat_facts(payloads: DataFrame, text_col: str, table_id: str | Column, varia
     return enforce_schema(out, FACTS)
 
 
+def _object(c: Column) -> Column:
+    return F.coalesce(F.startswith(c, F.lit("{")), F.lit(False))
+
+
+def _list(c: Column) -> Column:
+    return F.coalesce(F.startswith(c, F.lit("[")), F.lit(False))
+
+
+def _parts(c: Column) -> Column:
+    """JSON texts of an array's elements."""
+    return F.from_json(c, "array<string>")
+
+
+def _member(c: Column, name: str, absent: str) -> Column:
+    """JSON text of an object's member, null if it is null, ``absent`` if there is none."""
+    members = F.from_json(c, "map<string,string>")
+    return F.when(F.map_contains_key(members, name), F.try_element_at(members, F.lit(name))).otherwise(F.lit(absent))
+
+
+class _Nested:
+    """Nested payloads level by level, as JSON texts: each level goes on with what has the right shape."""
+
+    def __init__(self, payloads: DataFrame, text_col: str, *more: Column):
+        x = F.col("_x")
+        own, head = ["_id", "_name", "_unit", *(f"_m{k}" for k in range(len(more)))], [c.alias(f"_m{k}") for k, c in enumerate(more)]
+        self.blocks = payloads.select(*head, F.posexplode(_parts(F.col(text_col))).alias("_p0", "_x"))
+        member = lambda name, absent="": _member(x, name, absent)
+        variable = [member("id").alias("_id"), member("variavel").alias("_name"), member("unidade").alias("_unit"), *own[3:]]
+        self.results = self.blocks.where(_object(x)).select(*variable, "_p0", member("resultados", "[]").alias("_x"))
+        self.each = self.results.where(_list(x)).select(*own, "_p0", F.posexplode(_parts(x)).alias("_p1", "_x"))
+        self.series = self.each.where(_object(x)).select(*own, "_p0", "_p1", member("classificacoes", "[]").alias("_classes"), member("series", "[]").alias("_x"))
+        self.items = self.series.where(_list(x)).select(*own, "_classes", "_p0", "_p1", F.posexplode(_parts(x)).alias("_p2", "_x"))
+        self.ends = self.items.where(_object(x)).select(*own, "_classes", "_p0", "_p1", "_p2", member("localidade", "{}").alias("_place"), member("serie", "{}").alias("_serie"))
+        self.sound = _object(F.col("_place")) & _object(F.col("_serie"))
+
+
 def nested_facts(payloads: DataFrame, text_col: str, table_id: str | Column) -> DataFrame:
-    """Facts of nested payloads: one per variable, result, series and period. Parts of another shape give none."""
+    """Facts of nested payloads: one per variable, result, series and period. Parts of another shape give none, and harm no others."""
     table = F.lit(table_id) if isinstance(table_id, str) else table_id
-    v = payloads.select(table.alias("table_id"), F.explode(F.from_json(F.col(text_col), _NESTED)).alias("v"))
-    r = v.select("table_id", "v.id", "v.variavel", "v.unidade", F.explode("v.resultados").alias("r"))
-    s = r.select("table_id", "id", "variavel", "unidade", "r.classificacoes", F.explode("r.series").alias("s"))
-    p = s.select("table_id", "id", "variavel", "unidade", "classificacoes", "s.localidade", F.explode("s.serie").alias("period", "raw"))
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    nested = _Nested(payloads, text_col, table)
+    good = nested.ends.where(nested.sound).withColumn("_level", _member(F.col("_place"), "nivel", "{}"))
+    p = good.select("*", F.explode(F.from_json("_serie", "map<string,string>")).alias("period", "raw"))
+    blank = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
+    level = lambda name: F.when(_object(F.col("_level")), _member(F.col("_level"), name, "")).otherwise(F.lit(""))
     value = parse_cube_value(F.col("raw"))
-    # separators as in the flat form
-    classes = F.coalesce(F.regexp_replace(F.regexp_replace("classificacoes", r'([\]}"0-9el]),(?=["\[{])', "$1, "), r'":(?=["\[{0-9tfn-])', '": '), F.lit("[]"))
     out = p.select(
-        "table_id", blank("id").alias("variable_id"), blank("variavel").alias("variable_name"), blank("unidade").alias("unit"), "period", blank("localidade.id").alias("locality_id"), blank("localidade.nome").alias("locality_name"),
-        blank("localidade.nivel.id").alias("locality_level_id"), blank("localidade.nivel.nome").alias("locality_level_name"), classes.alias("classification_tuple_json"), F.lit("[]").alias("dimension_tuple_json"),
+        F.col("_m0").alias("table_id"), blank("_id").alias("variable_id"), blank("_name").alias("variable_name"), blank("_unit").alias("unit"), "period",
+        blank(_member(F.col("_place"), "id", "")).alias("locality_id"), blank(_member(F.col("_place"), "nome", "")).alias("locality_name"),
+        blank(level("id")).alias("locality_level_id"), blank(level("nome")).alias("locality_level_name"), F.coalesce(spaced_json(F.col("_classes")), F.lit("null")).alias("classification_tuple_json"), F.lit("[]").alias("dimension_tuple_json"),
         F.col("raw").alias("value_raw"), value["value"].alias("value"), value["state"].alias("value_state"),
     )
     return enforce_schema(out, FACTS)
@@ -132,15 +171,45 @@ def payload_form(payload: list) -> str:
     return "unknown"
 
 
+def flat_warnings(payloads: DataFrame, text_col: str) -> DataFrame:
+    """(at, code): elements of flat payloads that aren't objects, with their places."""
+    rows = payloads.select(F.posexplode(_parts(F.col(text_col))).alias("p", "row"))
+    return rows.where(~_object(F.col("row"))).select(F.array("p").alias("at"), F.lit("sidra_flat_non_dict_row").alias("code"))
+
+
+def nested_warnings(payloads: DataFrame, text_col: str) -> DataFrame:
+    """(at, code): parts of nested payloads of another shape than expected, with their places from the outermost array inwards."""
+    n, x = _Nested(payloads, text_col), F.col("_x")
+    code = lambda text: F.concat(F.lit(f"{text}:"), F.coalesce(F.col("_id"), F.lit("")))
+    found = [
+        (n.blocks, ~_object(x), 1, F.lit("unexpected_variable_block_type")),
+        (n.results, ~_list(x), 1, code("unexpected_resultados_type")),
+        (n.each, ~_object(x), 2, code("unexpected_result_type")),
+        (n.series, ~_list(x), 2, code("unexpected_series_type")),
+        (n.items, ~_object(x), 3, code("unexpected_series_item_type")),
+        (n.ends, ~n.sound, 3, code("unexpected_locality_or_serie_type")),
+    ]
+    each = [df.where(bad).select(F.array(*(F.col(f"_p{k}").cast("int") for k in range(depth))).alias("at"), text.alias("code")) for df, bad, depth, text in found]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def facts_of(spark, payload: list, table_id: str, variables: tuple[str, ...] = (), periods: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Facts of one payload by its form, with warnings; typed and empty for an empty or unknown one."""
+    """Facts of one payload by its form, with warnings in the payload's order; typed and empty for an empty or unknown one."""
     import json
 
     form = payload_form(payload)
     if form not in ("flat", "nested"):
-        return spark.createDataFrame([], FACTS), [f"cube_payload_{form}"]
+        return spark.createDataFrame([], FACTS), ["sidra_empty_top_level_payload" if form == "empty" else "sidra_unrecognized_response_shape"]
     df = spark.createDataFrame([(json.dumps(payload, ensure_ascii=False),)], "payload string")
-    return (flat_facts(df, "payload", str(table_id), variables, periods) if form == "flat" else nested_facts(df, "payload", str(table_id))), []
+    if form == "flat":
+        facts, said, none = flat_facts(df, "payload", str(table_id), variables, periods), flat_warnings(df, "payload"), "sidra_flat_no_data_rows_after_header_removal"
+    else:
+        facts, said, none = nested_facts(df, "payload", str(table_id)), nested_warnings(df, "payload"), "sidra_nested_no_series_facts"
+    warnings = [r["code"] for r in said.orderBy("at").collect()]
+    return facts, warnings + [none] * facts.isEmpty()
 
 
 def _stages(table_id: str | None, variable_id: str | None, level_id: str | None) -> list[tuple[str, Column]]:
@@ -163,7 +232,7 @@ def facts_funnel(facts: DataFrame, table_id: str | None = None, variable_id: str
 
 
 def facts_to_denominator(facts: DataFrame, table_id: str | None = None, variable_id: str | None = None, source_label: str = "SIDRA_population", level_id: str | None = MUNICIPALITY_LEVEL) -> DataFrame:
-    """Denominator rows of the facts that pass all filters; nothing is summed up."""
+    """Denominator rows of the facts that pass all filters, sorted by year and area; nothing is summed up."""
     require(facts, {"period", "locality_id", "value", "value_state", "table_id", "variable_id", "locality_name"}, "the table of facts")
     good = facts.where(_stages(table_id, variable_id, level_id)[-1][1])
     out = good.select(
@@ -171,7 +240,7 @@ def facts_to_denominator(facts: DataFrame, table_id: str | None = None, variable
         F.col("value").cast("double").alias("population"), F.lit("valid").alias("population_state"), F.lit(source_label).alias("denominator_source"), F.lit("official").alias("provenance"),
         F.concat(F.col("table_id").cast("string"), F.lit(":"), F.col("variable_id").cast("string")).alias("sidra_measure_id"), F.col("locality_name").cast("string").alias("municipality_name"),
     )
-    return enforce_schema(out, DENOMINATOR)
+    return enforce_schema(out, DENOMINATOR).orderBy("year", "municipality_cod7")
 
 
 def projection_report(facts: DataFrame, denominator: DataFrame, **filters) -> dict:

@@ -33,11 +33,11 @@ def valid_event(geography: str = "residence") -> Column:
 
 
 def event_counts(events: DataFrame, geography: str = "residence") -> DataFrame:
-    """Events per year and area; rows without a valid date and area don't count. Order is left to the writer."""
+    """Events per year and area; rows without a valid date and area don't count. Sorted by both."""
     require(events, {"death_date", "death_date_state", f"mun_{geography}_cod6", f"mun_{geography}_state"}, "the table of events")
     kept = events.where(valid_event(geography)).select(F.substring("death_date", 1, 4).cast("int").alias("year"), F.col(f"mun_{geography}_cod6").alias("municipality_cod6"))
     counts = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("death_count"))
-    return counts.select(F.lit("SIM-DO").alias("source_system"), F.lit(f"municipality_{geography}").alias("geography_basis"), *KEYS, "death_count")
+    return counts.select(F.lit("SIM-DO").alias("source_system"), F.lit(f"municipality_{geography}").alias("geography_basis"), *KEYS, "death_count").orderBy(*KEYS)
 
 
 def event_quality(events: DataFrame, geography: str = "residence") -> DataFrame:
@@ -85,10 +85,10 @@ def _usable() -> tuple[Column, Column]:
 
 
 def population_denominator(table: DataFrame, source_label: str = "imported_population_fixture") -> DataFrame:
-    """Population per year and area from valid rows; labels of the row that is read first."""
+    """Population per year and area from valid rows; labels of the row that is read first. Sorted by both."""
     rows = _population(table, source_label).where(_usable()[0]).withColumn("_at", F.monotonically_increasing_id())
     sums = rows.groupBy(*KEYS).agg(F.sum("population").alias("population"), F.min_by("denominator_source", "_at").alias("denominator_source"), F.min_by("provenance", "_at").alias("provenance"))
-    return sums.select(*KEYS, "population", F.lit("Population").alias("carrier"), F.lit("person_years").alias("unit"), F.lit("municipality").alias("geography_basis"), "denominator_source", "provenance")
+    return sums.select(*KEYS, "population", F.lit("Population").alias("carrier"), F.lit("person_years").alias("unit"), F.lit("municipality").alias("geography_basis"), "denominator_source", "provenance").orderBy(*KEYS)
 
 
 def population_quality(table: DataFrame, source_label: str = "imported_population_fixture") -> DataFrame:
@@ -137,10 +137,10 @@ def joined_rates(counts: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def crude_rates(counts: DataFrame, population: DataFrame, scale: float = SCALE) -> DataFrame:
-    """Rates where there is a positive denominator."""
+    """Rates where there is a positive denominator, sorted by year and area."""
     rate = F.col("death_count") / F.col("population")
     valid = joined_rates(counts, population).where(F.col("population").isNotNull() & (F.col("population") > 0))
-    return valid.select(*KEYS, "death_count", "population", rate.alias("mortality_rate"), (rate * F.lit(scale)).alias("mortality_rate_scaled"), F.lit(scale).alias("scale"), F.lit("deaths_per_100k_person_years").alias("unit"))
+    return valid.select(*KEYS, "death_count", "population", rate.alias("mortality_rate"), (rate * F.lit(scale)).alias("mortality_rate_scaled"), F.lit(scale).alias("scale"), F.lit("deaths_per_100k_person_years").alias("unit")).orderBy(*KEYS)
 
 
 def without_denominator(counts: DataFrame, population: DataFrame) -> DataFrame:

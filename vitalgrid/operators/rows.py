@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """``df`` with a gapless index from 0 in the order of the scan.
 
-    Counts per partition are summed up; nothing is sorted and no single task sees all rows.
+    Counts per partition are summed up; nothing is sorted and no single task
+    sees all rows. The counts are taken by a run of their own, so ``df`` must give
+    the same partitions twice, as files do; a row that the counts don't know stops
+    the job instead of getting a wrong number.
     """
     spark = df.sparkSession
     tagged = df.withColumn("_at", F.monotonically_increasing_id())
@@ -17,10 +20,12 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     counts = sorted((r["p"], r["n"]) for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
     starts, total = [], 0
     for p, n in counts:
-        starts.append((p, total))
+        starts.append((p, total, n))
         total += n
-    base = F.broadcast(spark.createDataFrame(starts, "_p long, _start long"))
-    return tagged.join(base, part == F.col("_p")).withColumn(name, F.col("_start") + place).drop("_at", "_p", "_start")
+    base = F.broadcast(spark.createDataFrame(starts, "_p long, _start long, _many long"))
+    known = F.coalesce(place < F.col("_many"), F.lit(False))
+    index = F.when(known, F.col("_start") + place).otherwise(F.raise_error(F.lit("the table's partitions changed while its rows were numbered")).cast("long"))
+    return tagged.join(base, part == F.col("_p"), "left").withColumn(name, index).drop("_at", "_p", "_start", "_many")
 
 
 def by_upper_name(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

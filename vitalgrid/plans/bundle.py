@@ -3,16 +3,16 @@
 Catalog tables are small (a row per field, edge or warning) and are replaced
 by writing a new folder beside the old one and swapping names, so a failure
 leaves the old table in place. Field data is written straight to its own path.
+All of it stands on the file system that Spark writes to.
 """
 
 from __future__ import annotations
 
 import json
 import platform
-import shutil
 import uuid
 from dataclasses import asdict
-from pathlib import Path
+from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from vitalgrid.operators.rows import keep_last
 from vitalgrid.plans.contracts import METRICS, CompiledField, fresh_id, utc_now
 from vitalgrid.plans.registries import Registries, sha256_json
 from vitalgrid.schemas import BUNDLE_TABLES, enforce_schema, schema_problems
+from vitalgrid.sources.files import Files, file_hashes, join_path
 
 DOCUMENTS = ("UserIntent", "RunConfig", "P_vector", "ReproducibilityManifest")
 FOLDERS = ("fields", "artifacts")
@@ -32,48 +33,65 @@ class BundleError(ValueError):
     pass
 
 
+def environment(spark: SparkSession) -> dict:
+    """Versions that a run depends on; packages that aren't installed are null."""
+
+    def version(package: str) -> str | None:
+        try:
+            return metadata.version(package)
+        except metadata.PackageNotFoundError:
+            return None
+
+    return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "packages": {p: version(p) for p in ("pyspark", "pyarrow", "pandas", "numpy")}}
+
+
 def spaced_json(value) -> str:
     """JSON with sorted keys, as catalog columns hold it."""
     return json.dumps(value, sort_keys=True, ensure_ascii=False)
 
 
 class Bundle:
-    def __init__(self, spark: SparkSession, folder: str | Path):
-        self.spark, self.folder = spark, Path(folder)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.files = spark, str(folder), Files(spark)
 
     @classmethod
-    def create(cls, spark: SparkSession, runs: str | Path, registries: Registries, intent: dict | None = None, config: dict | None = None) -> Bundle:
-        """A new bundle with typed empty tables; the intent is kept as it is."""
-        out = cls(spark, Path(runs) / fresh_id("run"))
+    def create(cls, spark: SparkSession, runs: str, registries: Registries, intent: dict | None = None, config: dict | None = None, inputs: tuple[str, ...] = ()) -> Bundle:
+        """A new bundle with typed empty tables; the intent is kept as it is. The manifest has the hashes of ``inputs``."""
+        run_id = fresh_id("run")
+        out = cls(spark, join_path(runs, run_id))
         out.initialize()
-        manifest = {"created_at": utc_now(), "python": platform.python_version(), "spark": spark.version, "registries": registries.hashes(), "config_hash": sha256_json(config or {}), "files": {}, "notes": []}
+        manifest = {"run_id": run_id, "created_at": utc_now(), "environment": environment(spark), "registries": registries.hashes(), "config_hash": sha256_json(config or {}), "files": [r.asDict() for p in inputs for r in file_hashes(spark, p).orderBy("path").collect()], "notes": []}
         for name, value in zip(DOCUMENTS, (intent or {}, config or {}, {}, manifest), strict=True):
             out.write_document(name, value)
         return out
 
     def initialize(self) -> None:
         for name in FOLDERS:
-            (self.folder / name).mkdir(parents=True, exist_ok=True)
+            self.files.make_folder(self.path(name))
         for name, schema in BUNDLE_TABLES.items():
-            if not self.path(name).exists():
-                self.spark.createDataFrame([], schema).coalesce(1).write.parquet(str(self.path(name)))
+            if not self.files.exists(self.path(name)):
+                self.spark.createDataFrame([], schema).coalesce(1).write.parquet(self.path(name))
 
-    def path(self, name: str) -> Path:
-        return self.folder / (f"{name}.json" if name in DOCUMENTS else name if name in FOLDERS else f"{name}.parquet")
+    def path(self, name: str) -> str:
+        return join_path(self.folder, f"{name}.json" if name in DOCUMENTS else name if name in FOLDERS else f"{name}.parquet")
 
     def write_document(self, name: str, value) -> None:
-        self.path(name).write_text(json.dumps(value, indent=2, ensure_ascii=False), encoding="utf-8")
+        self.files.write_text(self.path(name), json.dumps(value, indent=2, ensure_ascii=False))
+
+    def document(self, name: str):
+        return json.loads(self.files.read_text(self.path(name)))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(BUNDLE_TABLES[name]).parquet(str(self.path(name)))
+        return self.spark.read.schema(BUNDLE_TABLES[name]).parquet(self.path(name))
 
     def problems(self) -> list[str]:
         """Absent keys and tables of another shape."""
         keys = [*BUNDLE_TABLES, *DOCUMENTS, *FOLDERS]
-        out = [f"{k} is missing" for k in keys if not self.path(k).exists()]
+        absent = {k for k in keys if not self.files.exists(self.path(k))}
+        out = [f"{k} is missing" for k in keys if k in absent]
         for name, schema in BUNDLE_TABLES.items():
-            if self.path(name).exists():
-                out += [f"{name}: {x}" for x in schema_problems(self.spark.read.parquet(str(self.path(name))).schema, schema)]
+            if name not in absent:
+                out += [f"{name}: {x}" for x in schema_problems(self.spark.read.parquet(self.path(name)).schema, schema)]
         return out
 
     def validate(self) -> None:
@@ -81,12 +99,12 @@ class Bundle:
             raise BundleError("; ".join(found))
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        fresh, old = (self.folder / f".{name}-{uuid.uuid4().hex}{x}" for x in ("", "-old"))
-        df.coalesce(1).write.parquet(str(fresh))
-        if self.path(name).exists():
-            self.path(name).rename(old)
-        fresh.rename(self.path(name))
-        shutil.rmtree(old, ignore_errors=True)
+        fresh, old = (join_path(self.folder, f".{name}-{uuid.uuid4().hex}{x}") for x in ("", "-old"))
+        df.coalesce(1).write.parquet(fresh)
+        if self.files.exists(self.path(name)):
+            self.files.rename(self.path(name), old)
+        self.files.rename(fresh, self.path(name))
+        self.files.remove(old)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """One row per key: the new one replaces the old one."""
@@ -94,11 +112,11 @@ class Bundle:
         self._replace(name, keep_last(enforce_schema(self.table(name), schema), enforce_schema(rows, schema), KEYS[name]))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        enforce_schema(rows, BUNDLE_TABLES[name]).coalesce(1).write.mode("append").parquet(str(self.path(name)))
+        enforce_schema(rows, BUNDLE_TABLES[name]).coalesce(1).write.mode("append").parquet(self.path(name))
 
     def write_field(self, compiled: CompiledField) -> str:
         """Data, then catalog row, edges, quality and warnings."""
-        data = str(self.folder / "fields" / f"{compiled.field.id}.parquet")
+        data = join_path(self.path("fields"), f"{compiled.field.id}.parquet")
         compiled.data.write.mode("overwrite").parquet(data)
         rows = encode_field(compiled, data)
         for name, values in rows.items():

@@ -100,6 +100,8 @@ class Registries:
     quality: dict = field(default_factory=lambda: dict(QUALITY))
     aggregations: tuple = AGGREGATIONS
     source_fields: tuple = FIRST_FIELDS
+    #: Hashes of the files that entries came from.
+    file_hashes: dict = field(default_factory=dict)
 
     def carrier_legal(self, numerator: str, denominator: str, role: str) -> bool:
         return (numerator, denominator, role) in {tuple(c[:3]) for c in self.carriers}
@@ -114,8 +116,8 @@ class Registries:
         return dict(zip(PERMISSIONS, self.quality[state], strict=True))
 
     def hashes(self) -> dict[str, str]:
-        """SHA-256 of each registry's canonical JSON."""
-        return {k: sha256_json(v) for k, v in (("aggregation_registry", self.aggregations), ("carrier_registry", self.carriers), ("quality_permissions", self.quality), ("race_axis_registry", self.race_axes), ("source_fields", self.source_fields), ("unit_registry", self.units))}
+        """SHA-256 of each registry's file, of built-in entries that of their canonical JSON."""
+        return {k: sha256_json(v) for k, v in (("aggregation_registry", self.aggregations), ("carrier_registry", self.carriers), ("quality_permissions", self.quality), ("race_axis_registry", self.race_axes), ("source_fields", self.source_fields), ("unit_registry", self.units))} | self.file_hashes
 
 
 def sha256_json(value) -> str:
@@ -135,14 +137,44 @@ def read_settings(path: str | Path):
     return yaml.safe_load(text)
 
 
+#: Registries by name.
+NAMES = ("carrier_registry", "unit_registry", "race_axis_registry", "quality_permissions", "aggregation_registry", "source_fields")
+
+
+def _sha256(path: Path) -> str:
+    return hashlib.sha256(path.read_bytes()).hexdigest()
+
+
+def registry_files(folder: str | Path) -> tuple[dict[str, Path], dict[str, str]]:
+    """File of each registry in a folder, and hashes of the files.
+
+    A ``registry_manifest`` names the files, and all that it names must be there;
+    without one, files named like a registry are taken.
+    """
+    folder = Path(folder)
+    suffixes = (".yaml", ".yml", ".json")
+    manifest = next((p for x in suffixes if (p := folder / f"registry_manifest{x}").exists()), None)
+    if manifest:
+        listed = (read_settings(manifest) or {}).get("registries") or {}
+        files = {name: folder / item["path"] for name, item in listed.items()}
+        if absent := sorted(str(p) for p in files.values() if not p.exists()):
+            raise RegistryError(f"the manifest names files that are absent: {absent}")
+    else:
+        files = {name: p for name in NAMES for x in suffixes if (p := folder / f"{name}{x}").exists()}
+    hashes = {name: _sha256(p) for name, p in files.items()} | ({"registry_manifest": _sha256(manifest)} if manifest else {})
+    return files, hashes
+
+
 def load_registries(folder: str | Path) -> Registries:
-    """Registries from files named like the registry; absent files keep the built-in entries."""
+    """Registries from a folder's files; those without a file keep the built-in entries. Their hashes are the files'."""
+    files, hashes = registry_files(folder)
     found = {}
-    for name in ("carrier_registry", "unit_registry", "race_axis_registry", "quality_permissions", "aggregation_registry", "source_fields"):
-        for suffix in (".yaml", ".yml", ".json"):
-            path = Path(folder) / f"{name}{suffix}"
-            if path.exists():
-                found[name] = read_settings(path)["entries"]
+    for name, path in files.items():
+        if name in NAMES:
+            data = read_settings(path)
+            if not isinstance(data, dict) or "entries" not in data:
+                raise RegistryError(f"{path} must be a mapping with entries")
+            found[name] = data["entries"]
     for name, entries in found.items():
         ids = [e["id"] for e in entries]
         twice = sorted({i for i in ids if ids.count(i) > 1})
@@ -161,7 +193,7 @@ def load_registries(folder: str | Path) -> Registries:
         out["aggregations"] = tuple((e["aggregation"], e["allowed_pushforward"], e["rate_handling"]) for e in found["aggregation_registry"])
     if "source_fields" in found:
         out["source_fields"] = tuple(e["raw_field"] for e in found["source_fields"])
-    return Registries(**out)
+    return Registries(**out, file_hashes=hashes)
 
 
 def validate(registries: Registries) -> None:

@@ -2,65 +2,74 @@
 
 from __future__ import annotations
 
-import hashlib
-from pathlib import Path
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalgrid.operators import cube, fields
-from vitalgrid.operators.normalize import SOURCE_SYSTEM, column_warnings, normalize_events
+from vitalgrid.operators.normalize import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SOURCE_SYSTEM, column_warnings, normalize_events
 from vitalgrid.operators.profile import compare_profiles, profile_columns, row_count_warnings
 from vitalgrid.plans.bundle import Bundle, json_column
 from vitalgrid.plans.contracts import CompiledField, FieldNode, Lineage, QState
 from vitalgrid.plans.registries import Registries, sha256_json, validate
 from vitalgrid.sources.cube_client import CubeQuery, fetch_facts, write_payload
+from vitalgrid.sources.files import Files, file_hash, join_path
 from vitalgrid.sources.readers import read_table, write_parquet
 
-#: Normalizers by source system.
-ADAPTERS = {SOURCE_SYSTEM: normalize_events}
 
+@dataclass(frozen=True)
+class Adapter:
+    """What a source system brings: its normalizer, the columns it wants and where their records are kept."""
 
-def adapter(system: str):
+    system: str
+    normalize: Callable[..., DataFrame]
+    required: tuple[str, ...]
+    optional: tuple[str, ...]
+    hash_column: str = "raw_record_hash"
+
+    def contract(self, columns: list[str]) -> dict:
+        """Whether a table has the required columns, with warnings for both kinds."""
+        have = {c.upper() for c in columns}
+        missing = [c for c in self.required if c not in have]
+        return {"system": self.system, "ok": not missing, "missing_required": missing, "missing_optional": [c for c in self.optional if c not in have], "warnings": column_warnings(columns)}
+
+
+#: Adapters by source system.
+ADAPTERS = {SOURCE_SYSTEM: Adapter(SOURCE_SYSTEM, normalize_events, REQUIRED_COLUMNS, OPTIONAL_COLUMNS)}
+
+
+def adapter(system: str) -> Adapter:
     if system not in ADAPTERS:
         raise ValueError(f"no adapter for {system}; there are {sorted(ADAPTERS)}")
     return ADAPTERS[system]
 
 
-def file_hash(path: str | Path) -> str:
-    """SHA-256 of a file, or of the files of a folder by name, read in pieces."""
-    digest = hashlib.sha256()
-    for p in sorted(Path(path).rglob("*")) if Path(path).is_dir() else [Path(path)]:
-        if p.is_file():
-            with p.open("rb") as f:
-                while piece := f.read(1 << 20):
-                    digest.update(piece)
-    return digest.hexdigest()
-
-
 def process_local(spark: SparkSession, raw_path: str, out_root: str, processed_path: str | None = None, system: str = SOURCE_SYSTEM, normalize_from: str = "raw") -> dict:
     """Profile the files, compare them, normalize one of them; returns the manifest.
 
     The workflow's id needs only hashes and paths, so it is known before the
     events are normalized, once, with it.
     """
-    normalizer, out = adapter(system), Path(out_root)
+    normalizer = adapter(system).normalize
     if normalize_from not in ("raw", "processed") or (normalize_from == "processed" and not processed_path):
         raise ValueError("normalize_from is raw, or processed with a processed_path")
     paths = {"raw": raw_path} | ({"processed": processed_path} if processed_path else {})
-    files = {k: {"path": str(Path(p).resolve()), "sha256": file_hash(p)} for k, p in paths.items()}
+    files = {k: {"path": str(p), "sha256": file_hash(spark, p)} for k, p in paths.items()}
     workflow_id = sha256_json({"source_system": system, "files": files, "normalization_input_kind": normalize_from})
     tables = {k: read_table(spark, p) for k, p in paths.items()}
     profiles, artifacts = {}, {}
     for kind, df in tables.items():
-        artifacts[f"{kind}_profile"] = write_parquet(profile_columns(df), str(out / f"{workflow_id}.{kind}_profile.parquet"))
+        artifacts[f"{kind}_profile"] = write_parquet(profile_columns(df), join_path(out_root, f"{workflow_id}.{kind}_profile.parquet"))
         profiles[kind] = spark.read.parquet(artifacts[f"{kind}_profile"])
     warnings = column_warnings(tables[normalize_from].columns)
     if len(tables) == 2:
-        artifacts["comparison"] = write_parquet(compare_profiles(profiles["raw"], profiles["processed"]), str(out / f"{workflow_id}.comparison.parquet"))
+        artifacts["comparison"] = write_parquet(compare_profiles(profiles["raw"], profiles["processed"]), join_path(out_root, f"{workflow_id}.comparison.parquet"))
         warnings += row_count_warnings(*(profiles[k].agg({"n_rows": "max"}).first()[0] or 0 for k in ("raw", "processed")))
-    artifacts["normalized"] = write_parquet(normalizer(tables[normalize_from], workflow_id), str(out / f"{workflow_id}.normalized.parquet"))
+    artifacts["normalized"] = write_parquet(normalizer(tables[normalize_from], workflow_id), join_path(out_root, f"{workflow_id}.normalized.parquet"))
     manifest = {"workflow_id": workflow_id, "status": "ok", "source_system": system, "files": files, "artifacts": artifacts, "warnings": warnings}
-    write_payload(out / f"{workflow_id}.manifest.json", manifest)
+    Files(spark).write_text(join_path(out_root, f"{workflow_id}.manifest.json"), json.dumps(manifest, ensure_ascii=False, indent=2))
     return manifest
 
 
@@ -115,8 +124,8 @@ def compile_rate(bundle: Bundle, counts_id: str, population_id: str, registries:
 def mortality_run(spark: SparkSession, raw_path: str, population: str | DataFrame, out_root: str, intent: dict | None = None, processed_path: str | None = None, source_label: str = "imported_population_fixture", geography: str = "residence", registries: Registries | None = None) -> dict:
     """The whole way from local files to a rate, with a summary."""
     registries = registries or Registries()
-    bundle = compile_bundle(spark, str(Path(out_root) / "runs"), intent, registries=registries)
-    manifest = process_local(spark, raw_path, str(Path(out_root) / "processed"), processed_path)
+    bundle = compile_bundle(spark, join_path(out_root, "runs"), intent, registries=registries)
+    manifest = process_local(spark, raw_path, join_path(out_root, "processed"), processed_path)
     counts = compile_counts(bundle, manifest["artifacts"]["normalized"], registries, geography)
     people = import_population(bundle, population, registries, source_label)
     rate = compile_rate(bundle, counts.field.id, people.field.id, registries)
@@ -139,5 +148,5 @@ def prepare_population(spark: SparkSession, spec: str | CubeQuery, cube_root: st
 
 def cube_mortality_run(spark: SparkSession, raw_path: str, spec: str | CubeQuery, out_root: str, source_label: str = "SIDRA_population", **options) -> dict:
     """A mortality run whose denominator comes from a fact cube."""
-    prepared = prepare_population(spark, spec, str(Path(out_root) / "cube"), str(Path(out_root) / "denominator.parquet"), source_label=source_label, **options)
+    prepared = prepare_population(spark, spec, join_path(out_root, "cube"), join_path(out_root, "denominator.parquet"), source_label=source_label, **options)
     return mortality_run(spark, raw_path, spark.read.parquet(prepared["denominator"]), out_root, source_label=source_label) | {"projection_report": prepared["report"]}

@@ -13,6 +13,8 @@ from vitalgrid.functions import parsers as P
 from vitalgrid.operators import cube, fields, legality, normalize, profile, rows
 from vitalgrid.plans import bundle, registries
 from vitalgrid.schemas import enforce_schema
+from vitalgrid.sources.files import scratch_folder
+from vitalgrid.sources.readers import read_table, write_parquet
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -252,19 +254,19 @@ def cube_value_states(spark, sf_dir):
 # ---- rows, hashes, schemas ----------------------------------------------------------------------------------
 
 
-@query("""select n_nationkey, sha256('{"n_name":' || to_json(n_name)::varchar || ',"n_nationkey":"' || n_nationkey || '","nothing":null}') as row_hash from nation""")
+@query("""select c_custkey, sha256('{"c_name":' || to_json(c_name)::varchar || ',"c_custkey":"' || c_custkey || '","nothing":null}') as row_hash from customer""")
 def event_hash(spark, sf_dir):
-    cols = {"n_name": F.col("n_name"), "n_nationkey": F.col("n_nationkey").cast("string"), "nothing": F.lit(None).cast("string")}
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(normalize.canonical_json(cols), 256).alias("row_hash"))
+    cols = {"c_name": F.col("c_name"), "c_custkey": F.col("c_custkey").cast("string"), "nothing": F.lit(None).cast("string")}
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(normalize.canonical_json(cols), 256).alias("row_hash"))
 
 
-@query("select null::varchar as absent, n_name, cast(n_nationkey as bigint) as n_nationkey, try_cast(n_name as double) as n_comment from nation")
+@query("select null::varchar as absent, c_name, cast(c_custkey as bigint) as c_custkey, try_cast(c_name as double) as c_phone from customer")
 def schema_enforce(spark, sf_dir):
     from pyspark.sql import types as T
 
-    nation = table(spark, sf_dir, "nation").withColumn("n_comment", F.col("n_name"))
-    wanted = T.StructType([T.StructField("absent", T.StringType()), T.StructField("n_name", T.StringType()), T.StructField("n_nationkey", T.LongType()), T.StructField("n_comment", T.DoubleType())])
-    return enforce_schema(nation, wanted)
+    people = table(spark, sf_dir, "customer").withColumn("c_phone", F.col("c_name"))
+    wanted = T.StructType([T.StructField("absent", T.StringType()), T.StructField("c_name", T.StringType()), T.StructField("c_custkey", T.LongType()), T.StructField("c_phone", T.DoubleType())])
+    return enforce_schema(people, wanted)
 
 
 @query("select count(*)::bigint as n_rows, min(i)::bigint as first_index, max(i)::bigint as last_index, count(distinct i)::bigint as n_distinct from (select row_number() over () - 1 as i from orders)")
@@ -273,21 +275,56 @@ def row_index(spark, sf_dir):
     return rows.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), "i").agg(F.count(i).alias("n_rows"), F.min(i).alias("first_index"), F.max(i).alias("last_index"), F.count_distinct(i).alias("n_distinct"))
 
 
-@query("select n_nationkey, n_name, n_regionkey from nation")
+@query("select o_orderkey, o_custkey, o_orderstatus from orders")
 def positional_reinject(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").coalesce(1)
-    return rows.reinject_columns(nation.select("n_nationkey", "n_regionkey"), nation.select("n_nationkey", "n_name"))
+    orders = table(spark, sf_dir, "orders")
+    return rows.reinject_columns(orders.select("o_orderkey", "o_orderstatus"), orders.select("o_orderkey", "o_custkey"))
 
 
-@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'new' else o_orderstatus end as o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0")
+@query("select o_orderkey, case when o_orderstatus = 'F' then 'new' else o_orderstatus end as o_orderstatus, o_totalprice from orders union all select -o_orderkey, 'new', o_totalprice from orders where o_orderstatus = 'F'")
 def upsert_keep_last(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return rows.keep_last(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("new")), ["o_orderkey"])
+    changed = orders.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("new"))
+    return rows.keep_last(orders, changed.unionByName(changed.withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_orderkey"])
+
+
+def _bundle(spark) -> bundle.Bundle:
+    out = bundle.Bundle(spark, scratch_folder(spark, "bundle"))
+    out.initialize()
+    return out
 
 
-@query("select n_name as code, 'nation' as source from nation union all select r_name, 'region' from region")
+@query("select c_name as code, 'customer' as source from customer union all select s_name, 'supplier' from supplier")
 def append_rows(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("code"), F.lit("nation").alias("source")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("code"), F.lit("region").alias("source")))
+    catalog = _bundle(spark)
+    for name, column in (("customer", "c_name"), ("supplier", "s_name")):
+        catalog.append("Warnings", table(spark, sf_dir, name).select(F.col(column).alias("code"), F.lit(name).alias("source")))
+    return catalog.table("Warnings").select("code", "source")
+
+
+def _round_trip(spark, sf_dir, suffix: str, separator: str):
+    path = scratch_folder(spark, "raw") + suffix
+    raw_events(spark, sf_dir).select(*(F.col(c).cast("string") for c in _raw(True))).write.option("header", True).option("sep", separator).option("escape", '"').csv(path)
+    return read_table(spark, path)
+
+
+_AS_TEXT = f"with {RAW} select " + ", ".join(f"{c}::varchar as {c}" for c in _raw(False)) + " from raw"
+
+
+@query(_AS_TEXT)
+def csv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, ".csv", ",")
+
+
+@query(_AS_TEXT)
+def tsv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, ".TSV", "\t")
+
+
+@query("select o_orderstatus, count(*) as n from orders group by 1")
+def parquet_partitions(spark, sf_dir):
+    path = write_parquet(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), scratch_folder(spark, "orders") + ".parquet", ("o_orderstatus",))
+    return read_table(spark, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- events, denominators, rates ----------------------------------------------------------------------------
@@ -397,9 +434,9 @@ def population_denominator(spark, sf_dir):
     return fields.population_denominator(population_table(spark, sf_dir))
 
 
-@query(f"with {_POPULATION} select count(*) as n_total, count(*) filter ({_BAD_PEOPLE}) as n_invalid, sum(population) filter ({_VALID_PEOPLE}) as n_denom, count(distinct (year, municipality_cod6)) filter ({_VALID_PEOPLE}) as n_keys, count(*) filter ({_BAD_PEOPLE})::double / count(*) as missingness from people")
+@query(f"with {_POPULATION} select count(*) as n_total, count(*) filter ({_BAD_PEOPLE}) as n_invalid, sum(population) filter ({_VALID_PEOPLE}) as n_denom, count(distinct (year, municipality_cod6)) filter ({_VALID_PEOPLE}) as n_keys, count(*) filter ({_BAD_PEOPLE})::double / count(*) as missingness, 'imported_population_fixture' as denominator_source, 'imported_fixture' as provenance from people")
 def population_excluded(spark, sf_dir):
-    return fields.population_quality(population_table(spark, sf_dir)).select("n_total", "n_invalid", "n_denom", "n_keys", "missingness")
+    return fields.population_quality(population_table(spark, sf_dir)).select("n_total", "n_invalid", "n_denom", "n_keys", "missingness", "denominator_source", F.array_join("provenance", ",").alias("provenance"))
 
 
 @query(f"with {_JOINED} select year, municipality_cod6, death_count, population, death_count / population as mortality_rate, death_count / population * 100000.0::double as mortality_rate_scaled, 100000.0::double as scale, 'deaths_per_100k_person_years' as unit from joined where population > 0")
@@ -424,10 +461,12 @@ def provenance_risk(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", fields.provenance_risk(labels).alias("risk"))
 
 
-@query("""select n_nationkey, array_to_string(list_sort(list_distinct(list_concat([n_name, 'IBGE'], ['SIM-DO', case when n_regionkey = 1 then n_name else 'IBGE' end]))), ',') as sources from nation""")
+@query(f"with {_JOINED} select 'IBGE,SIM-DO,imported_population_fixture' as sources, 'harmonized,imported_fixture,official' as provenance, 2 as n_parents, coalesce(sum(death_count) filter (population > 0), 0) as n_events, sum(population) filter (population > 0) as n_denom from joined")
 def lineage_union(spark, sf_dir):
-    a, b = F.array("n_name", F.lit("IBGE")), F.array(F.lit("SIM-DO"), F.when(F.col("n_regionkey") == 1, F.col("n_name")).otherwise("IBGE"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.array_sort(F.array_union(a, b)), ",").alias("sources"))
+    r = registries.Registries()
+    rate = fields.compile_crude_rate(fields.compile_event_counts(normalized_events(spark, sf_dir), r), fields.compile_population(population_table(spark, sf_dir), r), r)
+    f, q = rate.field, rate.q_state.metrics
+    return spark.createDataFrame([(",".join(f.source), ",".join(f.provenance), len(f.lineage.parent_ids), q["n_events"], q["n_denom"])], "sources string, provenance string, n_parents int, n_events double, n_denom double")
 
 
 # ---- legality and registries --------------------------------------------------------------------------------
@@ -519,6 +558,18 @@ def profile_shape_flags(spark, sf_dir):
     return profile.profile_columns(profiled_table(spark, sf_dir), sample_limit=None).select("column", F.array_join("shape_flags", ",").alias("shape_flags"))
 
 
+_FIRST = 400
+
+
+@query(f"""with {RAW.replace(" from orders)", ", row_number() over (order by o_orderkey) as place from orders)")}, cells as (select 'DT_EVENT' as "column", DTOBITO as v, place from raw union all select 'VAL_DELAY', DIFDATA, place from raw), texts as (select "column", place, {_clean_sql("v")} as t from cells),
+first_ as (select *, row_number() over (partition by "column" order by place) as k from texts where t <> '')
+select "column", count({_number_sql("replace(t, ',', '.')")}) / count(*)::double as numeric_parse_rate, count({_date_sql("t")}) / count(*)::double as date_parse_rate from first_ where k <= {_FIRST} group by 1""")
+def profile_sample(spark, sf_dir):
+    # the table's rows stand in the order of their keys
+    raw = raw_events(spark, sf_dir, "DTOBITO", "DIFDATA").withColumnsRenamed({"DTOBITO": "DT_EVENT", "DIFDATA": "VAL_DELAY"})
+    return profile.profile_columns(raw, sample_limit=_FIRST).select("column", "numeric_parse_rate", "date_parse_rate")
+
+
 @query(f"""with {_CELLS_SQL}, counted as (select "column", v, count(*) as n from cells where {_clean_sql("v")} <> '' group by 1, 2) select "column", max(n) as n_most, (array_agg(n order by n desc))[1:10].list_sum()::bigint as n_top from counted group by 1""")
 def profile_top_values(spark, sf_dir):
     # which of equally frequent values are listed depends on the order of rows; their counts don't
@@ -554,30 +605,39 @@ def compare_profiles(spark, sf_dir):
 _FLAT_COLUMNS = ["table_id", "variable_id", "variable_name", "unit", "period", "locality_id", "locality_name", "locality_level_id", "classification_tuple_json", "value", "value_state"]
 
 
-@query(f"""with n as (select n_nationkey, n_name, {_pick(CELLS, "n_nationkey", False)} as v from nation) select '6579' as table_id, '9324' as variable_id, 'Population' as variable_name, 'People' as unit, '2021' as period, (2700000 + n_nationkey)::varchar as locality_id, n_name as locality_name, '6' as locality_level_id,
+@query(f"""with n as (select c_custkey, c_name, {_pick(CELLS, "c_custkey", False)} as v from customer) select '6579' as table_id, '9324' as variable_id, 'Population' as variable_name, 'People' as unit, '2021' as period, (2700000 + c_custkey)::varchar as locality_id, c_name as locality_name, '6' as locality_level_id,
 '[{{"code": "0", "index": "4", "name": "Total"}}]' as classification_tuple_json, {_CELL[0]} as value, {_CELL[1]} as value_state from n""")
 def cube_flat_explode(spark, sf_dir):
-    cell = F.expr(_pick(CELLS, "n_nationkey", True))
-    place = (F.col("n_nationkey") + 2700000).cast("string")
-    pairs = [("NC", F.lit("6")), ("NN", F.lit("Municipality")), ("MN", F.lit("People")), ("V", cell), ("D1C", place), ("D1N", F.col("n_name")), ("D2C", F.lit("9324")), ("D2N", F.lit("Population")), ("D3C", F.lit("2021")), ("D3N", F.lit("2021")), ("D4C", F.lit("0")), ("D4N", F.lit("Total"))]
-    rows_ = table(spark, sf_dir, "nation").select("n_regionkey", F.to_json(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v)))).alias("j"))
+    cell = F.expr(_pick(CELLS, "c_custkey", True))
+    place = (F.col("c_custkey") + 2700000).cast("string")
+    pairs = [("NC", F.lit("6")), ("NN", F.lit("Municipality")), ("MN", F.lit("People")), ("V", cell), ("D1C", place), ("D1N", F.col("c_name")), ("D2C", F.lit("9324")), ("D2N", F.lit("Population")), ("D3C", F.lit("2021")), ("D3N", F.lit("2021")), ("D4C", F.lit("0")), ("D4N", F.lit("Total"))]
+    rows_ = table(spark, sf_dir, "customer").select("c_nationkey", F.to_json(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v)))).alias("j"))
     header = '{"NC":"Nivel (Codigo)","V":"Valor","D1C":"Municipio (Codigo)"}'
-    payloads = rows_.groupBy("n_regionkey").agg(F.concat(F.lit(f"[{header},"), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("payload"))
+    payloads = rows_.groupBy("c_nationkey").agg(F.concat(F.lit(f"[{header},"), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("payload"))
     return cube.flat_facts(payloads, "payload", "6579", ("9324",), ("2021",)).select(*_FLAT_COLUMNS)
 
 
-@query("""select '1' as table_id, '93' as variable_id, 'Population' as variable_name, 'People' as unit, p as period, n_nationkey::varchar as locality_id, n_name as locality_name, 'N6' as locality_level_id, '[]' as classification_tuple_json,
-case p when '2020' then n_nationkey * 10.0::double end as value, case p when '2020' then case when n_nationkey = 0 then 'valid_zero_rounded_or_exact' else 'valid' end else 'not_available' end as value_state from nation, (select unnest(['2020', '2021']) as p)""")
+@query("""select '1' as table_id, '93' as variable_id, 'Population' as variable_name, 'People' as unit, p as period, c_custkey::varchar as locality_id, c_name as locality_name, 'N6' as locality_level_id, '[]' as classification_tuple_json,
+case p when '2020' then c_custkey * 10.0::double end as value, case p when '2020' then case when c_custkey = 0 then 'valid_zero_rounded_or_exact' else 'valid' end else 'not_available' end as value_state from customer, (select unnest(['2020', '2021']) as p)""")
 def cube_nested_explode(spark, sf_dir):
     series = F.to_json(F.struct(
-        F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("nome"), F.struct(F.lit("N6").alias("id"), F.lit("Municipality").alias("nome")).alias("nivel")).alias("localidade"),
-        F.struct((F.col("n_nationkey") * 10).cast("string").alias("2020"), F.lit("...").alias("2021")).alias("serie"),
+        F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("nome"), F.struct(F.lit("N6").alias("id"), F.lit("Municipality").alias("nome")).alias("nivel")).alias("localidade"),
+        F.struct((F.col("c_custkey") * 10).cast("string").alias("2020"), F.lit("...").alias("2021")).alias("serie"),
     ))
-    nested = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat_ws(",", F.collect_list(series)).alias("s"))
+    nested = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat_ws(",", F.collect_list(series)).alias("s"))
     payloads = nested.select(F.concat(F.lit('[{"id":"93","variavel":"Population","unidade":"People","resultados":[{"classificacoes":[],"series":['), F.col("s"), F.lit("]}]}]")).alias("payload"))
     return cube.nested_facts(payloads, "payload", "1").select(*_FLAT_COLUMNS)
 
 
+_ODD = ['[{"id":"k","resultados":5}]', '[{"id":"k","resultados":[5,{"series":"x"}]}]', '[{"id":"k","resultados":[{"series":[1,{"localidade":1}]}]}]', '[7,{"id":"k","resultados":[{"series":[{"localidade":{},"serie":{"2020":"1"}}]}]}]']
+
+
+@query("""select code, count(*) as n from (select unnest(case c_custkey % 4 when 0 then ['unexpected_resultados_type:k'] when 1 then ['unexpected_result_type:k', 'unexpected_series_type:k'] when 2 then ['unexpected_series_item_type:k', 'unexpected_locality_or_serie_type:k'] else ['unexpected_variable_block_type'] end) as code from customer) group by 1""")
+def cube_nested_warnings(spark, sf_dir):
+    payloads = table(spark, sf_dir, "customer").select(F.expr(_pick(_ODD, "c_custkey", True)).alias("payload"))
+    return cube.nested_warnings(payloads, "payload").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _facts_columns(spark: bool) -> list[str]:
     text = "string" if spark else "varchar"
     year = "date_format(l_shipdate, 'yyyy')" if spark else "strftime(l_shipdate, '%Y')"
@@ -638,16 +698,20 @@ def field_point_lookup(spark, sf_dir):
     return spark.createDataFrame([tuple(row.values())], "field_id string, name string, state string, path string")
 
 
-@query("select sha256(n_name) as field_id, n_name as name, case when n_regionkey = 0 then 'fragile' else 'verified' end as state from nation")
+@query("select sha256(c_name) as field_id, c_name as name, case when c_mktsegment = 'BUILDING' then 'fragile' else 'verified' end as state from customer")
 def field_listing(spark, sf_dir):
-    return _catalog(spark, sf_dir).select("field_id", "name", "state")
+    people = table(spark, sf_dir, "customer").select(F.sha2("c_name", 256).alias("field_id"), F.col("c_name").alias("name"), F.lit("verified").alias("state"), "c_mktsegment")
+    catalog = _bundle(spark)
+    catalog.upsert("V_fields", people.drop("c_mktsegment"))
+    catalog.upsert("V_fields", people.where("c_mktsegment = 'BUILDING'").withColumn("state", F.lit("fragile")).drop("c_mktsegment"))
+    return catalog.fields().select("field_id", "name", "state")
 
 
-@query("""select n_nationkey, sha256('{"child_field_id":"' || n_nationkey || '","operator":"RN","operator_params":{"scale":100000.0},"parent_field_id":"' || n_regionkey || '","registry_versions":{}}') as edge_id from nation""")
+@query("""select c_custkey, sha256('{"child_field_id":"' || c_custkey || '","operator":"RN","operator_params":{"scale":100000.0},"parent_field_id":"' || c_nationkey || '","registry_versions":{}}') as edge_id from customer""")
 def lineage_edges(spark, sf_dir):
     # edge ids are made on the driver: a catalog has a row per field
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
-    return spark.createDataFrame([(r[0], bundle.edge_id(str(r[1]), str(r[0]), "RN", {"scale": 100000.0}, {})) for r in nation], "n_nationkey int, edge_id string")
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").collect()
+    return spark.createDataFrame([(r[0], bundle.edge_id(str(r[1]), str(r[0]), "RN", {"scale": 100000.0}, {})) for r in people], "c_custkey long, edge_id string")
 
 
 def queries() -> dict:

@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 _NO_TEXT = "\u0000"
 
 
-def _delimited(spark: SparkSession, path: str, separator: str, all_text: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", True)
+def _delimited(spark: SparkSession, path: str, separator: str, all_text: bool, multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if all_text:
         return reader.option("inferSchema", False).option("emptyValue", "").option("nullValue", _NO_TEXT).csv(path)
     return reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, all_text: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, all_text: bool = True, multi_line: bool = False) -> DataFrame:
     """A CSV, TSV or Parquet table, by its suffix in any case. Any path that Spark can read.
 
-    An unquoted empty cell is null, a quoted one is an empty text.
+    An unquoted empty cell is null, a quoted one is an empty text. Files are
+    split among tasks at line ends; ``multi_line`` is for quoted cells that hold
+    line ends, and makes each file one task.
     """
     path = str(path)
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
@@ -29,10 +31,10 @@ def read_table(spark: SparkSession, path: str, all_text: bool = True) -> DataFra
         return spark.read.parquet(path)
     if suffix == ".csv":
         _must_exist(spark, path)
-        return _delimited(spark, path, ",", all_text)
+        return _delimited(spark, path, ",", all_text, multi_line)
     if suffix in (".tsv", ".txt"):
         _must_exist(spark, path)
-        return _delimited(spark, path, "\t", all_text)
+        return _delimited(spark, path, "\t", all_text, multi_line)
     raise ValueError(f"unknown kind of table: {path}")
 
 
