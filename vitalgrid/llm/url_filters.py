@@ -131,7 +131,10 @@ def _joined(parted: DataFrame, rank: dict, filed: dict, default: str) -> DataFra
     schema = T.StructType([T.StructField(n, t) for n, t in (("token", T.StringType()), ("rank", T.IntegerType()), ("rule", T.StringType()), ("action", T.StringType()), ("regex", T.StringType()))])
     index = spark.createDataFrame([(token or "", rank[r], r.text, r.action, r.regex()) for r, token in filed.items()], schema)
     addresses = parted.select("host", "path").distinct()
-    tokens = addresses.withColumn("token", F.explode(F.array_append(url_tokens(F.concat("host", "path")), F.lit(""))))
+    own = url_tokens(F.concat("host", "path"))
+    if None in filed.values():  # rules without a token are tried on every address
+        own = F.array_append(own, F.lit(""))
+    tokens = addresses.withColumn("token", F.explode(own))
     hits = tokens.join(index, "token").where(F.rlike(F.concat("host", "path"), F.col("regex")))
     best = hits.groupBy("host", "path").agg(F.min(F.struct("rank", "rule", "action")).alias("_best"))
     return parted.join(best, ["host", "path"], "left").select(*(parted[f"`{c}`"] for c in parted.columns), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.action"), F.lit(default)).alias("verdict"))
