@@ -254,7 +254,7 @@ def cube_value_states(spark, sf_dir):
 # ---- rows, hashes, schemas ----------------------------------------------------------------------------------
 
 
-@query("""select c_custkey, sha256('{"c_name":' || to_json(c_name)::varchar || ',"c_custkey":"' || c_custkey || '","nothing":null}') as row_hash from customer""")
+@query("""select c_custkey, sha256('{"c_custkey":"' || c_custkey || '","c_name":' || to_json(c_name)::varchar || ',"nothing":null}') as row_hash from customer""")
 def event_hash(spark, sf_dir):
     cols = {"c_name": F.col("c_name"), "c_custkey": F.col("c_custkey").cast("string"), "nothing": F.lit(None).cast("string")}
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(normalize.canonical_json(cols), 256).alias("row_hash"))
@@ -304,7 +304,7 @@ def append_rows(spark, sf_dir):
 
 def _round_trip(spark, sf_dir, suffix: str, separator: str):
     path = scratch_folder(spark, "raw") + suffix
-    raw_events(spark, sf_dir).select(*(F.col(c).cast("string") for c in _raw(True))).write.option("header", True).option("sep", separator).option("escape", '"').csv(path)
+    raw_events(spark, sf_dir).select(*(F.col(c).cast("string") for c in _raw(True))).write.options(header=True, sep=separator, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return read_table(spark, path)
 
 
