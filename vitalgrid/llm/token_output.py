@@ -93,7 +93,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     open_, live = np.append(~ends, False), np.ones(n, bool)
     fresh = int(ids.max()) + 1 if n else 0
     lefts, rights, bases = [], [], []
-    slot_of = np.full(1 << _SLOT_BITS, -1, np.int32)
+    kind, slot_of = np.zeros(1 << _SLOT_BITS, np.uint8), np.zeros(1 << _SLOT_BITS, np.int32)  # of a slot: none, a frequent pair, a chosen one
     while True:
         at = np.flatnonzero(open_)
         key = (symbols[at] << 32) | symbols[follower[at]]
@@ -106,16 +106,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
             break
         pair = held[edge[:-1]][often]
         chosen = _choose(pair, count[often])
+        all_slots, chosen_slots = _slots(pair), _slots(chosen)
+        kind[all_slots] = 1
+        kind[chosen_slots] = 2
         # of pairs in one slot the most frequent is written last, the others wait for a later round
-        slot_of[_slots(pair)] = -2
-        slot_of[_slots(chosen)[::-1]] = np.arange(len(chosen))[::-1]
-        which = slot_of[slot]
-        slot_of[_slots(pair)] = -1
-        open_[at[which == -1]] = False
-        hit = which >= 0
-        at, which = at[hit], which[hit]
-        hit = chosen[which] == key[hit]
-        at, which = at[hit], which[hit]
+        slot_of[chosen_slots[::-1]] = np.arange(len(chosen))[::-1]
+        found = kind[slot]
+        kind[all_slots] = 0
+        open_[at] = found > 0
+        hit = np.flatnonzero(found == 2)
+        at, which = at[hit], slot_of[slot[hit]]
+        same = chosen[which] == key[hit]
+        at, which = at[same], which[same]
         twice = (chosen >> 32) == (chosen & 0xFFFFFFFF)
         if twice.any():
             # a symbol with itself overlaps: of neighbouring hits every second one counts

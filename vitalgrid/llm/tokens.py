@@ -83,7 +83,7 @@ class Encoder:
             self.model = BPE(vocab=own["vocab"], merges=merges, cache_capacity=0, ignore_merges=bool(own.get("ignore_merges")), **suffix)
         self.added = [t["content"] for t in config.get("added_tokens", [])]
         self.largest = max(self.tokenizer.get_vocab().values())
-        self.written_as = {ord(chr(b)): c for b, c in byte_characters().items()}
+        self.written_as = byte_characters()
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -93,11 +93,12 @@ class Encoder:
 
     def _learn(self, units: dict[str, None]) -> dict[str, bytes]:
         """Ids of units that aren't held."""
-        old, new, tokenize, written_as = self.old.get, {}, self.model.tokenize, self.written_as
+        old, new, tokenize, written_as, blank = self.old.get, {}, self.model.tokenize, self.written_as, self.written_as[0x20]
         for u in units:
             ids = old(u)
             if ids is None:
-                got = [t.id for t in tokenize(u.encode().decode("latin-1").translate(written_as))]
+                plain = u.isascii() and u.isprintable()  # of these only the space is written as another character
+                got = [t.id for t in tokenize(u.replace(" ", blank) if plain else u.encode().decode("latin-1").translate(written_as))]
                 ids = struct.pack(f"<{len(got)}I", *got)
             new[u] = ids
         if len(self.kept) > CACHE_UNITS:
