@@ -65,8 +65,9 @@ def unpivot_values(df: DataFrame) -> DataFrame:
 def distinct_values(df: DataFrame, sample_limit: int | None = SAMPLE_LIMIT) -> DataFrame:
     """(column, kind, value, text, n, n_sampled, first) per distinct value of a column; ``first`` is where it first stands.
 
-    Whether a value is among the first ``sample_limit`` non-blank ones follows
-    from its rank in its own partition and the counts of the partitions before.
+    The first ``sample_limit`` non-blank values of a column end in one partition,
+    which the partitions' counts tell; only there are values ranked, and the
+    place of the last one decides for all others.
     """
     text = P.clean(F.col("value"))
     cells = unpivot_values(df).withColumn("text", text).withColumn("full", F.col("text").isNotNull() & (F.col("text") != ""))
@@ -74,11 +75,15 @@ def distinct_values(df: DataFrame, sample_limit: int | None = SAMPLE_LIMIT) -> D
         sampled = F.col("full")
     else:
         counts = cells.where("full").groupBy("column", "part").agg(F.count(F.lit(1)).alias("m"))
-        before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.select(F.col("column").alias("_c"), F.col("part").alias("_p"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-        own = Window.partitionBy("column", "part", "full").orderBy("idx")
-        cells = cells.withColumn("rank", F.row_number().over(own)).join(base, (F.col("column") == F.col("_c")) & (F.col("part") == F.col("_p")), "left")
-        sampled = F.col("full") & (F.col("base") + F.col("rank") <= sample_limit)
+        upto = F.sum("m").over(Window.partitionBy("column").orderBy("part"))
+        reached = counts.withColumn("upto", upto).where(F.col("upto") >= sample_limit)
+        border = reached.groupBy("column").agg(F.min(F.struct("part", (F.col("upto") - F.col("m")).alias("base"))).alias("b"))
+        border = F.broadcast(border.select(F.col("column").alias("_c"), F.col("b.part").alias("_p"), F.col("b.base").alias("_base")))  # a row for each column
+        inside = cells.where("full").join(border, (F.col("column") == F.col("_c")) & (F.col("part") == F.col("_p")))
+        ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy("idx")))
+        cut = ranked.where(F.col("rank") + F.col("_base") == sample_limit).select(F.col("column").alias("_c"), F.col("idx").alias("_cut"))
+        cells = cells.join(F.broadcast(cut), F.col("column") == F.col("_c"), "left")
+        sampled = F.col("full") & (F.col("_cut").isNull() | (F.col("idx") <= F.col("_cut")))
     return cells.groupBy("column", "kind", "value", "text").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(sampled, 1)).alias("n_sampled"), F.min("idx").alias("first"))
 
 

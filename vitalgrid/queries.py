@@ -14,7 +14,7 @@ from vitalgrid.operators import cube, fields, legality, normalize, profile, rows
 from vitalgrid.plans import bundle, registries
 from vitalgrid.schemas import enforce_schema
 from vitalgrid.sources.files import scratch_folder
-from vitalgrid.sources.readers import read_table, write_parquet
+from vitalgrid.sources.readers import read_table, spread, write_parquet
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -342,7 +342,7 @@ _JOINED = f"{_COUNTS}, {_DENOMINATOR}, joined as (select c.year, c.municipality_
 
 
 def normalized_events(spark, sf_dir):
-    return normalize.normalize_events(raw_events(spark, sf_dir), row_index="row_key")
+    return normalize.normalize_events(spread(raw_events(spark, sf_dir)), row_index="row_key")
 
 
 def population_table(spark, sf_dir):

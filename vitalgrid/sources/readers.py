@@ -38,6 +38,12 @@ def read_table(spark: SparkSession, path: str, all_text: bool = True, multi_line
     raise ValueError(f"unknown kind of table: {path}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table from files in as many partitions as there are cores, if its files give fewer: for costly work on small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _must_exist(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
