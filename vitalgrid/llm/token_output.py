@@ -23,7 +23,7 @@ bounds a task's memory, whatever the size of its file.
 Each sort partition writes one file, in order, so starts follow from the files'
 totals. A task names its file by a fresh id and only committed tasks' files are
 in the manifest. Null texts are empty (the end id alone); null document ids
-come first; rows of one id are ordered by a hash of their text. Repeated rows
+come first; rows of one id keep the order of the scan. Repeated rows
 are written each for itself; extra columns are ignored; an empty table gives no
 files and no rows.
 """
@@ -265,8 +265,8 @@ def write_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     bound_batches(spark)
     folder, tail = scratch_path(spark, "ids"), np.array([end_id], np.uint32).tobytes()
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(text_col).alias("_h"), F.monotonically_increasing_id().alias("_n"))
-    ordered = base.repartitionByRange(parts_for(docs, text_col, part_bytes), "_id", "_h", "_n").sortWithinPartitions("_id", "_h").select("_id", "_text")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.monotonically_increasing_id().alias("_n"))
+    ordered = base.repartitionByRange(parts_for(docs, text_col, part_bytes), "_id", "_n").sortWithinPartitions("_id", "_n").select("_id", "_text")
 
     def run(batches):
         enc, (store, inside) = encoder(vocabulary), filesystem(folder)
