@@ -1,11 +1,11 @@
-"""Contract queries of the ten operators: thin digests of what the operators return."""
+"""Contract queries of the operators: thin digests of what the operators return."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, jaccard_join, license_scan, packing, quality, sharding, token_output, toxicity, url_filters, warc
+from vitalgrid.llm import decontaminate, jaccard_join, license_scan, merkle, packing, prefix_trie, quality, sharding, token_output, toxicity, url_filters, warc
 from vitalgrid.llm.common import LOWER, UPPER, table
 
 #: Fixed values of the contract.
@@ -180,6 +180,110 @@ from (select *, sha256(form) as digest from formed where form <> '') join digest
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    proofs = merkle.merkle_proofs(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+        changed={"n_chars": F.col("n_chars") + 1}, changed_where=F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+    )
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+_CRC_TABLE = """
+crc_bits(n, c, k) as (
+  select range::ubigint, range::ubigint, 0 from range(256)
+  union all
+  select n, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from crc_bits where k < 8
+), crc_table as (
+  select list(c order by n) as t from crc_bits where k = 8
+)"""
+
+
+def _crc_sql(number: str) -> str:
+    """Unsigned crc32 of a number's decimal form; ``t`` of crc_table must be in scope."""
+    digits = f"list_transform(string_split({number}::varchar, ''), lambda d: ascii(d)::ubigint)"
+    step = "xor(t[(xor(acc, x) & 255)::int + 1], acc >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {digits}), lambda acc, x: {step}), 4294967295::ubigint)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    cells = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(cells)})"
+
+
+def _levels_sql(name: str, tree: str, start: str) -> str:
+    return f"""{name}(tree, level, pos, node, n) as (
+  {start}
+  union all
+  select tree, level + 1, pos, node, count(*) over (partition by {tree}) from (
+    select tree, level, pos // 2 as pos, sha256(string_agg(node, '' order by pos)) as node from {name} where n > 1 group by tree, level, pos // 2
+  )
+)"""
+
+
+def _steps_sql(name: str, rows: str, key: str, tree: str) -> str:
+    """Per row: its siblings in order, and what stands left and right of its path at each level."""
+    return f"""select r.{key}, coalesce(string_agg(s.node, '' order by u.level), '') as proof,
+         coalesce(list([case when (r.pos >> u.level) % 2 = 1 then s.node else '' end, case when (r.pos >> u.level) % 2 = 0 then coalesce(s.node, '') else '' end] order by u.level), []) as steps
+  from {rows} r
+  join {name} u on u.tree is not distinct from r.{tree} and u.pos = r.pos >> u.level and u.n > 1
+  left join {name} s on s.tree is not distinct from u.tree and s.level = u.level and s.pos = xor(u.pos, 1)
+  group by r.{key}"""
+
+
+OP11_SQL = f"""
+with recursive {_CRC_TABLE}, leaves as (
+  select row_number() over () as r, doc_id, lang, {_leaf_sql("n_chars")} as leaf,
+         case when {_crc_sql("doc_id")} % 7 = 0 then {_leaf_sql("(n_chars + 1)")} else {_leaf_sql("n_chars")} end as seen
+  from documents, crc_table
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf, r) - 1 as pos from leaves
+), {_levels_sql("inner_nodes", "tree", "select lang, 0, pos, leaf, count(*) over (partition by lang) from placed")}, subroots as (
+  select 0 as one, tree as lang, node as subroot, row_number() over (order by tree nulls first) - 1 as pos from inner_nodes where n = 1
+), {_levels_sql("top_nodes", "tree", "select one, 0, pos, subroot, count(*) over () from subroots")}, inner_paths as (
+  {_steps_sql("inner_nodes", "placed", "r", "lang")}
+), top_paths as (
+  {_steps_sql("top_nodes", "subroots", "pos", "one")}
+)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
+from (
+  select p.doc_id, p.leaf, s.subroot, (select node from top_nodes where n = 1) as root, sha256(coalesce(i.proof, '') || coalesce(o.proof, '')) as proof_sha256,
+         list_reduce(list_prepend([seen, ''], list_concat(coalesce(i.steps, []), coalesce(o.steps, []))), lambda acc, x: [sha256(x[1] || acc[1] || x[2]), ''])[1] as folded_root
+  from placed p join subroots s on s.lang is not distinct from p.lang left join inner_paths i using (r) left join top_paths o on o.pos = s.pos
+)
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 20, head=F.crc32(conv.cast("string")) % 4)
+
+
+OP12_SQL = f"""
+with recursive {_CRC_TABLE}, own as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as w
+  from conversations where conv_id is not null group by conv_id
+), heads as (
+  select conv_id, w, ({_crc_sql("conv_id")} % 4)::int as h from own, crc_table
+), rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.w[1:c.h], []), c.w[c.h + 1:]) as w from heads c left join own b on b.conv_id = c.conv_id - c.conv_id % 20
+), prefixes as (
+  select conv_id, d, w[1:d] as p, len(w) = d as ends from (select conv_id, w, unnest(range(0, len(w) + 1)) as d from rebuilt)
+), nodes as (
+  select d, p, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256,
+         (count(*) - 1) * coalesce(len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')), 0) as saved
+  from prefixes group by d, p
+), childless as (
+  select n.d, n.p, n.saved, c.p is null as leaf from nodes n left join (select distinct p[1:d - 1] as p from nodes where d > 0) c on c.p = n.p
+), subtrees as (
+  select up as d, p[1:up] as p, sum(saved) as saved, count(*) filter (leaf) as leaves, count(*) filter (d = up + 1) as children
+  from (select *, unnest(range(0, d + 1)) as up from childless) group by up, p[1:up]
+)
+select n.conv_id, n.d as depth, f.conv_id as parent_conv_id, n.n_convs, s.children as n_children, s.leaves as n_leaves, s.saved::bigint as saved_tokens, n.ends_sha256
+from nodes n join subtrees s using (d, p) left join nodes f on f.d = n.d - 1 and f.p = n.p[1:n.d - 1]
+"""
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -192,8 +296,10 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_parity_join": op9_parity_join,
         "op10_toxicity_crf": op10_toxicity_crf,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": OP1_SQL, "op6_warc_index": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_parity_join": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_warc_index": OP6_SQL, "op8_license_scan": OP8_SQL, "op9_parity_join": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_prefix_trie": OP12_SQL}
