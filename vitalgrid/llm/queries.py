@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, jaccard_join, license_scan, merkle, packing, prefix_trie, quality, sharding, token_output, toxicity, url_filters, warc
+from vitalgrid.llm import decontaminate, jaccard_join, license_scan, merkle, packing, prefix_trie, private_spans, quality, sharding, token_output, toxicity, url_filters, warc
 from vitalgrid.llm.common import LOWER, UPPER, table
 
 #: Fixed values of the contract.
@@ -284,6 +284,15 @@ from nodes n join subtrees s using (d, p) left join nodes f on f.d = n.d - 1 and
 """
 
 
+def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private_spans.apply_private(docs, private_spans.fit_private(docs), redacted=False)
+    fixed = F.filter("private_spans", lambda s: s["fixed"])
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private_spans.KINDS]
+    return found.withColumn("base", fixed).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("private_spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
@@ -298,6 +307,7 @@ def queries() -> dict:
         "op10_toxicity_crf": op10_toxicity_crf,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_private_spans": op13_private_spans,
     }
 
 
