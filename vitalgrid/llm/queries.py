@@ -289,7 +289,7 @@ def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_spans.apply_private(docs, private_spans.fit_private(docs), redacted=False)
     fixed = F.filter("private_spans", lambda s: s["fixed"])
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private_spans.KINDS]
+    counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == k), False)).cast("long").alias(f"n_{k}") for k in private_spans.KINDS]
     return found.withColumn("base", fixed).select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("private_spans")).alias("spans"))
 
 
