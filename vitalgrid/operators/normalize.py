@@ -76,7 +76,8 @@ def normalize_events(raw: DataFrame, manifest_hash: str = "", processed_hash_col
     table = numbered.select(*(F.col(f"`{c}`") for c in own), F.col(index).cast("long")) if len({c.upper() for c in own}) == len(own) else numbered
     renamed, names = by_upper_name(table)
     row_number = F.col(names.pop(index.upper()))
-    raw_hash = F.sha2(canonical_json({c: F.col(names[c.upper()]).cast("string") for c in own}), 256)
+    # by once: a fused method for all cells at once would be too large to be compiled
+    raw_hash = P.once(canonical_json({c: F.col(names[c.upper()]).cast("string") for c in own}), lambda j: F.sha2(j, 256))
     processed = F.coalesce(F.col(names[processed_hash_column.upper()]).cast("string"), F.lit("")) if processed_hash_column and processed_hash_column.upper() in names else F.lit("")
 
     # projections in a row, so that a cleaned text or a parsed value is computed once and generated code stays small

@@ -5,24 +5,40 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vitalgrid.sources.split_csv import quoted_ranges, read_records
 
 #: No cell holds this, so only cells without any text are null; quoted empty ones stay ``""``.
 _NO_TEXT = "\u0000"
 
 
 def _delimited(spark: SparkSession, path: str, separator: str, all_text: bool, multi_line: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    options = {"sep": separator, "quote": '"', "escape": '"'}
     if all_text:
-        return reader.option("inferSchema", False).option("emptyValue", "").option("nullValue", _NO_TEXT).csv(path)
-    return reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
+        options |= {"inferSchema": "false", "emptyValue": "", "nullValue": _NO_TEXT}
+    else:
+        options |= {"inferSchema": "true", "samplingRatio": "1.0"}
+    ranges = None if multi_line else quoted_ranges(spark, path, separator)
+    if ranges is None or not all_text:
+        return spark.read.options(header="true", multiLine=str(multi_line or ranges is not None), **options).csv(path)
+    names = spark.read.options(header="true", multiLine="true", **options).csv(path).columns
+    cells = F.from_csv("text", _ddl(names), options | {"multiLine": "true"})
+    return read_records(spark, path, separator, ranges).select(cells.alias("r")).select("r.*")
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
 
 
 def read_table(spark: SparkSession, path: str, all_text: bool = True, multi_line: bool = False) -> DataFrame:
     """A CSV, TSV or Parquet table, by its suffix in any case. Any path that Spark can read.
 
     An unquoted empty cell is null, a quoted one is an empty text. Files are
-    split among tasks at line ends; ``multi_line`` is for quoted cells that hold
-    line ends, and makes each file one task.
+    split among tasks at line ends. A pass over the lines with quotes finds out
+    first whether quoted cells hold line ends; then records are put together as
+    ``split_csv`` describes (with inferred types: by one task per file).
+    ``multi_line`` skips that pass and makes each file one task.
     """
     path = str(path)
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
