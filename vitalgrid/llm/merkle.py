@@ -4,8 +4,8 @@ A leaf is H over the row's columns, each ``-`` if null, else UTF-8 byte count,
 ``:`` and value; H is lowercase hex SHA-256 and takes digests as hex text. Nodes
 are joined in pairs, level by level; a lone last node is hashed alone.
 
-Every tree is cut into superblocks of ``BLOCK`` leaves. A first pass reduces each
-superblock to its root; the roots are the leaves of a tree that is ``BLOCK``
+Every tree is cut into superblocks of ``1 << HEIGHT`` leaves. A first pass reduces each
+superblock to its root; the roots are the leaves of a tree that many
 times smaller and is treated the same way (two rounds reach four million rows a
 value, three eight thousand million). What a superblock needs from outside, the
 siblings of its root up to the tree's root and from there to the dataset's, is
@@ -36,7 +36,6 @@ from vitalgrid.llm.numbering import numbered
 
 #: Leaves of a superblock: a power of two.
 HEIGHT = 11
-BLOCK = 1 << HEIGHT
 DIGEST = 64
 
 
@@ -89,47 +88,47 @@ def folded_root(leaf: str, pos: int, n_leaves: int, tree_pos: int, n_trees: int,
     return fold(subroot, tree_pos, n_trees, proof, at)[0]
 
 
-def _own_height(n: int) -> int | None:
+def _own_height(n: int, height: int) -> int | None:
     """Levels of a superblock in a tree of n leaves: fixed where there are others beside it."""
-    return HEIGHT if n > BLOCK else None
+    return height if n > 1 << height else None
 
 
-def _block(df: DataFrame) -> DataFrame:
-    return df.withColumn("block", F.shiftright("pos", HEIGHT))
+def _block(df: DataFrame, height: int) -> DataFrame:
+    return df.withColumn("block", F.shiftright("pos", height))
 
 
-def _block_roots(nodes: DataFrame) -> DataFrame:
+def _block_roots(nodes: DataFrame, height: int) -> DataFrame:
     """(tree, pos, n, node) of the superblocks' roots."""
 
     def reduce(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         n = int(rows["n"].iloc[0])
-        top = levels_of(rows["node"].tolist(), _own_height(n))[-1][0]
-        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [-(-n // BLOCK)], "node": [top]})
+        top = levels_of(rows["node"].tolist(), _own_height(n, height))[-1][0]
+        return pd.DataFrame({"tree": [key[0]], "pos": [key[1]], "n": [-(-n >> height)], "node": [top]})
 
-    cut = _block(nodes.select("tree", "pos", "n", "node"))
+    cut = _block(nodes.select("tree", "pos", "n", "node"), height)
     return cut.groupBy("tree", "block").applyInPandas(reduce, "tree string, pos long, n long, node string")
 
 
-def _paths(nodes: DataFrame) -> DataFrame:
+def _paths(nodes: DataFrame, height: int) -> DataFrame:
     """(tree, pos, path, top): siblings of every node up to its tree's root, and that root."""
     schema = "tree string, pos long, path string, top string"
-    nodes = _block(nodes.select("tree", "pos", "n", "node"))
+    nodes = _block(nodes.select("tree", "pos", "n", "node"), height)
 
     def inner(rows: pd.DataFrame, tree: str, outer: str, top: str | None) -> pd.DataFrame:
         rows = rows.sort_values("pos")
-        levels = levels_of(rows["node"].tolist(), _own_height(int(rows["n"].iloc[0])))
+        levels = levels_of(rows["node"].tolist(), _own_height(int(rows["n"].iloc[0]), height))
         paths = [siblings(levels, k) + outer for k in range(len(rows))]
         return pd.DataFrame({"tree": tree, "pos": rows["pos"].to_numpy(), "path": paths, "top": top or levels[-1][0]})
 
-    if (nodes.agg(F.max("n")).first()[0] or 0) <= BLOCK:
+    if (nodes.agg(F.max("n")).first()[0] or 0) <= 1 << height:
         return nodes.groupBy("tree").applyInPandas(lambda key, rows: inner(rows, key[0], "", None), schema)
-    above = _paths(settle(_block_roots(nodes), "merkle-roots")).withColumnRenamed("pos", "block")
+    above = _paths(settle(_block_roots(nodes, height), "merkle-roots"), height).withColumnRenamed("pos", "block")
     both = nodes.groupBy("tree", "block").cogroup(above.groupBy("tree", "block"))
     return both.applyInPandas(lambda key, rows, up: inner(rows, key[0], up["path"].iloc[0], up["top"].iloc[0]), schema)
 
 
-def merkle_proofs(docs: DataFrame, columns: list[str], tree_col: str, order_col: str, changed: dict[str, Column] | None = None, changed_where: Column | None = None) -> DataFrame:
+def merkle_proofs(docs: DataFrame, columns: list[str], tree_col: str, order_col: str, changed: dict[str, Column] | None = None, changed_where: Column | None = None, height: int = HEIGHT) -> DataFrame:
     """One row per row of ``docs``: the order and the tree column, ``leaf``, ``subroot``, ``root``, ``proof`` (sibling digests, joined), the four places that a check needs, ``folded_root`` and ``verified``.
 
     ``changed`` replaces columns where ``changed_where`` holds: such rows fold the
@@ -147,13 +146,13 @@ def merkle_proofs(docs: DataFrame, columns: list[str], tree_col: str, order_col:
         F.when(F.coalesce(changed_where, F.lit(False)), other).alias("seen") if changed else F.lit(None).cast("string").alias("seen"),
         F.monotonically_increasing_id().alias("row"),
     )
-    leaves = _block(numbered(settle(made, "merkle-leaves"), "tree", ["key", "node", "row"], "merkle-order"))
+    leaves = _block(numbered(settle(made, "merkle-leaves"), "tree", ["key", "node", "row"], "merkle-order"), height)
 
-    roots = settle(_block_roots(leaves), "merkle-blocks")
-    above = settle(_paths(roots), "merkle-paths")
+    roots = settle(_block_roots(leaves, height), "merkle-blocks")
+    above = settle(_paths(roots, height), "merkle-paths")
     subroots = above.groupBy("tree").agg(F.first("top").alias("node"))
     tops = settle(numbered(subroots.withColumn("all", F.lit("")), "all", ["tree"], "merkle-trees"), "merkle-tops")
-    over = _paths(tops.select(F.col("all").alias("tree"), "pos", "n", "node")).select("pos", F.col("path").alias("top_path"), F.col("top").alias("root"))
+    over = _paths(tops.select(F.col("all").alias("tree"), "pos", "n", "node"), height).select("pos", F.col("path").alias("top_path"), F.col("top").alias("root"))
     trees = tops.join(over, "pos").select("tree", F.col("pos").alias("tree_pos"), F.col("n").alias("n_trees"), "top_path", "root")
     outer = settle(above.join(trees, "tree").withColumnRenamed("pos", "block"), "merkle-outer")
 
@@ -162,7 +161,7 @@ def merkle_proofs(docs: DataFrame, columns: list[str], tree_col: str, order_col:
     def finish(key: tuple, rows: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         rows, out = rows.sort_values("pos"), up.iloc[0]
         n, nodes = int(rows["n"].iloc[0]), rows["node"].tolist()
-        levels = levels_of(nodes, _own_height(n))
+        levels = levels_of(nodes, _own_height(n, height))
         proofs = [siblings(levels, k) + out["path"] + out["top_path"] for k in range(len(nodes))]
         seen = [s or x for s, x in zip(rows["seen"], nodes, strict=True)]
         folded = [folded_root(s, p, n, int(out["tree_pos"]), int(out["n_trees"]), proof) for s, p, proof in zip(seen, rows["pos"].tolist(), proofs, strict=True)]
@@ -183,7 +182,7 @@ def manifest(proofs: DataFrame, tree_col: str) -> DataFrame:
 
 def changed_trees(old: DataFrame, new: DataFrame, tree_col: str) -> DataFrame:
     """Trees of two manifests that differ: added, removed or changed."""
-    a, b = (m.select(F.col(f"`{tree_col}`"), F.col("subroot").alias(name)) for m, name in ((old, "was"), (new, "now")))
-    both = a.join(b, a[tree_col].eqNullSafe(b[tree_col]), "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    a, b = (m.select(F.col(f"`{tree_col}`").alias(f"{name}_tree"), F.col("subroot").alias(name)) for m, name in ((old, "was"), (new, "now")))
+    both = a.join(b, F.col("was_tree").eqNullSafe(F.col("now_tree")), "full").where(~F.col("was").eqNullSafe(F.col("now")))
     kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return both.select(F.coalesce(a[tree_col], b[tree_col]).alias(tree_col), "was", "now", kind.alias("change"))
+    return both.select(F.coalesce("was_tree", "now_tree").alias(tree_col), "was", "now", kind.alias("change"))
