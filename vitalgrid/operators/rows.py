@@ -40,10 +40,13 @@ def first_present(names: dict[str, str], candidates: tuple[str, ...]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def keep_last(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both tables, one per key: the one that comes last (new after old, later rows after earlier)."""
-    both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    numbered = both.withColumn("_at", F.monotonically_increasing_id())
+def keep_last(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of both tables, one per key: the one that comes last (new after old, later rows after earlier).
+
+    ``order`` names a column of ``new`` that tells later rows from earlier ones; else the order of the scan does.
+    """
+    place = lambda df, own: df.withColumnRenamed(order, "_at") if own else df.withColumn("_at", F.monotonically_increasing_id())
+    numbered = place(old, False).withColumn("_batch", F.lit(0)).unionByName(place(new, bool(order)).withColumn("_batch", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc("_at"))
     return numbered.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_batch", "_at", "_rank")
 

@@ -1,26 +1,25 @@
 """Run bundle: eleven catalog tables, four JSON documents and two folders.
 
-Catalog tables are small (a row per field, edge or warning) and are replaced
-by writing a new folder beside the old one and swapping names, so a failure
-leaves the old table in place. Field data is written straight to its own path.
-All of it stands on the file system that Spark writes to.
+Catalog tables are keyed tables: an upsert rewrites the buckets that its rows
+fall into, an append rewrites nothing, and a manifest file is the point of commit, so a failure leaves the
+old version. Read them by ``Bundle.table``; ``export`` writes one as a plain Parquet folder.
+Field data is written straight to its own path. All of it stands on the file system that Spark writes to.
 """
 
 from __future__ import annotations
 
 import json
 import platform
-import uuid
 from dataclasses import asdict
 from importlib import metadata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.rows import keep_last
 from vitalgrid.plans.contracts import METRICS, CompiledField, fresh_id, utc_now
 from vitalgrid.plans.registries import Registries, sha256_json
-from vitalgrid.schemas import BUNDLE_TABLES, enforce_schema, schema_problems
+from vitalgrid.plans.keyed_table import KeyedTable
+from vitalgrid.schemas import BUNDLE_TABLES, schema_problems
 from vitalgrid.sources.files import Files, file_hashes, join_path
 
 DOCUMENTS = ("UserIntent", "RunConfig", "P_vector", "ReproducibilityManifest")
@@ -68,9 +67,8 @@ class Bundle:
     def initialize(self) -> None:
         for name in FOLDERS:
             self.files.make_folder(self.path(name))
-        for name, schema in BUNDLE_TABLES.items():
-            if not self.files.exists(self.path(name)):
-                self.spark.createDataFrame([], schema).coalesce(1).write.parquet(self.path(name))
+        for name in BUNDLE_TABLES:
+            self.keyed(name).create()
 
     def path(self, name: str) -> str:
         return join_path(self.folder, f"{name}.json" if name in DOCUMENTS else name if name in FOLDERS else f"{name}.parquet")
@@ -81,8 +79,16 @@ class Bundle:
     def document(self, name: str):
         return json.loads(self.files.read_text(self.path(name)))
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(BUNDLE_TABLES[name]).parquet(self.path(name))
+    def keyed(self, name: str) -> KeyedTable:
+        return KeyedTable(self.spark, self.path(name), BUNDLE_TABLES[name], KEYS.get(name))
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """A catalog table, its newest version or the one named."""
+        return self.keyed(name).read(version)
+
+    def export(self, name: str, path: str) -> None:
+        """The newest version as a plain Parquet folder."""
+        self.table(name).write.mode("overwrite").parquet(path)
 
     def problems(self) -> list[str]:
         """Absent keys and tables of another shape."""
@@ -91,28 +97,20 @@ class Bundle:
         out = [f"{k} is missing" for k in keys if k in absent]
         for name, schema in BUNDLE_TABLES.items():
             if name not in absent:
-                out += [f"{name}: {x}" for x in schema_problems(self.spark.read.parquet(self.path(name)).schema, schema)]
+                keyed = self.keyed(name)
+                out += [f"{name}: {x}" for x in schema_problems(keyed.stored_schema(), schema)] if keyed.versions() else [f"{name} has no version"]
         return out
 
     def validate(self) -> None:
         if found := self.problems():
             raise BundleError("; ".join(found))
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        fresh, old = (join_path(self.folder, f".{name}-{uuid.uuid4().hex}{x}") for x in ("", "-old"))
-        df.coalesce(1).write.parquet(fresh)
-        if self.files.exists(self.path(name)):
-            self.files.rename(self.path(name), old)
-        self.files.rename(fresh, self.path(name))
-        self.files.remove(old)
-
     def upsert(self, name: str, rows: DataFrame) -> None:
         """One row per key: the new one replaces the old one."""
-        schema = BUNDLE_TABLES[name]
-        self._replace(name, keep_last(enforce_schema(self.table(name), schema), enforce_schema(rows, schema), KEYS[name]))
+        self.keyed(name).merge(rows)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        enforce_schema(rows, BUNDLE_TABLES[name]).coalesce(1).write.mode("append").parquet(self.path(name))
+        self.keyed(name).append(rows)
 
     def write_field(self, compiled: CompiledField) -> str:
         """Data, then catalog row, edges, quality and warnings."""
@@ -157,6 +155,13 @@ def json_column(row: dict, name: str) -> dict:
     return json.loads(value)
 
 
+def edge_ids(parent: Column, child: Column, operator: Column, params_json: Column, versions_json: Column) -> Column:
+    """``edge_id`` of every row of a table of edges; the last two are JSON texts with sorted keys and no blanks."""
+    quoted = lambda c: F.to_json(F.array(c.cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(c.cast("string")))) - 2)
+    parts = (("child_field_id", quoted(child)), ("operator", quoted(operator)), ("operator_params", params_json), ("parent_field_id", quoted(parent)), ("registry_versions", versions_json))
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts)), F.lit("}")), 256)
+
+
 def edge_id(parent: str, child: str, operator: str, params: dict, versions: dict) -> str:
     """Depends on what the edge says, not on when it was written."""
     return sha256_json({"parent_field_id": parent, "child_field_id": child, "operator": operator, "operator_params": params, "registry_versions": versions})

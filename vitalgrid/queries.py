@@ -333,8 +333,8 @@ _EVENTS = f"""{RAW}, cleaned as (select row_key, CODMUNRES, SEXO, {_clean_sql("D
 dated as (select *, {_date_sql("dt")} as death_date, {_PLACE_STATE} as place_state, {_DIGITS} as digits from cleaned),
 events_ as (select *, {_date_state_sql("dt", "death_date")} as date_state, case when place_state = 'valid' then left(digits, 6) end as cod6 from dated)"""
 _COUNTS = f"{_EVENTS}, counts as (select cast(left(death_date, 4) as int) as year, cod6 as municipality_cod6, count(*) as death_count from events_ where date_state = 'valid' and place_state = 'valid' group by 1, 2)"
-_POPULATION = f"""people as (select y.year, cast(270000 + c_custkey % {AREAS} as varchar) as municipality_cod6, case when c_custkey % 11 = 0 then null when c_custkey % 13 = 0 then -5.0 else 100.0 + c_custkey % 7 end::double as population,
-  case when c_custkey % 17 = 0 then null when c_custkey % 19 = 0 then 'estimated' else 'valid' end as population_state from customer, (select unnest([1992, 1993, 1994, 1995, 1996, 1997]) as year) y where c_custkey % {AREAS} <> 3)"""
+_POPULATION = f"""people as (select y.year, cast(270000 + c_custkey % {AREAS - 1} as varchar) as municipality_cod6, case when c_custkey % 11 = 0 then null when c_custkey % 13 = 0 then -5.0 else 100.0 + c_custkey % 7 end::double as population,
+  case when c_custkey % 17 = 0 then null when c_custkey % 19 = 0 then 'estimated' else 'valid' end as population_state from customer, (select unnest([1992, 1993, 1994, 1995, 1996, 1997]) as year) y)"""
 _VALID_PEOPLE = "year is not null and municipality_cod6 is not null and population is not null and population > 0 and population_state = 'valid'"
 _BAD_PEOPLE = "year is null or municipality_cod6 is null or population is null or population <= 0 or population_state <> 'valid'"
 _DENOMINATOR = f"{_POPULATION}, den as (select year, municipality_cod6, sum(population) as population from people where {_VALID_PEOPLE} group by 1, 2)"
@@ -346,8 +346,8 @@ def normalized_events(spark, sf_dir):
 
 
 def population_table(spark, sf_dir):
-    people = table(spark, sf_dir, "customer").where(f"c_custkey % {AREAS} <> 3").selectExpr(
-        f"cast(270000 + c_custkey % {AREAS} as string) as municipality_cod6", "cast(case when c_custkey % 11 = 0 then null when c_custkey % 13 = 0 then -5.0 else 100.0 + c_custkey % 7 end as double) as population",
+    people = table(spark, sf_dir, "customer").selectExpr(
+        f"cast(270000 + c_custkey % {AREAS - 1} as string) as municipality_cod6", "cast(case when c_custkey % 11 = 0 then null when c_custkey % 13 = 0 then -5.0 else 100.0 + c_custkey % 7 end as double) as population",
         "case when c_custkey % 17 = 0 then null when c_custkey % 19 = 0 then 'estimated' else 'valid' end as population_state",
     )
     return people.withColumn("year", F.explode(F.array(*(F.lit(y) for y in range(1992, 1998)))))
@@ -506,10 +506,14 @@ def legality_batch(spark, sf_dir):
     return legality.judge_rates(requests, registries.Registries()).select("request_id", "delta_carrier", "delta_unit", "delta_declaration", "legal")
 
 
-@query(f"with c(n, d, r) as (values {_CARRIERS}), u(n, d, r) as (values {_UNITS}) select r as role from u except select r from c")
+@query(f"""with q as (select {", ".join(_requests(False))} from orders), c(n, d, r) as (values {_CARRIERS}), u(n, d, r) as (values {_UNITS})
+select role, count(*) as n_requests, count(distinct (numerator_carrier, denominator_carrier)) as n_pairs, role in (select r from c) as has_carriers, role in (select r from u) as has_units from q group by role""")
 def registry_role_coverage(spark, sf_dir):
-    r = registries.Registries()
-    return registries.unit_table(spark, r).select("role").distinct().join(registries.carrier_table(spark, r).select("role").distinct(), "role", "left_anti")
+    requests, r = table(spark, sf_dir, "orders").selectExpr(*_requests(True)), registries.Registries()
+    asked = requests.groupBy("role").agg(F.count(F.lit(1)).alias("n_requests"), F.count_distinct(F.struct("numerator_carrier", "denominator_carrier")).alias("n_pairs"))
+    for name, known in (("has_carriers", registries.carrier_table(spark, r)), ("has_units", registries.unit_table(spark, r))):
+        asked = asked.join(known.select("role").distinct().withColumn(name, F.lit(True)), "role", "left").fillna({name: False})
+    return asked
 
 
 @query("select o_orderkey, case when o_orderkey % 3 = 0 then 'fragile' else 'verified' end as state, o_orderkey % 3 <> 0 as generate_rn from orders")
@@ -582,12 +586,14 @@ def profile_lengths(spark, sf_dir):
     return profile.profile_columns(profiled_table(spark, sf_dir), sample_limit=None).select("column", F.explode("value_length_distribution").alias("len", "n"))
 
 
-_ROLE_NAMES = ["CODMUNRES", "cnes_x", "CGC_HOSP", "LINHAB", "PROC_REA", "VAL_TOT", "DTOBITO", "BASEDATA", "SEXO", "CID_1"]
+#: Raw column names and the role that a name alone tells.
+_ROLES = {"CODMUNRES": "municipality_code", "cnes_x": "facility_identifier", "CGC_HOSP": "corporate_identifier", "LINHAB": "diagnosis_or_cause_code", "PROC_REA": "procedure_code", "VAL_TOT": "monetary_or_numeric_measure", "DTOBITO": "date_or_period", "BASEDATA": "date_or_period", "SEXO": None, "CID_1": "diagnosis_or_cause_code"}
 
 
-@query("select * from (values ('CODMUNRES', 'municipality_code'), ('cnes_x', 'facility_identifier'), ('CGC_HOSP', 'corporate_identifier'), ('LINHAB', 'diagnosis_or_cause_code'), ('PROC_REA', 'procedure_code'), ('VAL_TOT', 'monetary_or_numeric_measure'), ('DTOBITO', 'date_or_period'), ('BASEDATA', 'date_or_period'), ('SEXO', null), ('CID_1', 'diagnosis_or_cause_code')) t(name, role)")
+@query(f"select o_orderkey, {_pick(list(_ROLES), 'o_orderkey', False)} as name, {_pick(list(_ROLES.values()), 'o_orderkey', False)} as role from orders")
 def infer_roles(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _ROLE_NAMES], "name string").select("name", profile.name_role(F.col("name")).alias("role"))
+    names = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_pick(list(_ROLES), 'o_orderkey', True)} as name")
+    return names.withColumn("role", profile.name_role(F.col("name")))
 
 
 @query("""with c as (select * from orders), s as (select count(*) as n, count(distinct o_orderstatus) as u, count(distinct o_orderpriority) as p from c)
@@ -602,6 +608,14 @@ def compare_profiles(spark, sf_dir):
 
 # ---- fact cubes ---------------------------------------------------------------------------------------------
 
+#: Series of a payload: with two periods, well below the cells that one request may ask for.
+_SERIES = 5000
+
+
+def _payload_number():
+    return F.floor(F.col("c_custkey") / _SERIES).alias("payload_number")
+
+
 _FLAT_COLUMNS = ["table_id", "variable_id", "variable_name", "unit", "period", "locality_id", "locality_name", "locality_level_id", "classification_tuple_json", "value", "value_state"]
 
 
@@ -611,9 +625,9 @@ def cube_flat_explode(spark, sf_dir):
     cell = F.expr(_pick(CELLS, "c_custkey", True))
     place = (F.col("c_custkey") + 2700000).cast("string")
     pairs = [("NC", F.lit("6")), ("NN", F.lit("Municipality")), ("MN", F.lit("People")), ("V", cell), ("D1C", place), ("D1N", F.col("c_name")), ("D2C", F.lit("9324")), ("D2N", F.lit("Population")), ("D3C", F.lit("2021")), ("D3N", F.lit("2021")), ("D4C", F.lit("0")), ("D4N", F.lit("Total"))]
-    rows_ = table(spark, sf_dir, "customer").select("c_nationkey", F.to_json(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v)))).alias("j"))
+    rows_ = table(spark, sf_dir, "customer").select(_payload_number(), F.to_json(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v)))).alias("j"))
     header = '{"NC":"Nivel (Codigo)","V":"Valor","D1C":"Municipio (Codigo)"}'
-    payloads = rows_.groupBy("c_nationkey").agg(F.concat(F.lit(f"[{header},"), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("payload"))
+    payloads = rows_.groupBy("payload_number").agg(F.concat(F.lit(f"[{header},"), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("payload"))
     return cube.flat_facts(payloads, "payload", "6579", ("9324",), ("2021",)).select(*_FLAT_COLUMNS)
 
 
@@ -624,7 +638,7 @@ def cube_nested_explode(spark, sf_dir):
         F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("nome"), F.struct(F.lit("N6").alias("id"), F.lit("Municipality").alias("nome")).alias("nivel")).alias("localidade"),
         F.struct((F.col("c_custkey") * 10).cast("string").alias("2020"), F.lit("...").alias("2021")).alias("serie"),
     ))
-    nested = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat_ws(",", F.collect_list(series)).alias("s"))
+    nested = table(spark, sf_dir, "customer").groupBy(_payload_number()).agg(F.concat_ws(",", F.collect_list(series)).alias("s"))
     payloads = nested.select(F.concat(F.lit('[{"id":"93","variavel":"Population","unidade":"People","resultados":[{"classificacoes":[],"series":['), F.col("s"), F.lit("]}]}]")).alias("payload"))
     return cube.nested_facts(payloads, "payload", "1").select(*_FLAT_COLUMNS)
 
@@ -709,9 +723,8 @@ def field_listing(spark, sf_dir):
 
 @query("""select c_custkey, sha256('{"child_field_id":"' || c_custkey || '","operator":"RN","operator_params":{"scale":100000.0},"parent_field_id":"' || c_nationkey || '","registry_versions":{}}') as edge_id from customer""")
 def lineage_edges(spark, sf_dir):
-    # edge ids are made on the driver: a catalog has a row per field
-    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").collect()
-    return spark.createDataFrame([(r[0], bundle.edge_id(str(r[1]), str(r[0]), "RN", {"scale": 100000.0}, {})) for r in people], "c_custkey long, edge_id string")
+    ids = bundle.edge_ids(F.col("c_nationkey"), F.col("c_custkey"), F.lit("RN"), F.lit('{"scale":100000.0}'), F.lit("{}"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), ids.alias("edge_id"))
 
 
 def queries() -> dict:

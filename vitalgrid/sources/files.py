@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ class Files:
         fs, where = self._at(path)
         return fs.exists(where)
 
+    def names(self, path: str) -> list[str]:
+        """Names of what is in a folder; none if there is no such folder."""
+        fs, where = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
     def make_folder(self, path: str) -> None:
         fs, where = self._at(path)
         fs.mkdirs(where)
@@ -56,6 +64,16 @@ class Files:
             data.close()
 
 
+    def digest(self, path: str) -> str:
+        """SHA-256 of a file, streamed by this JVM."""
+        fs, where = self._at(path)
+        data = fs.open(where)
+        try:
+            return self._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(data)
+        finally:
+            data.close()
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share, spark.checkpoint.dir; below a local one only where all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -70,14 +88,52 @@ def join_path(folder: str, *names: str) -> str:
     return "/".join([str(folder).rstrip("/"), *names])
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of a file, or of each file below a folder, each read by one task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(path))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: A file is read in pieces of so many bytes.
+CHUNK = 8 << 20
+
+
+def file_hashes(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(path, bytes, sha256) of a file, or of each file below a folder, by as many tasks as there are files.
+
+    A task streams a file through the digest and holds ``chunk`` bytes at a
+    time, so files of any size take constant memory. Stores that only the JVM
+    can open are streamed by the driver's, one file after another.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(path)).select("path", F.col("length").alias("bytes"))
+    schema = "path string, bytes long, sha256 string"
+    found = [tuple(r) for r in listed.collect()]  # a row per file, without contents
+    if found and found[0][0].split(":")[0] not in _STREAMED:
+        files = Files(spark)
+        return spark.createDataFrame([(p, n, files.digest(p)) for p, n in found], schema)
+    rows = spark.createDataFrame(found, "path string, bytes long").repartition(max(1, len(found)), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [stream_digest(p, chunk) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Schemes that executors open by themselves.
+_STREAMED = ("file", "hdfs", "s3", "gs")
+
+
+def stream_digest(uri: str, chunk: int = CHUNK) -> str:
+    """SHA-256 of a file, read in pieces."""
+    if uri.startswith("file:"):  # such a path may have characters that no URI has
+        store, path = pa_fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    else:
+        store, path = pa_fs.FileSystem.from_uri(uri)
+    digest = hashlib.sha256()
+    with store.open_input_stream(path) as data:
+        while piece := data.read(chunk):
+            digest.update(piece)
+    return digest.hexdigest()
 
 
 def file_hash(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file; of a folder, that of its files' hashes in the order of their names. A file may have 2 GiB."""
+    """SHA-256 of a file; of a folder, that of its files' hashes in the order of their names."""
     found = sorted((r["path"], r["sha256"]) for r in file_hashes(spark, path).collect())  # a row per file
     if not found:
         raise FileNotFoundError(path)
