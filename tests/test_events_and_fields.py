@@ -125,3 +125,50 @@ def test_keep_last_and_reinjection(spark):
     raw, processed = spark.range(5).selectExpr("id", "id * 2 as only_raw").coalesce(1), spark.range(5).select("id").coalesce(1)
     assert {tuple(r) for r in rows.reinject_columns(raw, processed).collect()} == {(k, 2 * k) for k in range(5)}
     assert rows.reinject_columns(raw.limit(3), processed).columns == ["id"]
+
+
+def test_a_parser_runs_once_in_a_count(spark):
+    """Filters above the counts aren't merged into what parses the cells."""
+    plan = fields.event_counts(normalize.normalize_events(raw_table(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    death = [line for line in plan.splitlines() if "DTOBITO" in line or "regexp_replace" in line]
+    assert plan.count("regexp_replace(") <= 16 and not any(line.lstrip(" :+-").startswith("Filter") for line in death)
+
+
+def test_fields_and_quality_come_from_one_run(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    r, raw, people = Registries(), raw_table(spark), population(spark)
+    n, m = raw.count(), people.count()
+    events = normalize.normalize_events(raw).cache()
+    counts = fields.compile_event_counts(counted(events), r)
+    assert seen.value == n and counts.data.count() == fields.event_counts(events).count() and seen.value == n
+    q = fields.event_quality(events).first()
+    assert (counts.q_state.metrics["n_events"], counts.q_state.metrics["missingness"]) == (float(q["n_valid"]), q["missingness"])
+    seen.value = 0
+    field = fields.compile_population(counted(people), r)
+    p = fields.population_quality(people).first()
+    assert seen.value == m and field.data.count() == p["n_keys"] and seen.value == m
+    assert (field.q_state.metrics["n_denom"], field.q_state.metrics["missingness"]) == (p["n_denom"], p["missingness"]) and field.field.provenance == p["provenance"]
+    rate, x = fields.compile_crude_rate(counts, field, r), fields.rate_quality(counts.data, field.data).first()
+    assert (rate.q_state.metrics["n_events"], rate.q_state.metrics["n_denom"], rate.q_state.metrics["n_eff"], rate.q_state.metrics["missingness"]) == (x["n_events"], x["n_denom"], float(x["n_eff"]), x["missingness"])
+    assert seen.value == m  # a rate reads the written fields
+    # order is part of the tables
+    years = [(row["year"], row["municipality_cod6"]) for row in counts.data.collect()]
+    assert years == sorted(years) and [tuple(row)[:2] for row in fields.event_counts(events).collect()] == [("SIM-DO", "municipality_residence")] * len(years)
+
+
+def test_fields_of_empty_tables(spark):
+    r = Registries()
+    counts = fields.compile_event_counts(normalize.normalize_events(raw_table(spark, [])), r)
+    people = fields.compile_population(population(spark).where("false"), r)
+    rate = fields.compile_crude_rate(counts, people, r)
+    for f in (counts, people, rate):
+        assert f.data.count() == 0 and f.q_state.metrics["missingness"] == 1.0 and f.field.state == "fragile"

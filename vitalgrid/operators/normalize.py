@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,31 +78,63 @@ def normalize_events(raw: DataFrame, manifest_hash: str = "", processed_hash_col
     index = row_index or "_row"
     table = numbered.select(*(F.col(f"`{c}`") for c in own), F.col(index).cast("long")) if len({c.upper() for c in own}) == len(own) else numbered
     renamed, names = by_upper_name(table)
-    row_number = F.col(names.pop(index.upper()))
-    # by once: a fused method for all cells at once would be too large to be compiled
-    raw_hash = P.once(canonical_json({c: F.col(names[c.upper()]).cast("string") for c in own}), lambda j: F.sha2(j, 256))
-    processed = F.coalesce(F.col(names[processed_hash_column.upper()]).cast("string"), F.lit("")) if processed_hash_column and processed_hash_column.upper() in names else F.lit("")
-
+    context = raw.sparkSession.sparkContext
+    row_number, hashed = names.pop(index.upper()), (processed_hash_column or "").upper()
+    texts = renamed.select(*_cell_columns(context, tuple(names.items()), tuple(own), row_number, names.get(hashed)))
     # projections in a row, so that a cleaned text or a parsed value is computed once and generated code stays small
-    wanted = {"DTOBITO": ("DTOBITO",), "DTNASC": ("DTNASC",), "IDADE": ("IDADE",), "SEXO": ("SEXO",), "CODMUNRES": ("CODMUNRES",), "CODMUNOCOR": ("CODMUNOCOR",), "CAUSABAS": ("CAUSABAS",)}
-    wanted |= {c: (c,) for c in CAUSE_COLUMNS} | {out: names_ for out, (names_, _) in (CATEGORICAL | NUMERIC).items()}
-    texts = renamed.select(
-        row_number.alias("row_number"), raw_hash.alias("raw_record_hash"), processed.alias("processed_record_hash"),
-        first_present(names, ("IDADE",)).cast("string").alias("raw_age"), first_present(names, ("CAUSABAS",)).cast("string").alias("underlying_icd_raw"),
-        *(P.clean(first_present(names, candidates)).alias(f"t_{out}") for out, candidates in wanted.items()),
-    )
-    t = {out: F.col(f"t_{out}") for out in wanted}
-    dates, codes = ("DTOBITO", "DTNASC"), ("CAUSABAS", *CAUSE_COLUMNS)
-    read = {f"d_{c}": P.once(t[c], P.text_to_date) for c in dates} | {f"i_{c}": P.icd_text(t[c]) for c in codes} | {f"n_{c}": P.comma_number(t[c]) for c in NUMERIC}
-    texts = texts.withColumns(read).withColumn("decoded", P.parse_age(t["IDADE"], cleaned=True))
-    parsed = texts.select(
-        "row_number", "raw_record_hash", "processed_record_hash", "raw_age", "underlying_icd_raw", "decoded",
+    parsed = texts.withColumns(_read_columns(context)).select(*_parsed_columns(context)).withColumn("age", _age(context))
+    return enforce_schema(parsed.select(*_contract_columns(context, manifest_hash)), NORMALIZED_EVENTS)
+
+
+# Expressions depend on names alone. They are built once per context: there are some thousands, and building them takes longer than planning the job.
+
+_CELLS = {"DTOBITO": ("DTOBITO",), "DTNASC": ("DTNASC",), "IDADE": ("IDADE",), "SEXO": ("SEXO",), "CODMUNRES": ("CODMUNRES",), "CODMUNOCOR": ("CODMUNOCOR",), "CAUSABAS": ("CAUSABAS",)}
+_CELLS |= {c: (c,) for c in CAUSE_COLUMNS} | {out: candidates for out, (candidates, _) in (CATEGORICAL | NUMERIC).items()}
+
+
+@lru_cache(maxsize=16)
+def _cell_columns(context: SparkContext, names: tuple[tuple[str, str], ...], own: tuple[str, ...], row_number: str, processed: str | None) -> list[Column]:
+    """Row number, hashes, two raw texts and the cleaned text ``t_...`` of every cell that is parsed."""
+    at = dict(names)
+    # by once: a fused method for all cells at once would be too large to be compiled
+    raw_hash = P.once(canonical_json({c: F.col(at[c.upper()]).cast("string") for c in own}), lambda j: F.sha2(j, 256))
+    given = F.coalesce(F.col(processed).cast("string"), F.lit("")) if processed else F.lit("")
+    return [
+        F.col(row_number).alias("row_number"), raw_hash.alias("raw_record_hash"), given.alias("processed_record_hash"),
+        first_present(at, ("IDADE",)).cast("string").alias("raw_age"), first_present(at, ("CAUSABAS",)).cast("string").alias("underlying_icd_raw"),
+        *(P.clean(first_present(at, candidates)).alias(f"t_{out}") for out, candidates in _CELLS.items()),
+    ]
+
+
+@lru_cache(maxsize=4)
+def _read_columns(context: SparkContext) -> dict[str, Column]:
+    """Dates ``d_...``, codes ``i_...`` and numbers ``n_...`` of the cleaned texts, and the decoded age."""
+    read = {f"d_{c}": P.once(F.col(f"t_{c}"), P.text_to_date) for c in ("DTOBITO", "DTNASC")}
+    read |= {f"i_{c}": P.icd_text(F.col(f"t_{c}")) for c in ("CAUSABAS", *CAUSE_COLUMNS)} | {f"n_{c}": P.comma_number(F.col(f"t_{c}")) for c in NUMERIC}
+    return read | {"decoded": P.parse_age(F.col("t_IDADE"), cleaned=True)}
+
+
+@lru_cache(maxsize=4)
+def _parsed_columns(context: SparkContext) -> list[Column]:
+    """A struct of value, state and warnings per field."""
+    t = {out: F.col(f"t_{out}") for out in _CELLS}
+    return [
+        *(F.col(c) for c in ("row_number", "raw_record_hash", "processed_record_hash", "raw_age", "underlying_icd_raw", "decoded")),
         P.parse_date(t["DTOBITO"], cleaned=True, iso=F.col("d_DTOBITO")).alias("death"), P.parse_date(t["DTNASC"], cleaned=True, iso=F.col("d_DTNASC")).alias("birth"),
         P.parse_categorical(t["SEXO"], SEX_VALUES, SEX_UNKNOWN, cleaned=True).alias("sex"),
         P.parse_municipality(t["CODMUNRES"], cleaned=True).alias("residence"), P.parse_municipality(t["CODMUNOCOR"], cleaned=True).alias("occurrence"),
         P.parse_icd10(t["CAUSABAS"], cleaned=True, code=F.col("i_CAUSABAS")).alias("underlying"), cause_chain({c: t[c] for c in CAUSE_COLUMNS}, {c: F.col(f"i_{c}") for c in CAUSE_COLUMNS}).alias("chain"),
         *(P.parse_categorical(t[out], cleaned=True).alias(f"p_{out}") for out in CATEGORICAL), *(P.parse_numeric(t[out], cleaned=True, number=F.col(f"n_{out}")).alias(f"p_{out}") for out in NUMERIC),
-    ).withColumn("age", P.resolve_age(F.col("death.normalized"), F.col("birth.normalized"), F.col("decoded")))
+    ]
+
+
+@lru_cache(maxsize=4)
+def _age(context: SparkContext) -> Column:
+    return P.resolve_age(F.col("death.normalized"), F.col("birth.normalized"), F.col("decoded"))
+
+
+@lru_cache(maxsize=16)
+def _contract_columns(context: SparkContext, manifest_hash: str) -> list[Column]:
     event = canonical_json({"source_system": F.lit(SOURCE_SYSTEM), "source_manifest_hash": F.lit(manifest_hash), "row_number": F.col("row_number"), "raw_record_hash": F.col("raw_record_hash")})
     chain_warnings = F.flatten(F.transform("chain", lambda x: x["warnings"]))
     out = {
@@ -116,4 +151,4 @@ def normalize_events(raw: DataFrame, manifest_hash: str = "", processed_hash_col
         out |= {f"mun_{place}_{part}": F.col(f"{place}.{part}") for part in ("cod6", "cod7", "state")}
     for name, (_, state) in (CATEGORICAL | NUMERIC).items():
         out |= {name: F.col(f"p_{name}.normalized"), state: F.col(f"p_{name}.state")}
-    return enforce_schema(parsed.select(*(out[f.name].alias(f.name) for f in NORMALIZED_EVENTS)), NORMALIZED_EVENTS)
+    return [out[f.name].alias(f.name) for f in NORMALIZED_EVENTS]

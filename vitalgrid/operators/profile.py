@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import parsers as P
+from vitalgrid.sources.files import scratch_folder
 
 #: Parse rates and length histograms come from the first so many non-blank values of a column.
 SAMPLE_LIMIT = 100_000
@@ -94,11 +95,15 @@ def _histogram(values: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, sample_limit: int | None = SAMPLE_LIMIT, top_values: int = TOP_VALUES) -> DataFrame:
-    """One row per column with counts, rates, ranges, histograms, flags, role, kind and warnings."""
-    values = distinct_values(df, sample_limit)
-    number, date = P.parse_numeric(F.col("text"), cleaned=True), P.parse_date(F.col("text"), cleaned=True)
-    values = values.withColumns({"full": F.col("text").isNotNull() & (F.col("text") != ""), "number": number["normalized"], "date": date["normalized"]})
-    seen = F.col("n_sampled") > 0
+    """One row per column with counts, rates, ranges, histograms, flags, role, kind and warnings.
+
+    Distinct values are found once and written, four small aggregates read them; only values of the sample are parsed.
+    """
+    seen, path = F.col("n_sampled") > 0, scratch_folder(df.sparkSession, "distinct-values")
+    number, date = (F.when(seen, P.once(F.col("text"), f)) for f in (P.comma_number, P.text_to_date))
+    found = distinct_values(df, sample_limit).withColumns({"full": F.col("text").isNotNull() & (F.col("text") != ""), "number": number, "date": date})
+    found.write.parquet(path)
+    values = df.sparkSession.read.schema(found.schema).parquet(path)
     digits = F.col("text").rlike(r"^[0-9]+\z")
     stats = values.groupBy("column", "kind").agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.coalesce(F.sum(F.when(F.col("text") == "", F.col("n"))), F.lit(0)).alias("n_blank"),

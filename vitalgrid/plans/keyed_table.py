@@ -98,23 +98,28 @@ class KeyedTable:
         self._commit(m["version"] + 1, m | {"loose": [*m["loose"], folder]})
         return m["version"] + 1
 
-    def merge(self, rows: DataFrame) -> int:
+    def merge(self, rows: DataFrame, marks: dict | None = None) -> int:
         """One row per key: the new one replaces the old one, a later new one an earlier one. Returns the new version.
 
         New rows are written once, by bucket, so that their plan runs once; then each touched bucket is merged.
+        ``marks`` are kept in the same manifest, so what they say of the rows is true of every version.
         """
         m, new, merged = self.manifest(), *(f"data/{uuid.uuid4().hex}" for _ in range(2))
         bucket = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in self.keys)), F.lit(m["n_buckets"]))
         fresh = enforce_schema(rows, self.schema).withColumn("_at", F.monotonically_increasing_id()).withColumn(_BUCKET, bucket)
         fresh.write.partitionBy(_BUCKET).parquet(join_path(self.folder, new))
         touched = {n.removeprefix(f"{_BUCKET}=") for n in self.files.names(join_path(self.folder, new)) if n.startswith(f"{_BUCKET}=")}
+        marks = {"marks": m.get("marks", {}) | (marks or {})}
         if not touched:
             self.files.remove(join_path(self.folder, new))
-            return m["version"]
+            if marks["marks"] == m.get("marks", {}):
+                return m["version"]
+            self._commit(m["version"] + 1, m | marks)
+            return m["version"] + 1
         staged = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_at", T.LongType())])).parquet(*(join_path(self.folder, new, f"{_BUCKET}={k}") for k in sorted(touched)))
         both = keep_last(self._read([f for k, f in m["buckets"].items() if k in touched]), staged, self.keys, "_at").withColumn(_BUCKET, bucket)
         both.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(join_path(self.folder, merged))
-        self._commit(m["version"] + 1, m | {"buckets": m["buckets"] | {k: f"{merged}/{_BUCKET}={k}" for k in touched}})
+        self._commit(m["version"] + 1, m | marks | {"buckets": m["buckets"] | {k: f"{merged}/{_BUCKET}={k}" for k in touched}})
         self.files.remove(join_path(self.folder, new))
         return m["version"] + 1
 

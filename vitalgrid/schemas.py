@@ -80,6 +80,8 @@ def lenient_cast(c: Column, kind: T.DataType) -> Column:
 
 def enforce_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the contract's columns, in order: missing ones typed null, extra ones dropped, casts lenient."""
+    if [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema]:
+        return df
     present = {c.lower(): c for c in df.columns}
 
     def column(f: T.StructField) -> Column:

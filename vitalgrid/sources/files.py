@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class Files:
@@ -34,6 +33,16 @@ class Files:
         fs, where = self._at(path)
         return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
+    def below(self, path: str) -> list[tuple[str, int]]:
+        """(path, bytes) of a file, or of every file below a folder, hidden ones left out; empty files count."""
+        fs, where = self._at(path)
+        out, found = [], fs.listFiles(where, True)
+        while found.hasNext():
+            s = found.next()
+            if not s.getPath().getName().startswith((".", "_")):
+                out.append((s.getPath().toString(), s.getLen()))
+        return out
+
     def make_folder(self, path: str) -> None:
         fs, where = self._at(path)
         fs.mkdirs(where)
@@ -99,9 +108,7 @@ def file_hashes(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame
     time, so files of any size take constant memory. Stores that only the JVM
     can open are streamed by the driver's, one file after another.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(path)).select("path", F.col("length").alias("bytes"))
-    schema = "path string, bytes long, sha256 string"
-    found = [tuple(r) for r in listed.collect()]  # a row per file, without contents
+    schema, found = "path string, bytes long, sha256 string", Files(spark).below(path)
     if found and found[0][0].split(":")[0] not in _STREAMED:
         files = Files(spark)
         return spark.createDataFrame([(p, n, files.digest(p)) for p, n in found], schema)
@@ -119,12 +126,16 @@ def file_hashes(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame
 _STREAMED = ("file", "hdfs", "s3", "gs")
 
 
+def open_store(uri: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path as tasks open it, and the path in it."""
+    if uri.startswith("file:") or uri.startswith("/"):  # such a path may have characters that no URI has
+        return pa_fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pa_fs.FileSystem.from_uri(uri)
+
+
 def stream_digest(uri: str, chunk: int = CHUNK) -> str:
     """SHA-256 of a file, read in pieces."""
-    if uri.startswith("file:"):  # such a path may have characters that no URI has
-        store, path = pa_fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    else:
-        store, path = pa_fs.FileSystem.from_uri(uri)
+    store, path = open_store(uri)
     digest = hashlib.sha256()
     with store.open_input_stream(path) as data:
         while piece := data.read(chunk):
