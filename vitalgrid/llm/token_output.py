@@ -48,10 +48,8 @@ from vitalgrid.llm.warc import filesystem
 END_ID = 2
 #: Ids of a block; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
-#: A rule takes twelve bytes and a place saves three, so pairs of fewer places don't pay.
+#: Pairs of fewer places aren't replaced: by size they pay from five places on, but they are one percent of it and many rounds.
 LEAST = 8
-#: A round takes pairs down to this share of the most frequent one's places.
-OF_TOP = 1000
 #: Text bytes of a sort partition.
 PART_BYTES = 64 << 20
 _SLOT_BITS = 20

@@ -36,14 +36,15 @@ from vitalgrid.llm.quality import labelled_sample, newton_logistic
 #: Fixed threshold of a predicted document, and of an offending token.
 MIN_SCORE = 0.7
 MIN_MARGINAL = 0.5
-#: Bounds of the sample that the models are fitted on: rows of each class, windows of one row, windows of all, words of a window.
+#: Bounds of the sample that the models are fitted on: rows of each class, windows of one row, windows of all (half of
+#: them may hold marked tokens and half not; the rest, chosen by hash, isn't fitted on), words of a window.
 TRAIN_ROWS = 1500
 ROW_WINDOWS = 64
 TRAIN_WINDOWS = 3000
 WINDOW = 128
 FEATURE_BITS = 18
 #: Least log-likelihood ratio, and least share of toxic documents, for a stem to mark tokens.
-MIN_RATIO, MIN_SHARE = 25.0, 0.95
+MIN_RATIO, MIN_SHARE = 10.83, 0.95  # of a ratio: one chance in a thousand
 #: A task keeps scores of so many words.
 CACHE_WORDS = 200_000
 #: Chains longer than this run by themselves.
