@@ -2,28 +2,42 @@
 
 The program writes ``raw.csv`` and ``processed.csv`` and touches a heartbeat
 file. It is stopped when it takes too long or its heartbeat grows stale.
+
+``ingest`` runs one request beside the driver. ``ingest_many`` runs a table of requests, one
+supervised program per task: it works in a folder of its own, what it wrote goes to the shared
+root under the attempt's name and is renamed to the request's place at the end. A task that runs again
+finds what an earlier attempt has left there, or replaces nothing but its own attempt.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import signal
 import subprocess
+import tempfile
 import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalgrid.operators.profile import compare_profiles, profile_columns
 from vitalgrid.plans.contracts import utc_now
 from vitalgrid.plans.registries import SYSTEM_ALIASES, sha256_json
 from vitalgrid.sources.cube_client import read_payload, write_payload
+from vitalgrid.sources.files import join_path, open_store
 from vitalgrid.sources.readers import read_table, write_parquet
 
 #: Limits in seconds, the exit code of a stopped program, and processing functions of the systems.
 TIMEOUT_S, HEARTBEAT_S, POLL_S, STOPPED = 7200, 900, 2.0, 41
+#: A stopped program may take so long to end by itself.
+GRACE_S = 10.0
 PROCESS_FUNCTIONS = {"SIM-DO": "process_sim", "SINASC": "process_sinasc", "SIH-RD": "process_sih", "CNES-ST": "process_cnes"}
 
 
@@ -69,12 +83,20 @@ def supervise(command: list[str], cwd: Path, heartbeat: Path, logs: Path, timeou
             beat = heartbeat.stat().st_mtime if heartbeat.exists() else 0.0
             if time.time() - began > timeout or (beat >= began and time.time() - beat > stale_after):
                 os.killpg(process.pid, signal.SIGTERM)
-                process.wait()
+                try:
+                    process.wait(GRACE_S)
+                except subprocess.TimeoutExpired:
+                    os.killpg(process.pid, signal.SIGKILL)
+                    process.wait()
                 return STOPPED
             time.sleep(poll)
     return code
 
 
+def outcome(code: int, has_raw: bool, has_processed: bool) -> str:
+    return "ok" if code == 0 and has_raw and has_processed else "raw_ok_process_error" if code != 0 and has_raw else "error"
+
+
 def ingest(spark: SparkSession, request: ExternalRequest, root: str | Path, command: list[str], use_cache: bool = True, **limits) -> dict:
     """Run the program and keep what it wrote; status ``ok``, ``raw_ok_process_error`` or ``error``.
 
@@ -90,7 +112,7 @@ def ingest(spark: SparkSession, request: ExternalRequest, root: str | Path, comm
     started, began = utc_now(), time.perf_counter()
     code = supervise(command, work, work / "heartbeat.json", logs, **limits)
     has_raw, has_processed = (work / "raw.csv").exists(), (work / "processed.csv").exists()
-    status = "ok" if code == 0 and has_raw and has_processed else "raw_ok_process_error" if code != 0 and has_raw else "error"
+    status = outcome(code, has_raw, has_processed)
     manifest = {"backend": "microdatasus", "status": status, "request": asdict(request), "request_hash": request.request_hash(), "command": command, "started_at": started, "exit_code": code, "cache_hit": False}
     said = read_payload(work / "manifest.json") if (work / "manifest.json").exists() else {}
     manifest["error_message"] = said.get("error_message") if status != "ok" else None
@@ -106,3 +128,62 @@ def ingest(spark: SparkSession, request: ExternalRequest, root: str | Path, comm
     manifest |= {"completed_at": utc_now(), "elapsed_seconds": time.perf_counter() - began}
     write_payload(manifest_path, manifest)
     return manifest
+
+
+RESULT = "number long, system string, uf string, period string, request_hash string, status string, exit_code int, error_message string, folder string, elapsed_seconds double, cache_hit boolean"
+_KEPT = ("raw.csv", "processed.csv", "manifest.json", "stdout.log", "stderr.log")
+
+
+def _run_request(request: ExternalRequest, root: str, command: list[str], limits: dict) -> tuple:
+    """(status, exit code, message, folder, seconds, cache hit) of one request; what it wrote stands in the folder, logs of failures too."""
+    began, key = time.perf_counter(), request.request_hash()
+    place = join_path(root, "data", "ingested", "datasus", request.system, f"uf={request.uf}", f"period={request.period}", key)
+    store, path = open_store(place)
+    done = f"{path}/outcome.json"
+    if store.get_file_info(done).type != pa_fs.FileType.NotFound:
+        with store.open_input_stream(done) as f:
+            said = json.loads(f.read())
+        return said["status"], said["exit_code"], said["error_message"], place, time.perf_counter() - began, True
+    with tempfile.TemporaryDirectory(prefix="request-") as own:
+        work = Path(own)
+        write_payload(work / "request.json", asdict(request))
+        code = supervise(command, work, work / "heartbeat.json", work, **limits)
+        status = outcome(code, (work / "raw.csv").exists(), (work / "processed.csv").exists())
+        said = read_payload(work / "manifest.json") if (work / "manifest.json").exists() else {}
+        message = said.get("error_message") if status != "ok" else None
+        if status == "error":
+            place = join_path(root, "data", "diagnostics", "datasus", request.system, key, uuid.uuid4().hex)
+            path = open_store(place)[1]
+        else:
+            write_payload(work / "outcome.json", {"status": status, "exit_code": code, "error_message": message})
+        attempt = f"{path}.attempt-{uuid.uuid4().hex}"
+        store.create_dir(attempt, recursive=True)
+        for name in (*_KEPT, "outcome.json"):
+            if (work / name).exists():
+                with (work / name).open("rb") as source, store.open_output_stream(f"{attempt}/{name}", compression=None) as sink:
+                    shutil.copyfileobj(source, sink, 1 << 20)
+        try:
+            store.move(attempt, path)
+        except OSError:  # another attempt at the same request was first
+            store.delete_dir(attempt)
+    return status, code, message, place, time.perf_counter() - began, False
+
+
+def ingest_many(spark: SparkSession, requests: list[ExternalRequest], root: str, command: list[str], concurrency: int = 8, **limits) -> DataFrame:
+    """A row per request with its status and the folder of its files; at most ``concurrency`` programs run at a time.
+
+    The program finds its request as ``request.json``. ``root`` may be on any store that tasks can open and that renames
+    folders. The result is written, so programs run once; failed requests run again in the next call.
+    """
+    rows = [(k, json.dumps(asdict(r))) for k, r in enumerate(requests)]
+    table = spark.createDataFrame(rows, "number long, request string").repartitionByRange(max(1, len(rows)), "number").coalesce(concurrency)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, text in zip(batch["number"].tolist(), batch["request"].tolist(), strict=True):
+                r = ExternalRequest(**json.loads(text))
+                yield pd.DataFrame([(number, r.system, r.uf, r.period, r.request_hash(), *_run_request(r, root, command, limits))], columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    path = join_path(root, "data", "results", f"{uuid.uuid4().hex}.parquet")
+    table.mapInPandas(run, RESULT).write.parquet(path)
+    return spark.read.parquet(path)
