@@ -98,9 +98,11 @@ def mortality(args):
 
 
 def cube_fetch(args):
-    from vitalgrid.sources.cube_client import CubeQuery, fetch_facts
+    from vitalgrid.plans.settings import load_settings
+    from vitalgrid.sources.cube_client import CubeQuery, fetch_facts, fetch_options
 
-    return fetch_facts(_session(), CubeQuery.load(args.spec), args.out_root, args.allow_empty, not args.no_cache)[1]
+    options = fetch_options(load_settings(args.config)) if args.config else {}
+    return fetch_facts(_session(), CubeQuery.load(args.spec), args.out_root, args.allow_empty, not args.no_cache, **options)[1]
 
 
 def cube_export(args):
@@ -139,11 +141,14 @@ def cube_mortality(args):
 
 
 def ingest(args):
-    from vitalgrid.sources.external import ExternalRequest
+    from vitalgrid.plans.settings import load_settings
+    from vitalgrid.sources.external import ExternalRequest, limits_of
     from vitalgrid.sources.external import ingest as run
 
+    limits = limits_of(load_settings(args.config)) if args.config else {"timeout": args.timeout, "stale_after": args.heartbeat_timeout}
+
     request = ExternalRequest(args.system, args.uf, args.year_start, args.year_end or args.year_start, args.month_start, args.month_end)
-    return run(_session(), request, args.out_root, args.command, not args.no_cache, timeout=args.timeout, stale_after=args.heartbeat_timeout)
+    return run(_session(), request, args.out_root, args.command, not args.no_cache, **limits)
 
 
 #: Command, function, and its options; those with a trailing ``?`` may be left out.
@@ -162,13 +167,13 @@ COMMANDS = {
     "population-import": (import_population, ["population", "run-dir", "source-label?=imported_population_fixture", "registries?"]),
     "compile-crude-rate": (compile_rate, ["run-dir", "death-count-field-id", "population-field-id", "registries?"]),
     "mortality-run": (mortality, ["raw", "population", "out-root", "intent?", "processed?", "source-label?=imported_population_fixture", "geography?=residence"]),
-    "cube-fetch": (cube_fetch, ["spec", "out-root", "allow-empty!", "no-cache!"]),
+    "cube-fetch": (cube_fetch, ["spec", "out-root", "allow-empty!", "no-cache!", "config?"]),
     "cube-population-export": (cube_export, ["facts", "output", *_CUBE]),
     "cube-diagnose-facts": (cube_diagnose, ["facts"]),
     "cube-population-prepare": (cube_prepare, ["spec", "out-root", "output", *_CUBE]),
     "cube-population-import": (cube_import, ["run-dir", "spec", "out-root", "output", *_CUBE, "registries?"]),
     "cube-mortality-run": (cube_mortality, ["raw", "spec", "out-root", "source-label?=SIDRA_population"]),
-    "ingest": (ingest, ["system", "uf", "year-start#", "year-end#?", "month-start#?", "month-end#?", "out-root", "no-cache!", "timeout#?=7200", "heartbeat-timeout#?=900", "command*"]),
+    "ingest": (ingest, ["system", "uf", "year-start#", "year-end#?", "month-start#?", "month-end#?", "out-root", "no-cache!", "timeout#?=7200", "heartbeat-timeout#?=900", "config?", "command*"]),
 }
 
 

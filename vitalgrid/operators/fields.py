@@ -246,12 +246,13 @@ def compile_crude_rate(counts: CompiledField, population: CompiledField, registr
     warnings = _lost_warning(q["n_missing"], q["n_joined"], q["missingness"], "mortality_rate_rows_missing_denominator", "compile_crude_rate", "counts were left out: they have no valid denominator.")
     states = {above.state, below.state}
     state = "illegal_excluded" if "illegal_excluded" in states else "fragile" if "fragile" in states or q["missingness"] >= DENOMINATOR_LIMIT else "verified"
+    inherited, safe = registries.inherited({*above.provenance, *below.provenance}, set(above.source), "mortality_rate")
     params = {"role": "mortality_rate", "scale": scale, "formula": "death_count / population * scale", "join_axes": KEYS}
     node = FieldNode(
         name="Crude mortality rate by municipality and year", kind="intensive_density", carrier="Deaths/Population", unit="deaths_per_100k_person_years",
         support={"time": "year", "geography": "municipality", "spatial_code": "municipality_cod6"}, axes={"T": "year", "S*": "municipality"}, aggregation="rate_requires_numerator_denominator",
         role=["outcome", "mortality_rate"], source=sorted({*above.source, *below.source}), operator="RN", provenance=sorted({*above.provenance, *below.provenance}),
-        state=state, dashboard_safe=True if state == "verified" else "warning", lineage=Lineage("RN", params, registries.hashes(), [above.id, below.id]), warnings=verdict.warnings + [w.code for w in warnings],
+        state=state, dashboard_safe=safe if safe is not True else True if state == "verified" else "warning", lineage=Lineage("RN", params, registries.hashes(), [above.id, below.id]), warnings=verdict.warnings + inherited + [w.code for w in warnings],
     )
     risk = above.provenance.count("latent") * 0.8 if "latent" in node.provenance else RATE_RISK
     metrics = {"n_events": q["n_events"], "n_denom": q["n_denom"], "n_eff": float(q["n_eff"]), "missingness": q["missingness"], "denom_fragility": q["missingness"], "provenance_risk": risk}

@@ -100,6 +100,8 @@ class Registries:
     quality: dict = field(default_factory=lambda: dict(QUALITY))
     aggregations: tuple = AGGREGATIONS
     source_fields: tuple = FIRST_FIELDS
+    provenance_labels: tuple = tuple(PROVENANCE_RISK)
+    provenance_rules: tuple = ()
     #: Hashes of the files that entries came from.
     file_hashes: dict = field(default_factory=dict)
 
@@ -115,6 +117,16 @@ class Registries:
     def permissions(self, state: str) -> dict:
         return dict(zip(PERMISSIONS, self.quality[state], strict=True))
 
+    def inherited(self, labels: set[str], numerator_sources: set[str] = frozenset(), role: str | None = None) -> tuple[list[str], bool | str]:
+        """What rules say of a field made from parents with these labels: warnings in order, and the strictest ``dashboard_safe``."""
+        warnings, safe = [], True
+        for r in self.provenance_rules:
+            if r.label not in labels or (r.numerator_source and not any(s == r.numerator_source or s.startswith(f"{r.numerator_source}-") for s in numerator_sources)) or (r.blocked_role and r.blocked_role != role):
+                continue
+            warnings.append(r.warning)
+            safe = False if False in (safe, r.dashboard_safe) else "warning" if "warning" in (safe, r.dashboard_safe) else True
+        return warnings, safe
+
     def hashes(self) -> dict[str, str]:
         """SHA-256 of each registry's file, of built-in entries that of their canonical JSON."""
         return {k: sha256_json(v) for k, v in (("aggregation_registry", self.aggregations), ("carrier_registry", self.carriers), ("quality_permissions", self.quality), ("race_axis_registry", self.race_axes), ("source_fields", self.source_fields), ("unit_registry", self.units))} | self.file_hashes
@@ -137,6 +149,32 @@ def read_settings(path: str | Path):
     return yaml.safe_load(text)
 
 
+@dataclass(frozen=True)
+class ProvenanceRule:
+    """A warning that a field inherits from a parent with a label."""
+
+    id: str
+    label: str
+    warning: str
+    dashboard_safe: bool | str = True
+    numerator_source: str | None = None
+    blocked_role: str | None = None
+
+
+def _provenance(path: Path) -> dict:
+    """Labels and rules of a provenance registry's file."""
+    data = read_settings(path)
+    if not isinstance(data, dict) or not isinstance(data.get("primitive"), list):
+        raise RegistryError(f"{path} must be a mapping with a list of primitive labels")
+    labels = tuple(str(x) for x in data["primitive"])
+    rules = tuple(ProvenanceRule(r["id"], r["if_any_parent"], r["child_warning"], r.get("dashboard_safe", True), r.get("with_numerator_source"), r.get("blocked_role")) for r in data.get("rules") or [])
+    if unknown := sorted({r.label for r in rules} - set(labels)):
+        raise RegistryError(f"{path} has rules for labels that it doesn't list: {unknown}")
+    if len({r.id for r in rules}) < len(rules):
+        raise RegistryError(f"{path} has duplicate ids of rules")
+    return {"provenance_labels": labels, "provenance_rules": rules}
+
+
 #: Registries by name.
 NAMES = ("carrier_registry", "unit_registry", "race_axis_registry", "quality_permissions", "aggregation_registry", "source_fields")
 
@@ -156,11 +194,13 @@ def registry_files(folder: str | Path) -> tuple[dict[str, Path], dict[str, str]]
     manifest = next((p for x in suffixes if (p := folder / f"registry_manifest{x}").exists()), None)
     if manifest:
         listed = (read_settings(manifest) or {}).get("registries") or {}
+        if nameless := sorted(name for name, item in listed.items() if not (isinstance(item, dict) and item.get("path"))):
+            raise RegistryError(f"entries of the manifest without a path: {nameless}")
         files = {name: folder / item["path"] for name, item in listed.items()}
         if absent := sorted(str(p) for p in files.values() if not p.exists()):
             raise RegistryError(f"the manifest names files that are absent: {absent}")
     else:
-        files = {name: p for name in NAMES for x in suffixes if (p := folder / f"{name}{x}").exists()}
+        files = {name: p for name in (*NAMES, "provenance_registry") for x in suffixes if (p := folder / f"{name}{x}").exists()}
     hashes = {name: _sha256(p) for name, p in files.items()} | ({"registry_manifest": _sha256(manifest)} if manifest else {})
     return files, hashes
 
@@ -180,7 +220,7 @@ def load_registries(folder: str | Path) -> Registries:
         twice = sorted({i for i in ids if ids.count(i) > 1})
         if twice:
             raise RegistryError(f"{name} has duplicate ids: {twice}")
-    out = {}
+    out = _provenance(files["provenance_registry"]) if "provenance_registry" in files else {}
     if "carrier_registry" in found:
         out["carriers"] = tuple((e["numerator_carrier"], e["denominator_carrier"], e["role"]) for e in found["carrier_registry"] if e.get("legal", True))
     if "unit_registry" in found:

@@ -10,6 +10,7 @@ import time
 import urllib.request
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import partial
 from pathlib import Path
 from typing import Any
 from urllib.parse import urlencode
@@ -62,7 +63,13 @@ def http_get(url: str, timeout: float = TIMEOUT_S) -> tuple[int, bytes]:
         return response.status, response.read()
 
 
-def fetch(query: CubeQuery, transport: Callable[[str], tuple[int, bytes]] = http_get, retries: int = RETRIES, wait: Callable[[float], None] = time.sleep, base: str = BASE_URL) -> tuple[Any, dict]:
+def fetch_options(settings: dict, transport: Callable[..., tuple[int, bytes]] = http_get) -> dict:
+    """What ``fetch`` takes from the client's part of the settings: address, timeout, retries and waits."""
+    s = settings["sidra"]
+    return {"transport": partial(transport, timeout=float(s["timeout_seconds"])), "retries": s["max_retries"], "base": s["base_url"], "first_wait": s["backoff_initial_seconds"], "longest_wait": s["backoff_max_seconds"]}
+
+
+def fetch(query: CubeQuery, transport: Callable[[str], tuple[int, bytes]] = http_get, retries: int = RETRIES, wait: Callable[[float], None] = time.sleep, base: str = BASE_URL, first_wait: float = FIRST_WAIT_S, longest_wait: float = LONGEST_WAIT_S) -> tuple[Any, dict]:
     """The payload and what the request took. Any failure is tried again, after waits that double."""
     url, started, error = query.url(base), time.perf_counter(), None
     for attempt in range(retries + 1):
@@ -74,7 +81,7 @@ def fetch(query: CubeQuery, transport: Callable[[str], tuple[int, bytes]] = http
         except Exception as e:  # noqa: BLE001
             error = e
             if attempt < retries:
-                wait(min(FIRST_WAIT_S * 2**attempt, LONGEST_WAIT_S))
+                wait(min(first_wait * 2**attempt, longest_wait))
     raise CubeClientError(f"no payload after {retries + 1} attempts: {error}") from error
 
 

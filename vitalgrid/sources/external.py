@@ -93,6 +93,12 @@ def supervise(command: list[str], cwd: Path, heartbeat: Path, logs: Path, timeou
     return code
 
 
+def limits_of(settings: dict) -> dict:
+    """What ``supervise`` takes from the ingest's part of the settings."""
+    s = settings["datasus"]
+    return {"timeout": float(s["r_timeout_seconds"]), "stale_after": float(s["heartbeat_timeout_seconds"])}
+
+
 def outcome(code: int, has_raw: bool, has_processed: bool) -> str:
     return "ok" if code == 0 and has_raw and has_processed else "raw_ok_process_error" if code != 0 and has_raw else "error"
 
