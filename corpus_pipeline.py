@@ -7,6 +7,13 @@ writes the packed sequences and returns the pieces read from them. Models are
 fitted on the labelled rows among the documents that a stage is given; the
 toxicity model leaves out the rows whose crc32(doc_id as text) modulo 3 is 1, so
 what it says about these is said about unseen rows.
+
+Null, empty and blank texts have fewer than 50 words, so the quality rules reject
+them; the later stages would keep them. Texts of any length run whole. Rows that
+are equal or nearly so are ties: the join keeps the one with the smallest id, of
+repeated rows one. Columns named like those that a stage adds keep their own
+values. Without documents, labels or test items a stage keeps what it is given, and an empty
+table packs into nothing.
 """
 
 from __future__ import annotations
@@ -19,17 +26,25 @@ from vitalgrid.llm.common import settle, table
 from vitalgrid.llm.queries import packed_documents
 
 
+def _judged(docs: DataFrame, added: list, judge) -> DataFrame:
+    """What ``judge`` keeps of ``docs``, with the columns of ``docs``; those named like the ``added`` ones are out of its way meanwhile."""
+    names = {f.name.lower() for f in added}
+    away = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c.lower() in names}
+    kept = judge(docs.withColumnsRenamed(away) if away else docs)
+    return kept.select(*(F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the classifier keep."""
     model = quality.fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.apply_quality(docs, model).where("kept").select(*docs.columns)
+    return _judged(docs, quality.FIELDS, lambda d: quality.apply_quality(d, model).where("kept"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
     seen = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     model = toxicity.fit_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), where=seen)
-    return toxicity.apply_toxicity(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return _judged(docs, toxicity.FIELDS, lambda d: toxicity.apply_toxicity(d, model).where(F.col("predicted") == 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
