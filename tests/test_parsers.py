@@ -69,3 +69,22 @@ def test_age_resolution(spark):
     assert (got[0]["age_days"], got[0]["source"]) == (7305.0, "date_difference")
     assert (got[1]["age_years"], got[1]["warnings"]) == (35.0, ["birth_date_after_death_date"])
     assert (got[2]["state"], got[2]["age_years"]) == ("invalid", None)
+
+
+def test_shapes_and_printable_ends_change_nothing(spark):
+    """Dates by shape are those of the patterns in their order, and trimming by ends is that of the pattern."""
+    import random
+
+    rng = random.Random(8)
+    dates = ["1/2/2020", "31/12/1999", "2020-2-30", "0000-01-01", "20201301", "13012020", "2020123", "1112020", "202011", "2020-1-5 7:05:09", "2020-01-05\t\t23:59:61", "2020/1-5", "٢٠٢٠-01-05"]
+    texts = [None, "", "ﬀ", "\x1f20200105", " n/a", "NuLL "] + dates
+    texts += ["".join(rng.choice("0123456789") for _ in range(rng.randint(5, 9))) for _ in range(3000)]
+    texts += [rng.choice("-/").join([str(rng.randint(0, 33)).zfill(2), str(rng.randint(0, 14)), str(rng.randint(0, 2100)).zfill(4)][:: rng.choice([1, -1])]) for _ in range(3000)]
+    texts += ["".join(rng.choice("0129-/: \t\u00a0é") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    trimmed = F.regexp_replace("t", P._EDGES, "")
+    slow = F.when(F.upper(trimmed).isin(*P.BLANK_TEXTS), F.lit("")).otherwise(trimmed)
+    by_patterns = F.when(~F.col("t").isin(*P.DATE_PLACEHOLDERS), P._by_patterns(F.col("t"), P.DATE_PATTERNS).cast("string"))
+    pairs = ((P.clean(F.col("t")), slow), (P.text_to_date(F.col("t")), by_patterns))
+    for got, want in pairs:
+        assert df.where(~got.eqNullSafe(want)).collect() == []
