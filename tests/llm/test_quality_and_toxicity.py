@@ -137,3 +137,10 @@ def test_toxicity_model(spark, docs_schema):
     assert by_id[902]["spans"] and by_id[900]["score"] == by_id[901]["score"] < 0.7
     assert toxicity.apply_toxicity(df.limit(0), model).count() == 0
     assert toxicity.fit_toxicity(df, lab.limit(0)).score(np.zeros(0)) == 0.0
+
+
+def test_features_of_ascii_words_are_those_of_any_word():
+    rng = random.Random(6)
+    words = ["...", "A", "Ab", "ABC", "don't", "a1", "12", "(Hello),", "x" * 20, "#*!", "é", "Straße"] + ["".join(rng.choice("abCD12.,'-éß") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    for x in words:
+        assert toxicity.features(x.encode()) == toxicity._features(x.encode()), x

@@ -65,7 +65,29 @@ def stems(w: str) -> list[str]:
     return [f"w{w}"] + [f"{k}{w[:k]}" for k in (4, 5, 6) if len(w) > k]
 
 
+def _seed(prefix: str) -> int:
+    return zlib.crc32(prefix.encode())
+
+
+_WHOLE, _PREFIXES, _THREE, _LAST, _SHIFT = _seed("w"), [(k, _seed(str(k))) for k in (4, 5, 6)], _seed("3"), _seed("-"), 32 - FEATURE_BITS
+_ASCII_PUNCTUATION = "".join(c for c in _PUNCTUATION if c.isascii()).encode()
+_shapes: dict[tuple, int] = {}
+
+
 def features(word: bytes) -> list[int]:
+    """Hashed features of a word. In ASCII a character is a byte, so there they are made from slices of the bytes, each hashed on from its prefix."""
+    if not word.isascii():
+        return _features(word)
+    w, crc = word.lower().strip(_ASCII_PUNCTUATION), zlib.crc32
+    plain = word.isalpha()
+    key = (word.isupper(), word.istitle(), not plain and any(48 <= c <= 57 for c in word), not plain and not word.isalnum(), min(len(w), 12))
+    shape = _shapes.get(key)
+    if shape is None:
+        shape = _shapes[key] = crc(b"s%d%d%d%d%d" % key) >> _SHIFT
+    return [crc(w, _WHOLE) >> _SHIFT, *(crc(w[:k], s) >> _SHIFT for k, s in _PREFIXES if len(w) > k), crc(w[:3], _THREE) >> _SHIFT, crc(w[-3:], _LAST) >> _SHIFT, shape]
+
+
+def _features(word: bytes) -> list[int]:
     w = bare(word)
     raw = word.decode("utf-8", "replace")
     shape = f"s{raw.isupper():d}{raw.istitle():d}{any(c.isdigit() for c in raw):d}{any(not c.isalnum() for c in raw):d}{min(len(w), 12)}"
@@ -86,7 +108,7 @@ class ToxicityModel:
     def scorer(self):
         """A function from texts to [(score, marginals, words)], with its own cache of word scores."""
         cache: dict[bytes, float] = {}
-        w = self.weights
+        w = self.weights.tolist()  # a few of them at a time: a list gives them faster than an array
 
         def odds(words: list[bytes]) -> list[float]:
             if len(cache) > CACHE_WORDS:
@@ -95,7 +117,7 @@ class ToxicityModel:
             for x in words:
                 u = cache.get(x)
                 if u is None:
-                    u = cache[x] = float(w[features(x)].sum())
+                    u = cache[x] = sum([w[k] for k in features(x)])
                 out.append(u)
             return out
 
