@@ -178,6 +178,43 @@ def test_sketch_bounds():
                 assert keys[0] & keys[1]
 
 
+def test_keys_of_many_sets_are_those_of_one():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(1 << 62, n, replace=False).astype(np.uint64)) for n in (0, 1, 63, 64, 70, 90, 128, 500, 0, 3000)] + [np.zeros(0, np.uint64)]
+    frequent = np.sort(np.concatenate([sets[7][:100], sets[9][::7]]))
+    often = rng.integers(4, 1000, len(frequent))
+    names, sketches = jaccard_join.summaries(sets)
+    assert names.tolist() == [jaccard_join.class_of(s) for s in sets]
+    assert all((a == jaccard_join.parity_sketch(s)).all() for a, s in zip(sketches, sets, strict=True))
+    full = [s for s in sets if len(s)]
+    for seed in (0, 3):
+        want = [np.concatenate([jaccard_join.cells_of(s, c, seed, frequent, often)[0][: d + 1] for c, d in jaccard_join.bands(len(s))]) for s in full]
+        assert [sorted(k.tolist()) for k in jaccard_join.first_cells(full, seed, frequent, often)] == [sorted(k.tolist()) for k in want]
+    narrow = (np.arange(200, dtype=np.uint64) << np.uint64(1)) + np.uint64(1)
+    for seed in range(4):
+        none = np.zeros(0, np.uint64)
+        want = [int(any(c and len(jaccard_join.cells_of(s, c, seed, none, none)[0]) <= d for c, d in jaccard_join.bands(len(s)))) if len(s) else 0 for s in [*sets, narrow]]
+        assert jaccard_join.too_few([*sets, narrow], seed).tolist() == want
+
+
+def test_texts_that_nobody_wants_are_not_shuffled(spark, tmp_path, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(400)]
+    rows += [(k, rows[k - 400][1] + " end") for k in range(400, 410)]
+    df, plans, own = spark.createDataFrame(rows, "doc_id long, text string"), [], jaccard_join.settle
+    df.write.parquet(f"{tmp_path}/docs")
+
+    def seen(table, name, codec=None):
+        if name in ("links", "partners"):
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return own(table, name, codec)
+
+    monkeypatch.setattr(jaccard_join, "settle", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    assert got == {k: k % 400 for k in range(410)}
+    # the marks of the wanted texts meet the texts as a broadcast, before any exchange
+    assert plans and all("bit_or" in p and "BroadcastHashJoin" in p for p in plans)
+
+
 def test_connected(spark):
     rng = random.Random(2)
     pairs = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]

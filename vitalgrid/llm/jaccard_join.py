@@ -58,7 +58,7 @@ SMALL = 64
 SKETCH_BITS = 512
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 #: Texts are hashed in stretches of about so many bytes.
-STRETCH = 1 << 20
+STRETCH = 1 << 17
 #: Frequent shingles are looked for in runs of so many, and at most so many are told to all tasks. They only order cells.
 COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000
@@ -68,6 +68,8 @@ FIRST_KEYS = 8
 STAR_ROUNDS = 3
 #: Partners that a hub meets in one portion.
 PORTION = 64
+#: Words of 64 marks that tell which texts are wanted.
+MARK_WORDS = 1 << 18
 #: Classes and shingles of a block of a component, and shingles that are compared at a time.
 BLOCK_CLASSES, BLOCK_SHINGLES, AT_ONCE = 128, 1 << 18, 1 << 15
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -100,7 +102,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         at = np.searchsorted(start, edges)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= WORDS:
-                out.append(np.unique(s[a : b - WORDS + 1]))
+                x = np.sort(s[a : b - WORDS + 1])
+                out.append(x[np.concatenate((x[:1] == x[:1], x[1:] != x[:-1]))])
             elif b > a:
                 with np.errstate(over="ignore"):
                     short = np.array([sum((int(h[a + k]) * int(_C[k]) for k in range(b - a)), b - a) & 0xFFFFFFFFFFFFFFFF], np.uint64)
@@ -150,9 +153,13 @@ def bands(n: int) -> list[tuple[int, int]]:
     return [own, (low // 2 if low > SMALL else 0, (n + low - 1) // 7)]
 
 
+def _seeded(s: np.ndarray, seed: int) -> np.ndarray:
+    return mix(s + np.uint64(seed * int(_C[4]) & 0xFFFFFFFFFFFFFFFF))
+
+
 def cells_of(s: np.ndarray, cells: int, seed: int, frequent: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set's cells in the common order, and whether there are any; keys are signed 64-bit."""
-    own = mix(s + np.uint64(seed * int(_C[4]) & 0xFFFFFFFFFFFFFFFF))
+    own = _seeded(s, seed)
     rate = np.zeros(len(s), np.int64)
     if len(frequent) and len(s):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -170,6 +177,74 @@ def cells_of(s: np.ndarray, cells: int, seed: int, frequent: np.ndarray, often:
     return key[np.lexsort((key, -many, rare))].view(np.int64), rare
 
 
+def _edges(sets: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([0, *map(len, sets)])
+
+
+def summaries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``class_of`` and ``parity_sketch`` of many sets at a time."""
+    edge, name, bits = _edges(sets), np.zeros(len(sets), np.uint64), np.zeros((len(sets), SKETCH_BITS), np.uint8)
+    if edge[-1]:
+        s, n = np.concatenate(sets), np.diff(edge)
+        some = np.flatnonzero(n)
+        at = edge[:-1][some]
+        name[some] = mix(np.bitwise_xor.reduceat(s, at) + np.add.reduceat(s, at) * _C[1] + n[some].astype(np.uint64) * _C[2])
+        place = ((mix(s ^ _C[1]) >> np.uint64(33)) % np.uint64(SKETCH_BITS)).astype(np.int64) + np.repeat(np.arange(len(sets)) * SKETCH_BITS, n)
+        bits = (np.bincount(place, minlength=bits.size) & 1).astype(np.uint8).reshape(bits.shape)
+    return name.view(np.int64), np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
+def too_few(sets: list[np.ndarray], seed: int) -> np.ndarray:
+    """1 for each set that has no more than D cells in use in one of its bands."""
+    out = np.zeros(len(sets), np.int64)
+    edge = _edges(sets)
+    entered = [(k, cells, d) for k, s in enumerate(sets) if len(s) for cells, d in bands(len(s)) if cells]
+    if not entered:
+        return out
+    cell = _seeded(np.concatenate(sets), seed) >> np.uint64(20)
+    owner, cells, most = (np.array(x, np.int64) for x in zip(*entered, strict=True))
+    start = np.cumsum(cells) - cells
+    used = np.zeros(int(cells.sum()), bool)
+    for (k, m, _), at in zip(entered, start.tolist(), strict=True):
+        used[at + (cell[edge[k] : edge[k + 1]] & np.uint64(m - 1)).astype(np.int64)] = True
+    out[owner[np.add.reduceat(used, start, dtype=np.int64) <= most]] = 1
+    return out
+
+
+def first_cells(sets: list[np.ndarray], seed: int, frequent: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
+    """For each set that isn't empty the keys that it is filed under: in each band those of its first D + 1 cells, with all that stand level with the last of them.
+
+    The order is that of ``cells_of`` with rates under 2**20, sizes under 256 and 36 bits of the keys; what is level in it is all taken, so no pair is lost.
+    """
+    edge, s = _edges(sets), np.concatenate(sets)
+    own, rate = _seeded(s, seed), np.zeros(len(s), np.uint64)
+    if len(frequent):
+        may = np.zeros(1 << 20, bool)  # few shingles are frequent: most are told apart by their first bits
+        may[frequent >> np.uint64(44)] = True
+        look = np.flatnonzero(may[s >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(frequent, s[look]), len(frequent) - 1)
+        rate[look] = np.where(frequent[at] == s[look], np.minimum(often[at], (1 << 20) - 1), 0)
+    cell, out = own >> np.uint64(20), []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        keys = []
+        for cells, d in bands(b - a):
+            if cells == 0:
+                value, rank = own[a:b], (rate[a:b] << np.uint64(44)) | np.uint64(254 << 36)
+            else:
+                place = cell[a:b] & np.uint64(cells - 1)
+                order = np.argsort(place.astype(np.uint16) if cells <= 1 << 16 else place, kind="stable")  # short numbers are sorted by counting
+                place = place[order]
+                first = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(place[1:] != place[:-1]) + 1))
+                many = np.minimum(np.diff(first, append=b - a), 255).astype(np.uint64)
+                value = np.bitwise_xor.reduceat(own[a:b][order], first)
+                rank = (np.minimum.reduceat(rate[a:b][order], first) << np.uint64(44)) | ((np.uint64(255) - many) << np.uint64(36))
+            key = mix(value + np.uint64(cells * int(_C[3]) & 0xFFFFFFFFFFFFFFFF))
+            rank |= key >> np.uint64(28)
+            keys.append(key[rank <= np.partition(rank, d)[d]] if d < len(rank) else key)
+        out.append(np.concatenate(keys).view(np.int64))
+    return out
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
     """(id, h, n, class, sketch) of every row, h a hash of its text; frequent shingles with their counts; how many sets break the bound under the seed."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(f"`{text_col}`").alias("text"))
@@ -183,7 +258,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
 
         def counted():
             nonlocal held, size, rows
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (none, none)
+            h = np.sort(np.concatenate(held)) if held else none
+            edge = np.flatnonzero(np.concatenate((h[:1] == h[:1], h[1:] != h[:-1])))
+            h, c = h[edge], np.diff(edge, append=len(h))
             keep = c >= max(4, rows // 200)
             out = [{"h": int(a), "c": int(b)} for a, b in zip(h[keep].view(np.int64), c[keep], strict=True)]
             held, size, rows = [], 0, 0
@@ -191,9 +268,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
 
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist())
-            short = [int(any(c and len(cells_of(s, c, seed, none, none)[0]) <= d for c, d in bands(len(s)))) if len(s) else 0 for s in sets]
-            sketch = np.stack([parity_sketch(s) for s in sets], 1) if sets else np.zeros((len(SKETCH), 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], [class_of(s) for s in sets], short, *sketch, [None] * len(sets)), kinds[2:], strict=True))], names=schema.names)
+            name, sketch = summaries(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], name, too_few(sets, seed), *sketch.T, [None] * len(sets)), kinds[2:], strict=True))], names=schema.names)
             held += sets
             size, rows = size + sum(map(len, sets)), rows + len(sets)
             if size >= COUNTED_AT_ONCE:
@@ -215,19 +291,15 @@ def _filed(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, ofte
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, classes, sizes, many = [], [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s) or (name := class_of(s)) in seen:
-                    continue
-                seen.add(name)
-                for cells, d in bands(len(s)):
-                    first = cells_of(s, cells, seed, frequent, often)[0][: d + 1]
-                    keys.append(first)
-                    classes.append(name)
-                    sizes.append(len(s))
-                    many.append(len(first))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], names=["key", "class", "n"])
+            sets, fresh = shingle_sets(batch.column(0).to_pylist()), {}
+            for s, name in zip(sets, summaries(sets)[0].tolist(), strict=True):
+                if len(s) and name not in seen:
+                    seen.add(name)
+                    fresh[name] = s
+            if fresh:
+                keys = first_cells(list(fresh.values()), seed, frequent, often)
+                many = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(list(fresh), np.int64), many)), pa.array(np.repeat(np.array([len(s) for s in fresh.values()], np.int32), many))], names=["key", "class", "n"])
 
     return base.mapInArrow(run, "key long, class long, n int")
 
@@ -242,12 +314,16 @@ def _row_key(id_col, h):
     return [F.coalesce(id_col, F.lit(0)).alias("_i"), id_col.isNull().alias("_z"), h.alias("_h")]
 
 
-def _texts(classes: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(class, text): the first row's text of each of ``classes``; repeated rows repeat it."""
-    wanted = classes.distinct().join(names, "class").select("class", *_row_key(F.col("first.id"), F.col("first.h")))
+def _with_texts(rows: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows`` (a column ``class`` and others) with the ``text`` of each one's class, that of its first row; repeated rows repeat it."""
+    wanted = settle(rows.join(names.select("class", *_row_key(F.col("first.id"), F.col("first.h"))), "class"), "wanted")
     own = F.col(f"`{id_col}`").cast("long")
     base = docs.select(*_row_key(own, F.xxhash64(text_col)), F.col(f"`{text_col}`").alias("text"))
-    return settle(base.join(wanted, ["_i", "_z", "_h"]).select("class", "text"), "texts")
+    # texts that nobody wants stay where they are: of fixed size are the marks of the wanted hashes, by which nearly all others are told
+    word, bit = (lambda h: F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS))), (lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    marks = wanted.groupBy(word(F.col("_h")).alias("_w")).agg(F.bit_or(bit(F.col("_h"))).alias("_marks"))
+    may = base.join(F.broadcast(marks), word(F.col("_h")) == F.col("_w")).where(F.col("_marks").bitwiseAND(bit(F.col("_h"))) != 0).select(*base.columns)
+    return may.join(wanted, ["_i", "_z", "_h"]).select(*rows.columns, "text")
 
 
 def _grouped(batches, width: int):
@@ -268,15 +344,14 @@ def _grouped(batches, width: int):
 def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar enough."""
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-    texts = _texts(ends, names, docs, id_col, text_col)
     degree = settle(ends.groupBy("class").agg(F.count(F.lit(1)).alias("k")), "degrees")
     both = pairs.join(degree.select(F.col("class").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("class").alias("b"), F.col("k").alias("kb")), "b")
     turned = F.col("ka") < F.col("kb")
     hub, other = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
     portion = F.pmod(F.xxhash64(other), F.ceil(F.greatest("ka", "kb") / PORTION))
     dealt = settle(both.select(hub.alias("hub"), portion.cast("int").alias("portion"), other.alias("class")), "dealt")
-    hubs = dealt.select("hub", "portion").distinct().join(texts.withColumnRenamed("class", "hub"), "hub").select("hub", "portion", F.lit(None).cast("long").alias("class"), "text")
-    meet = hubs.unionByName(dealt.join(texts, "class").select("hub", "portion", "class", "text"))
+    hubs = dealt.select("hub", "portion").distinct().select("hub", "portion", F.col("hub").alias("class"))
+    meet = _with_texts(hubs.unionByName(dealt), names, docs, id_col, text_col).withColumn("class", F.when(F.col("class") != F.col("hub"), F.col("class")))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meet = meet.repartition(width, "hub", "portion").sortWithinPartitions("hub", "portion", F.col("class").asc_nulls_first())
 
@@ -335,12 +410,11 @@ def _partners(own: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, te
     sizes = own.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("k > 1")
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     members = settle(own.join(sizes.select("root", blocks.cast("int").alias("blocks")), "root"), "blocks")
-    texts = _texts(members.select("class"), names, docs, id_col, text_col)
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     met = members.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "class", "m")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.join(texts, "class").select("root", "lo", "hi", "own", "class", "m", "text").repartition(width, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
+    met = _with_texts(met, names, docs, id_col, text_col).repartition(width, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "class")
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64()]
 
     def check(batches):
