@@ -144,3 +144,16 @@ def test_features_of_ascii_words_are_those_of_any_word():
     words = ["...", "A", "Ab", "ABC", "don't", "a1", "12", "(Hello),", "x" * 20, "#*!", "é", "Straße"] + ["".join(rng.choice("abCD12.,'-éß") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     for x in words:
         assert toxicity.features(x.encode()) == toxicity._features(x.encode()), x
+
+
+def test_fit_holds_the_stems_of_one_document_at_a_time(spark, monkeypatch):
+    held, own = [], toxicity._toxic_stems
+
+    def seen(docs, y):
+        held.append(isinstance(docs, list))
+        return own(docs, y)
+
+    monkeypatch.setattr(toxicity, "_toxic_stems", seen)
+    rows = [(k, f"plain words of text number {k} " + ("vile insult here" if k % 2 else "kind remark here")) for k in range(40)]
+    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int"))
+    assert held == [False]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,8 +216,8 @@ def excerpt(text: str | None) -> str:
     return b" ".join(w for s in starts for w in words[s : s + WINDOW]).decode("utf-8", "replace")
 
 
-def _toxic_stems(docs: list[set[str]], y: np.ndarray) -> set[str]:
-    """Stems that stand almost only in toxic documents, by a likelihood-ratio test."""
+def _toxic_stems(docs: Iterable[set[str]], y: np.ndarray) -> set[str]:
+    """Stems that stand almost only in toxic documents, by a likelihood-ratio test; one document's stems are held at a time."""
     toxic: dict[str, int] = {}
     clean: dict[str, int] = {}
     for got, label in zip(docs, y, strict=True):
@@ -311,7 +312,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, rows: int = TRA
     held = [k for k in range(len(got)) if zlib.crc32(got[k]["text"].encode("utf-8", "replace")) % 3 == 0]
     if len({y[k] for k in held}) < 2:
         held = list(range(len(got)))
-    marks = _toxic_stems([{s for w in {bare(x) for x in words[k]} for s in stems(w) if w} for k in own], y[own])
+    marks = _toxic_stems(({s for w in {bare(x) for x in words[k]} for s in stems(w) if w} for k in own), y[own])
     windows = []
     for k in own:
         tag = np.array([float(y[k] == 1 and not marks.isdisjoint(stems(bare(x)))) for x in words[k]])
