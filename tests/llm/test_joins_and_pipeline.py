@@ -238,3 +238,38 @@ def test_pipeline(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0] and sizes[1] < sizes[0]
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SMALL)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_keys_side_by_side_and_wide_sketches(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    key, name, size = rng.integers(0, 40, 500), rng.integers(1, 60, 500), np.zeros(500, np.int64)
+    size = name * 7 % 50 + 1  # a class has one size
+    (k, c, one, before), kept = jaccard_join.side_by_side(key, name, size)
+    buckets: dict = {}
+    for a, b, n in zip(key.tolist(), name.tolist(), size.tolist(), strict=True):
+        buckets.setdefault(a, set()).add((n, b))
+    assert sorted(zip(k.tolist(), c.tolist(), strict=True)) == sorted((a, b) for a, v in buckets.items() if len(v) > 1 for _, b in v)
+    assert sorted(key[kept].tolist()) == sorted(buckets)
+    fits = lambda x, y: 100 * min(x, y) >= 75 * max(x, y)
+    for a, b, x, y in zip(k.tolist(), c.tolist(), one.tolist(), before.tolist(), strict=True):
+        v = sorted(buckets[a])
+        at = [q for _, q in v].index(b)
+        assert x == (v[0][1] if at and fits(v[0][0], v[at][0]) else 0) and y == (v[at - 1][1] if at and fits(v[at - 1][0], v[at][0]) else 0)
+    # a wide sketch's distance never exceeds the symmetric difference, whatever the two lengths, and drops pairs that 512 bits don't
+    pool = np.sort(jaccard_join.mix(np.arange(1, 9000, dtype=np.uint64)))
+    for n, m in ((300, 400), (2000, 2600), (2000, 2001), (4000, 5300)):
+        x, y = np.sort(rng.choice(pool, n, False)), np.sort(rng.choice(pool, m, False))
+        for b in (y, np.unique(np.concatenate((x, y[: n // 5])))):
+            assert jaccard_join.wide_distance(*map(jaccard_join.wide_sketch, (x, b))) <= len(np.setxor1d(x, b))
+        assert 7 * jaccard_join.wide_distance(*map(jaccard_join.wide_sketch, (x, y))) > n + m
+    assert jaccard_join.wide_sketch(pool[:10]) is None
+    # buckets that a task can't hold at once lose no link, and few jobs are run
+    rows = [(k, " ".join(f"w{k % 30}x{j}" for j in range(40)) + f" end{k}") for k in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(jaccard_join, "HELD_KEYS", 16)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("join", "join")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(spark.read.parquet(f"{tmp_path}/docs")).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: k % 30 for k in range(150)}
+    assert len(tracker.getJobIdsForGroup("join")) < 120

@@ -19,11 +19,13 @@ then seeded anew, until no set has.
 Equal sets are one class from the start. Classes that share a key are
 candidates. A parity sketch of SKETCH_BITS bits per class, whose Hamming
 distance can't exceed the symmetric difference, drops most pairs that are too
-far apart; exact verification reads the texts of the others again.
+far apart, and for sets of WIDE shingles or more one of at least two bits a shingle; exact verification reads the texts of the others again.
 
-Components take a spanning set of links only: first each bucket's classes meet
-one of them (STAR_ROUNDS times another one), then all pairs of classes that
-share a bucket and whose components differ. A hub's partners are dealt out in
+Keys are dealt to parts by their hash and put side by side in arrays, part by
+part; only buckets of two classes or more are kept. Components take a spanning
+set of links only: first each bucket's classes meet the smallest of them and the one
+before them by size, then all pairs of classes that share a
+bucket and whose components differ. A hub's partners are dealt out in
 portions, each with the hub's text once. Linked classes are in one component,
 so all links are found inside components: a component's classes are dealt to
 blocks, each pair of blocks is one portion of work, in which sketches and then
@@ -41,7 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,8 @@ SMALL = 64
 #: Bits of the parity sketch that pairs are screened by.
 SKETCH_BITS = 512
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+#: Sets from this size on have a second sketch, as long as they are.
+WIDE = 256
 #: Texts are hashed in stretches of about so many bytes.
 STRETCH = 1 << 17
 #: Frequent shingles are looked for in runs of so many, and at most so many are told to all tasks. They only order cells.
@@ -64,12 +68,14 @@ COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000
 #: A class carries so many of its keys, to tell that a pair meets more than once.
 FIRST_KEYS = 8
-#: Rounds in which each bucket's classes meet one of them, before all pairs of components do.
-STAR_ROUNDS = 3
+#: Parts of the keys for each shuffle partition, keys that a task holds before it deals them out or puts them side by side, and shingles of a part (a set has fewer keys).
+PARTS, HELD_KEYS, PART_SHINGLES = 3, 1 << 20, 1 << 22
+#: Bits of a key inside its part: what falls together by them is one more candidate, never one less.
+KEY_BITS = 40
 #: Partners that a hub meets in one portion.
 PORTION = 64
-#: Words of 64 marks that tell which texts are wanted.
-MARK_WORDS = 1 << 18
+#: Words of 64 marks that tell which texts are wanted; so few wanted rows are told to all tasks, and their texts stay where they are until they are dealt out.
+MARK_WORDS, TOLD_ROWS = 1 << 18, 50_000
 #: Classes and shingles of a block of a component, and shingles that are compared at a time.
 BLOCK_CLASSES, BLOCK_SHINGLES, AT_ONCE = 128, 1 << 18, 1 << 15
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -135,6 +141,20 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes | None:
+    """Parities of the shingles on a power of two of bits, at least two for each shingle; none for small sets."""
+    if len(s) < WIDE:
+        return None
+    bits = 1 << (2 * len(s) - 1).bit_length()
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_distance(a: bytes, b: bytes) -> int:
+    """Differing bits of two wide sketches; the longer one is folded to the length of the other."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _near(a: str, b: str) -> Column:
     """Whether two sketches (columns with prefixes) leave room for the similarity; sizes are the columns ``n``."""
     distance = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in SKETCH), F.lit(0))
@@ -245,12 +265,12 @@ def first_cells(sets: list[np.ndarray], seed: int, frequent: np.ndarray, often:
     return out
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """(id, h, n, class, sketch) of every row, h a hash of its text; frequent shingles with their counts; how many sets break the bound under the seed."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(id, h, n, class, sketches) of every row, h a hash of its text; frequent shingles with their counts; how many sets break the bound under the seed; how many shingles there are."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(f"`{text_col}`").alias("text"))
     count = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType())])
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("short", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in SKETCH), T.StructField("counts", T.ArrayType(count))])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(SKETCH), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("short", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in SKETCH), T.StructField("wide", T.BinaryType()), T.StructField("counts", T.ArrayType(count))])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(SKETCH), pa.binary(), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))]
     none = np.zeros(0, np.uint64)
 
     def run(batches):
@@ -264,12 +284,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
             keep = c >= max(4, rows // 200)
             out = [{"h": int(a), "c": int(b)} for a, b in zip(h[keep].view(np.int64), c[keep], strict=True)]
             held, size, rows = [], 0, 0
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, None, -1, 0, 0, *[0] * len(SKETCH), out), kinds, strict=True)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, None, -1, 0, 0, *[0] * len(SKETCH), None, out), kinds, strict=True)], names=schema.names)
 
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist())
             name, sketch = summaries(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], name, too_few(sets, seed), *sketch.T, [None] * len(sets)), kinds[2:], strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(([len(s) for s in sets], name, too_few(sets, seed), *sketch.T, [wide_sketch(s) for s in sets], [None] * len(sets)), kinds[2:], strict=True))], names=schema.names)
             held += sets
             size, rows = size + sum(map(len, sets)), rows + len(sets)
             if size >= COUNTED_AT_ONCE:
@@ -280,16 +300,62 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
     got = settle(base.mapInArrow(run, schema), "sets")
     rows = got.where(F.col("n") >= 0)
     frequent = got.where(F.col("n") < 0).select(F.explode("counts").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
-    short = rows.agg(F.sum("short")).first()[0] or 0
-    return rows.select("id", "h", "n", "class", *SKETCH), frequent, short
-
-
-def _filed(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, often: np.ndarray) -> DataFrame:
-    """(key, class, n): each class of a task filed once under its first D + 1 cells of each band."""
+    short, shingles = (v or 0 for v in rows.agg(F.sum("short"), F.sum("n")).first())
+    return rows.select("id", "h", "n", "class", *SKETCH, "wide"), frequent, short, shingles
+
+
+def _dealt(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row for each part that keys fall into: the keys' last bits, and the runs of keys that a class has there."""
+    key = keys.view(np.uint64)
+    part = ((key >> np.uint64(KEY_BITS)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    key, part, name = key[order], part[order], classes[order]
+    low, high = key.astype("<u4"), (key >> np.uint64(32)).astype(np.uint8)
+    edge = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (name[1:] != name[:-1]))))
+    run, own, size = np.diff(edge, append=len(key)).astype("<i4"), name[edge], sizes[order[edge]].astype("<i4")
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    stop, first = np.append(at[1:], len(key)).tolist(), np.searchsorted(edge, at)
+    last = np.append(first[1:], len(edge)).tolist()
+    cut = lambda v, a, b: [v[x:y].tobytes() for x, y in zip(a, b, strict=True)]
+    at_, first_ = at.tolist(), first.tolist()
+    columns = [cut(low, at_, stop), cut(high, at_, stop), cut(own, first_, last), cut(size, first_, last), cut(run, first_, last)]
+    return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "low", "high", "classes", "sizes", "runs"])
+
+
+def side_by_side(key: np.ndarray, name: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns (key, class) of the buckets of two classes or more, with the partners that a class meets first: the bucket's smallest and the one before it by size; 0 where there is none of a fitting size. Beside them the places of one class of every bucket."""
+    order = np.lexsort((name, size, key))
+    key, name, size = key[order], name[order], size[order]
+    new = np.concatenate((key[:1] == key[:1], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))
+    order, key, name, size = order[new], key[new], name[new], size[new]
+    start = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    many = np.diff(start, append=len(key))
+    at = np.arange(len(key))
+    first = np.repeat(start, many)
+    held = np.repeat(many, many) > 1
+    partners = []
+    for other in (first, np.maximum(at - 1, first)):
+        a, b = np.minimum(size[other], size), np.maximum(size[other], size)
+        partners.append(np.where((other != at) & (OF * a >= SHARE * b), name[other], 0)[held])
+    return [key[held], name[held], *partners], order[start]
+
+
+def _shared(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, often: np.ndarray, shingles: int) -> DataFrame:
+    """(key, class, one, before): each class under those of its first D + 1 cells of each band that another class has too, with the partners that it meets first."""
     base = docs.select(F.col(f"`{text_col}`").alias("text"))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(PARTS * width, -(-shingles // PART_SHINGLES))
 
-    def run(batches):
+    def deal(batches):
         seen: set[int] = set()
+        held, size = [], 0
+
+        def dealt():
+            nonlocal held, size
+            out = _dealt(*(np.concatenate(c) for c in zip(*held, strict=True)), parts)
+            held, size = [], 0
+            return out
+
         for batch in batches:
             sets, fresh = shingle_sets(batch.column(0).to_pylist()), {}
             for s, name in zip(sets, summaries(sets)[0].tolist(), strict=True):
@@ -299,9 +365,45 @@ def _filed(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, ofte
             if fresh:
                 keys = first_cells(list(fresh.values()), seed, frequent, often)
                 many = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(list(fresh), np.int64), many)), pa.array(np.repeat(np.array([len(s) for s in fresh.values()], np.int32), many))], names=["key", "class", "n"])
+                held.append((np.concatenate(keys), np.repeat(np.array(list(fresh), np.int64), many), np.repeat(np.array([len(s) for s in fresh.values()], np.int32), many)))
+                size += sum(many)
+                if size >= HELD_KEYS:
+                    yield dealt()
+        if held:
+            yield dealt()
+
+    def meet(batches):
+        part, held, size, most = None, [], 0, HELD_KEYS
+
+        def met(last: bool):
+            nonlocal held, size, most
+            k, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns, one = side_by_side(k, c, n)
+            # of a bucket that may go on one class stays, so that what follows meets it; what stays is bounded by the part's different keys
+            held, size = ([], 0) if last else ([(k[one], c[one], n[one])], len(one))
+            most = max(HELD_KEYS, 2 * size)
+            for a in range(0, len(columns[0]), HELD_KEYS):
+                key, name, *others = (v[a : a + HELD_KEYS] for v in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(key | (part << KEY_BITS)), pa.array(name), *(pa.array(o, mask=o == 0) for o in others)], names=["key", "class", "one", "before"])
+
+        for batch in batches:
+            for p, low, high, own, sizes, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if held:
+                        yield from met(True)
+                    part, most = p, HELD_KEYS
+                key = np.frombuffer(low, "<u4").astype(np.int64) | (np.frombuffer(high, np.uint8).astype(np.int64) << 32)
+                run = np.frombuffer(runs, "<i4")
+                held.append((key, np.repeat(np.frombuffer(own, np.int64), run), np.repeat(np.frombuffer(sizes, "<i4"), run)))
+                size += len(key)
+                if size >= most:
+                    yield from met(False)
+        if held:
+            yield from met(True)
 
-    return base.mapInArrow(run, "key long, class long, n int")
+    dealt = base.mapInArrow(deal, "part int, low binary, high binary, classes binary, sizes binary, runs binary")
+    dealt = dealt.repartition(width, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "key long, class long, one long, before long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -319,11 +421,12 @@ def _with_texts(rows: DataFrame, names: DataFrame, docs: DataFrame, id_col: str,
     wanted = settle(rows.join(names.select("class", *_row_key(F.col("first.id"), F.col("first.h"))), "class"), "wanted")
     own = F.col(f"`{id_col}`").cast("long")
     base = docs.select(*_row_key(own, F.xxhash64(text_col)), F.col(f"`{text_col}`").alias("text"))
+    few = wanted.count() <= TOLD_ROWS
     # texts that nobody wants stay where they are: of fixed size are the marks of the wanted hashes, by which nearly all others are told
     word, bit = (lambda h: F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS))), (lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
     marks = wanted.groupBy(word(F.col("_h")).alias("_w")).agg(F.bit_or(bit(F.col("_h"))).alias("_marks"))
     may = base.join(F.broadcast(marks), word(F.col("_h")) == F.col("_w")).where(F.col("_marks").bitwiseAND(bit(F.col("_h"))) != 0).select(*base.columns)
-    return may.join(wanted, ["_i", "_z", "_h"]).select(*rows.columns, "text")
+    return may.join(F.broadcast(wanted) if few else wanted, ["_i", "_z", "_h"]).select(*rows.columns, "text")
 
 
 def _grouped(batches, width: int):
@@ -446,8 +549,8 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = settle(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         # done when all are stars: no root has an edge of its own, and no node has two roots
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        if edges.join(roots, "u", "left_semi").isEmpty() and edges.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up > 0 and root > 0)").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -460,33 +563,45 @@ def _fits(small, large):
 def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("root", F.col("class"))
-    return members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+    return members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
 
 
-def _candidates(members: DataFrame, names: DataFrame, done: DataFrame | None, turn: int | None) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a bucket and weren't verified yet.
+def _screened(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose wide sketches, where both have one, leave room for the similarity."""
+    wide = names.where("wide is not null")
+    for side in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side, "left")
 
-    With a ``turn``: each bucket's classes against one of them; without: all.
-    """
-    if turn is not None:
-        first = F.struct(F.xxhash64("class", F.lit(turn)) if turn else F.col("n"), F.col("class"))
-        ones = members.groupBy("key").agg(F.min_by(F.struct("class", "n", "root"), first).alias("one"))
-        got = members.join(ones, "key").where((F.col("one.root") != F.col("root")) & _fits(F.col("one.n"), F.col("n")))
-        pairs = got.select(F.least("one.class", "class").alias("a"), F.greatest("one.class", "class").alias("b")).distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(names.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH))), side)
-        pairs = pairs.where(_near("a_", "b_")).select("a", "b")
-    else:
-        # only buckets that span components
-        spans = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
-        base = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct(), "spanning")
-        firsts = base.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
-        held = settle(base.join(names, "class").join(firsts, "class"), "held")
-        side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "root", "n", *SKETCH, "keys")))
-        apart = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
-        # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
-        once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
-        pairs = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    def screen(batches):
+        for batch in batches:
+            a, b, na, x, nb, y = (batch.column(c) for c in ("a", "b", "n_a", "wide_a", "n_b", "wide_b"))
+            near = [p is None or q is None or 7 * wide_distance(p, q) <= m + n for p, q, m, n in zip(x.to_pylist(), y.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.mapInArrow(screen, "a long, b long")
+
+
+def _first_pairs(shared: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that meet first in their buckets, where the sketches leave room."""
+    met = shared.select("class", F.explode(F.array("one", "before")).alias("other")).where("other is not null")
+    pairs = met.select(F.least("other", "class").alias("a"), F.greatest("other", "class").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SKETCH))), side)
+    return pairs.where(_near("a_", "b_")).select("a", "b")
+
+
+def _candidates(members: DataFrame, names: DataFrame, done: DataFrame | None) -> DataFrame:
+    """All pairs (a, b) of classes in different components that share a bucket and weren't verified yet."""
+    # only buckets that span components
+    spans = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
+    base = settle(members.join(spans, "key", "left_semi").select("key", "class", "root").distinct(), "spanning")
+    firsts = base.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("keys"))  # a class has at most D + 1 keys a band
+    held = settle(base.join(names.select("class", "n", *SKETCH), "class").join(firsts, "class"), "held")
+    side = lambda p: held.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "class", "root", "n", *SKETCH, "keys")))
+    apart = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fits(F.col("a_n"), F.col("b_n")) & _near("a_", "b_")
+    # a pair that is known to meet under a smaller key comes from there; under its smallest one it always comes
+    once = F.coalesce(F.array_min(F.array_intersect("a_keys", "b_keys")) >= F.col("a_key"), F.lit(True))
+    pairs = side("a_").join(side("b_"), (F.col("a_key") == F.col("b_key")) & apart & once).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
 
 
@@ -495,20 +610,17 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     bound_batches(spark)
     seed = 0
-    rows, counts, short = _classes(docs, id_col, text_col, seed)
+    rows, counts, short, shingles = _classes(docs, id_col, text_col, seed)
     while short:
         seed += 1
-        rows, counts, short = _classes(docs, id_col, text_col, seed)
+        rows, counts, short, shingles = _classes(docs, id_col, text_col, seed)
     frequent = sorted((r["h"] % (1 << 64), r["c"]) for r in counts.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect())
     first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("first")  # null ids last
-    names = settle(rows.where(F.col("n") > 0).groupBy("class").agg(first, F.min("n").alias("n"), F.count(F.lit(1)).alias("m"), *(F.min(k).alias(k) for k in SKETCH)), "classes")
-    filed = _filed(docs, text_col, seed, np.array([f[0] for f in frequent], np.uint64), np.array([f[1] for f in frequent], np.int64))
-    w = Window.partitionBy("key").orderBy("class")
-    near = lambda f: F.coalesce(f("class").over(w) != F.col("class"), F.lit(False))
-    shared = settle(filed.select("*", near(F.lag).alias("l"), near(F.lead).alias("r")).where("l or r").drop("l", "r"), "shared")
+    names = settle(rows.where(F.col("n") > 0).groupBy("class").agg(first, F.min("n").alias("n"), F.count(F.lit(1)).alias("m"), *(F.min(k).alias(k) for k in (*SKETCH, "wide"))), "classes")
+    shared = settle(_shared(docs, text_col, seed, np.array([f[0] for f in frequent], np.uint64), np.array([f[1] for f in frequent], np.int64), shingles), "shared")
     links, done, roots = None, None, None
-    for turn in [*range(STAR_ROUNDS), None]:
-        pairs = settle(_candidates(_labelled(shared, roots), names, done, turn), "pairs")
+    for all_pairs in (False, True):
+        pairs = settle(_screened(_candidates(_labelled(shared, roots), names, done) if all_pairs else _first_pairs(shared, names), names), "pairs")
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.unionByName(pairs)
