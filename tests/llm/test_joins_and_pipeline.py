@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vitalgrid.llm import decontaminate, jaccard_join
+from vitalgrid.llm import arrow_map, decontaminate, jaccard_join
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -273,3 +273,18 @@ def test_keys_side_by_side_and_wide_sketches(spark, tmp_path, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {k: k % 30 for k in range(150)}
     assert len(tracker.getJobIdsForGroup("join")) < 120
+
+
+def test_tasks_give_memory_back_and_deal_few_keys_at_a_time(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(arrow_map, "give_back", lambda: given.append(1))
+    assert list(arrow_map.giving_back(iter)([1, 2])) == [1, 2] and len(given) == 1
+    left = arrow_map.giving_back(iter)([1, 2])
+    next(left)
+    left.close()  # a task that ends early gives back as well
+    assert len(given) == 2
+    # keys that are dealt out in many small rows meet like those of one
+    rows = [(k, " ".join(f"w{k % 30}x{j}" for j in range(40)) + f" end{k}") for k in range(150)]
+    monkeypatch.setattr(jaccard_join, "DEALT_KEYS", 16)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 30 for k in range(150)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,6 +21,26 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker waits for its next task beside those of other stages, with all that its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, with freed memory returned at the end of each task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """``df`` with ``fields`` added; a column of the same name (in any case) is replaced.
 
@@ -41,4 +62,4 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work:
             values = each(batch.column(position).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(giving_back(run), schema)

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.llm.arrow_map import bound_batches
+from vitalgrid.llm.arrow_map import bound_batches, giving_back
 from vitalgrid.llm.common import settle
 from vitalgrid.llm.quality import word_hashes
 
@@ -68,8 +68,10 @@ COUNTED_AT_ONCE = 1 << 20
 MOST_FREQUENT = 50_000
 #: A class carries so many of its keys, to tell that a pair meets more than once.
 FIRST_KEYS = 8
-#: Parts of the keys for each shuffle partition, keys that a task holds before it deals them out or puts them side by side, and shingles of a part (a set has fewer keys).
+#: Parts of the keys for each shuffle partition, keys that a task holds before it puts them side by side, and shingles of a part (a set has fewer keys).
 PARTS, HELD_KEYS, PART_SHINGLES = 3, 1 << 20, 1 << 22
+#: Keys that a task holds before it deals them out; what is dealt comes to its reader in batches as large.
+DEALT_KEYS = 1 << 18
 #: Bits of a key inside its part: what falls together by them is one more candidate, never one less.
 KEY_BITS = 40
 #: Partners that a hub meets in one portion.
@@ -297,7 +299,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, seed: int) -> tuple[Da
         if held:
             yield counted()
 
-    got = settle(base.mapInArrow(run, schema), "sets")
+    got = settle(base.mapInArrow(giving_back(run), schema), "sets")
     rows = got.where(F.col("n") >= 0)
     frequent = got.where(F.col("n") < 0).select(F.explode("counts").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
     short, shingles = (v or 0 for v in rows.agg(F.sum("short"), F.sum("n")).first())
@@ -367,7 +369,7 @@ def _shared(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, oft
                 many = [len(k) for k in keys]
                 held.append((np.concatenate(keys), np.repeat(np.array(list(fresh), np.int64), many), np.repeat(np.array([len(s) for s in fresh.values()], np.int32), many)))
                 size += sum(many)
-                if size >= HELD_KEYS:
+                if size >= DEALT_KEYS:
                     yield dealt()
         if held:
             yield dealt()
@@ -401,9 +403,9 @@ def _shared(docs: DataFrame, text_col: str, seed: int, frequent: np.ndarray, oft
         if held:
             yield from met(True)
 
-    dealt = base.mapInArrow(deal, "part int, low binary, high binary, classes binary, sizes binary, runs binary")
+    dealt = base.mapInArrow(giving_back(deal), "part int, low binary, high binary, classes binary, sizes binary, runs binary")
     dealt = dealt.repartition(width, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "key long, class long, one long, before long")
+    return dealt.mapInArrow(giving_back(meet), "key long, class long, one long, before long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -470,7 +472,7 @@ def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, id_col: str,
                 keep.append(other is not None and hub == last and _similar(own, s))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(v, keep, strict=True) if y], pa.int64()) for v in (a, b)], names=["a", "b"])
 
-    return settle(meet.mapInArrow(check, "a long, b long"), "links")
+    return settle(meet.mapInArrow(giving_back(check), "a long, b long"), "links")
 
 
 def alike(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
@@ -535,7 +537,7 @@ def _partners(own: DataFrame, names: DataFrame, docs: DataFrame, id_col: str, te
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["class", "partners", "rows"])
 
-    return settle(met.mapInArrow(check, "class long, partners array<long>, rows long"), "partners")
+    return settle(met.mapInArrow(giving_back(check), "class long, partners array<long>, rows long"), "partners")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -578,7 +580,7 @@ def _screened(pairs: DataFrame, names: DataFrame) -> DataFrame:
             near = [p is None or q is None or 7 * wide_distance(p, q) <= m + n for p, q, m, n in zip(x.to_pylist(), y.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.mapInArrow(screen, "a long, b long")
+    return pairs.mapInArrow(giving_back(screen), "a long, b long")
 
 
 def _first_pairs(shared: DataFrame, names: DataFrame) -> DataFrame:
