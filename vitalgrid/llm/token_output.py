@@ -83,18 +83,21 @@ def _slots(key: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     """(symbols, last-of-document mask, left, right, first new symbol of each round)."""
     n = len(ids)
-    symbols = np.append(ids.astype(np.int64), -1)
-    follower, leader = np.arange(1, n + 2), np.arange(-1, n)
+    fresh = int(ids.max()) + 1 if n else 0
+    kept = np.int32 if fresh + n < 1 << 31 else np.int64  # short numbers: most of the time goes into fetching them
+    symbols = np.append(ids.astype(kept), kept(-1))
+    follower, leader = np.arange(1, n + 2, dtype=kept), np.arange(-1, n, dtype=kept)
     follower[:n][ends] = n  # n is no place
     leader[1 : n + 1][ends] = n
     leader[:1] = n
     open_, live = np.append(~ends, False), np.ones(n, bool)
-    fresh = int(ids.max()) + 1 if n else 0
     lefts, rights, bases = [], [], []
     kind, slot_of = np.zeros(1 << _SLOT_BITS, np.uint8), np.zeros(1 << _SLOT_BITS, np.int32)  # of a slot: none, a frequent pair, a chosen one
     while True:
         at = np.flatnonzero(open_)
-        key = (symbols[at] << 32) | symbols[follower[at]]
+        key = symbols[at].astype(np.int64)
+        key <<= 32
+        key |= symbols[follower[at]]
         slot = _slots(key)
         held = np.sort(key)
         edge = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1], [True]))) if len(held) else np.zeros(1, np.int64)
@@ -140,7 +143,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
         fresh += len(chosen)
     left = np.flatnonzero(live)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return symbols[left], follower[left] == n, join(lefts), join(rights), np.array(bases, np.int64)
+    return symbols[left].astype(np.int64), follower[left] == n, join(lefts), join(rights), np.array(bases, np.int64)
 
 
 def _unfold(symbols: np.ndarray, first: int, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ import json
 import os
 import re
 import struct
+from operator import attrgetter
 
 import numpy as np
 
@@ -28,6 +29,9 @@ CACHE_UNITS = 500_000
 LONG_UNIT = 64
 #: Texts are cut into units in stretches of about so many characters.
 STRETCH = 1 << 20
+#: Writers of so many ids; longer units have their own each time.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(LONG_UNIT)]
+_ID = attrgetter("id")
 _BETWEEN = re.compile(r"\S(?= \S)")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿА-яЁё"
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTER}“”‘’„–—…«»¿¡€£§°]*")
@@ -98,8 +102,8 @@ class Encoder:
             ids = old(u)
             if ids is None:
                 plain = u.isascii() and u.isprintable()  # of these only the space is written as another character
-                got = [t.id for t in tokenize(u.replace(" ", blank) if plain else u.encode().decode("latin-1").translate(written_as))]
-                ids = struct.pack(f"<{len(got)}I", *got)
+                got = tokenize(u.replace(" ", blank) if plain else u.encode().decode("latin-1").translate(written_as))
+                ids = (_PACK[len(got)] if len(got) < len(_PACK) else struct.Struct(f"<{len(got)}I").pack)(*map(_ID, got))
             new[u] = ids
         if len(self.kept) > CACHE_UNITS:
             self.old, self.kept = self.kept, {}
@@ -110,12 +114,12 @@ class Encoder:
         get, cut, folds = self.kept.get, self.pattern.findall, self.folds
         found = [cut(t.lower() if folds else t) for t in texts]
         ids = [list(map(get, units)) for units in found]
-        missing: dict[str, None] = {}
-        for units, got in zip(found, ids, strict=True):
-            if None in got:
-                missing.update((u, None) for u, g in zip(units, got, strict=True) if g is None)
-        new = self._learn(missing) if missing else {}
-        return [b"".join([new[u] if g is None else g for u, g in zip(units, got, strict=True)] if None in got else got) for units, got in zip(found, ids, strict=True)]
+        gaps = [[k for k, g in enumerate(got) if g is None] for got in ids]
+        new = self._learn(dict.fromkeys([units[k] for units, gap in zip(found, gaps, strict=True) for k in gap])) if any(gaps) else {}
+        for units, got, gap in zip(found, ids, gaps, strict=True):
+            for k in gap:
+                got[k] = new[units[k]]
+        return list(map(b"".join, ids))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
