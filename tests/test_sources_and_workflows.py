@@ -3,6 +3,7 @@ import json
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalgrid import cli
 from vitalgrid.plans import workflows
@@ -153,3 +154,20 @@ def test_cli(files, tmp_path, capsys, spark):
     assert cli.main(["validate-registries"]) == 0 and cli.main(["adapters"]) == 0
     assert cli.main(["mortality-run", "--raw", files[0], "--population", files[1], "--out-root", str(tmp_path / "o")]) == 0
     assert '"n_fields": 3' in capsys.readouterr().out
+
+
+def test_one_row_group_is_spread_over_all_cores(spark, tmp_path):
+    from vitalgrid.sources.readers import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    path = f"{tmp_path}/one.parquet"
+    spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) as text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")  # many splits of the file, of which one has all rows
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() >= cores
+        counts = [r["count"] for r in spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(counts) == 20_000 and max(counts) <= 20_000 // cores + 1000

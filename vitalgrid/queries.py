@@ -89,9 +89,10 @@ def _raw(spark: bool) -> dict[str, str]:
     }
 
 
-def raw_events(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    cols = _raw(True)
-    return table(spark, sf_dir, "orders").selectExpr(*(f"{cols[n]} as {n}" for n in names or cols))
+def raw_events(spark: SparkSession, sf_dir: str, *names: str, evenly: bool = False) -> DataFrame:
+    """Raw columns of every order; ``evenly``: orders are spread over all cores before their texts are made."""
+    cols, orders = _raw(True), table(spark, sf_dir, "orders")
+    return (spread(orders) if evenly else orders).selectExpr(*(f"{cols[n]} as {n}" for n in names or cols))
 
 
 RAW = "raw as (select " + ", ".join(f"{e} as {n}" for n, e in _raw(False).items()) + " from orders)"
@@ -342,7 +343,7 @@ _JOINED = f"{_COUNTS}, {_DENOMINATOR}, joined as (select c.year, c.municipality_
 
 
 def normalized_events(spark, sf_dir):
-    return normalize.normalize_events(spread(raw_events(spark, sf_dir)), row_index="row_key")
+    return normalize.normalize_events(raw_events(spark, sf_dir, evenly=True), row_index="row_key")
 
 
 def population_table(spark, sf_dir):

@@ -55,9 +55,9 @@ def read_table(spark: SparkSession, path: str, all_text: bool = True, multi_line
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table from files in as many partitions as there are cores, if its files give fewer: for costly work on small files."""
+    """A table from fewer files than there are cores, dealt evenly: for costly work. Splits of a file don't tell where its rows are, as those of a row group are all in one."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, df.rdd.getNumPartitions())) if len(df.inputFiles()) < cores else df
 
 
 def _must_exist(spark: SparkSession, path: str) -> None:
