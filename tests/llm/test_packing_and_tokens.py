@@ -211,3 +211,33 @@ def test_grammar_holds_short_numbers_and_gaps_are_filled():
     texts = ["one two one " + "x" * 500 + " zwölf", "two three two", "", "zwölf " + "xyz" * 90]
     for _ in range(2):
         assert enc.encode(texts) == [enc.whole(t) for t in texts]
+
+
+def test_new_units_share_calls_of_the_library():
+    enc = tokens.Encoder(vocabulary("byte_bpe_50k.json"))
+    texts = [" ".join(f"{a}{b}{c}zq" for c in "abcdefgh") for a in "klmnoäß" for b in "pqrstuvwx"]
+    calls, model = [], enc.model
+
+    class Counted:
+        tokenize = staticmethod(lambda unit: calls.append(unit) or model.tokenize(unit))
+
+    enc.model = Counted
+    for _ in range(2):  # of more than 500 units, the second time all are held
+        assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    assert len(calls) <= 20
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_in_a_small_table(name, monkeypatch):
+    # many units of one hash, tables begun anew between slices, units of 15 to 18 characters, contractions at all places
+    monkeypatch.setattr(tokens, "_SLOT_BITS", 9)
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 200)
+    monkeypatch.setattr(tokens, "SLICE_UNITS", 120)
+    enc, rng = tokens.Encoder(vocabulary(name)), random.Random(8)
+    parts = ["'", "'", "s", "r", "e", "v", "l", "L", " ", " ", "\n", "1", "é", "Ж", "“", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    texts += [f"{'é' * n}{'a' * m} {'-' * (n + m)}\n{'7' * n}{' ' * n}x{' ' * n}" for n in range(7, 10) for m in range(7, 10)]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    long = "".join(t for t in texts if " " not in t)  # no place to cut at, so all in one stretch
+    monkeypatch.setattr(tokens, "STRETCH", 1000)
+    assert len(long) > 9000 and enc.encode([long, None, long]) == [enc.whole(long), b"", enc.whole(long)]

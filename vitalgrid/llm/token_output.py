@@ -122,10 +122,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
         twice = (chosen >> 32) == (chosen & 0xFFFFFFFF)
         if twice.any():
             # a symbol with itself overlaps: of neighbouring hits every second one counts
-            place = np.arange(len(at))
-            starts = np.concatenate(([True], (follower[at[:-1]] != at[1:]) | (which[1:] != which[:-1])))
-            own = place - np.maximum.accumulate(np.where(starts, place, 0))
-            at, which = at[own % 2 == 0], which[own % 2 == 0]
+            own = np.flatnonzero(twice[which])
+            there, kind_of = at[own], which[own]
+            place = np.arange(len(own))
+            starts = np.concatenate(([True], (follower[there[:-1]] != there[1:]) | (kind_of[1:] != kind_of[:-1])))[: len(own)]
+            odd = (place - np.maximum.accumulate(np.where(starts, place, 0))) & 1 == 1
+            at, which = np.delete(at, own[odd]), np.delete(which, own[odd])
         bases.append(fresh)
         lefts.append(chosen >> 32)
         rights.append(chosen & 0xFFFFFFFF)
@@ -148,16 +150,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
 
 def _unfold(symbols: np.ndarray, first: int, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Symbols with those from ``first`` on replaced by their stretches of ``flat``."""
-    rule = np.maximum(symbols - first, 0)
     new = symbols >= first
-    many = np.where(new, length[rule], 1) if len(length) else np.ones(len(symbols), np.int64)
-    stop = np.cumsum(many)
-    out = np.repeat(symbols, many)
-    if new.any():
-        at = np.flatnonzero(np.repeat(new, many))
-        own = many[new]
-        out[at] = flat[np.repeat(start[rule[new]] - (np.cumsum(own) - own), own) + np.arange(len(at))]
-    return out if len(stop) else out[:0]
+    rule = np.where(new, symbols - first, 0)
+    many = np.where(new, length[rule], 1)
+    begin = np.where(new, start[rule], len(flat) + np.arange(len(symbols)))  # old symbols stand behind
+    return np.concatenate([flat, symbols])[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, bases: np.ndarray) -> np.ndarray:
